@@ -1,6 +1,7 @@
 """Small column expressions used across operators."""
 
-from pyspark.sql import Column, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def clean(value: Column) -> Column:
@@ -32,10 +33,12 @@ def average_rank(over: Column, groups: list[Column], descending: bool = False) -
     return ranked + (ties - 1) / F.lit(2.0)
 
 
-def struct_rows(rows: list[tuple], names: list[str], types: list[str]) -> Column:
-    """A constant list of rows as one array column, to be read by ``inline``."""
-    if not rows:
-        raise ValueError("no rows")
-    return F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(name) for v, name, t in zip(row, names, types)])
-        for row in rows])
+def small_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
+    """A fixed table as a local relation: name -> (type, values).
+
+    Arrow input stays in the plan, so reading it starts no Python worker.
+    """
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(),
+             "list": pa.list_(pa.string())}
+    return spark.createDataFrame(pa.table(
+        {name: pa.array(values, kinds[kind]) for name, (kind, values) in columns.items()}))

@@ -23,16 +23,28 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "16g") ->
     )
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's ``spark.checkpoint.dir``.
+def _base_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a folder of its
-    own; on a cluster a machine-local folder would be lost with its executor.
+    Only a local session without that setting gets a folder of its own; on a
+    cluster a machine-local folder would be lost with its machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="panelfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/panelfold/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    base = tempfile.mkdtemp(prefix="panelfold-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{_base_folder(spark)}/panelfold/{name}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable, keeping a folder already set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_base_folder(spark))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.exprs import small_table
+
 # Horizon per frequency, and for datasets of the M4 competition.
 HORIZON = {"Y": 3, "Q": 4, "M": 12, "MS": 12, "ME": 12, "W": 8, "D": 30, "H": 48, "T": 48, "S": 60}
 M4_HORIZON = {"Y": 6, "Q": 4, "M": 12, "MS": 12, "ME": 12, "W": 13, "D": 14, "H": 48}
@@ -60,8 +62,9 @@ SEASON_OVERRIDES = {"estimation": {"Weather": 30}, "downstream": {"Weather": 1}}
 LAG_FACTOR = 1.25
 
 
-def _lookup(spark: SparkSession, values: dict, key: str, value: str) -> DataFrame:
-    return spark.createDataFrame(list(values.items()), f"{key} string, {value} int")
+def _lookup(spark: SparkSession, values: dict, key: str, value: str,
+            kind: str = "int") -> DataFrame:
+    return small_table(spark, {key: ("string", list(values)), value: (kind, list(values.values()))})
 
 
 def dataset_params(spark: SparkSession, frequencies: dict[str, str] | None = None,
@@ -73,12 +76,10 @@ def dataset_params(spark: SparkSession, frequencies: dict[str, str] | None = Non
     M4 names, else the default of the frequency. Every table here has one row
     per known dataset or frequency, so Spark broadcasts the joins by size.
     """
-    names = spark.createDataFrame(
-        list((frequencies if frequencies is not None else FREQUENCY).items()),
-        "dataset string, freq string")
+    names = _lookup(spark, frequencies if frequencies is not None else FREQUENCY,
+                    "dataset", "freq", "string")
     own = _lookup(spark, {**SPECIAL_HORIZON, **(horizons or {})}, "dataset", "own_h")
-    own_season = spark.createDataFrame(
-        list((seasons or {}).items()), "dataset string, own_m int")
+    own_season = _lookup(spark, seasons or {}, "dataset", "own_m")
     joined = (
         names.join(own, "dataset", "left").join(own_season, "dataset", "left")
         .join(_lookup(spark, M4_HORIZON, "freq", "m4_h"), "freq", "left")
@@ -107,7 +108,6 @@ def long_horizon_params(spark: SparkSession, resample_to: str | None = None) ->
 
 def override_seasonality(params: DataFrame, overrides: dict[str, int]) -> DataFrame:
     """Replace the season of the named datasets."""
-    table = params.sparkSession.createDataFrame(
-        list(overrides.items()), "dataset string, _season int")
+    table = _lookup(params.sparkSession, overrides, "dataset", "_season")
     return (params.join(table, "dataset", "left")
             .withColumn("season", F.coalesce("_season", "season")).drop("_season"))
