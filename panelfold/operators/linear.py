@@ -155,12 +155,14 @@ def fit(sums: DataFrame, train: DataFrame, groups: list[str],
         weight: str | None = None) -> DataFrame:
     """Coefficients per (groups, features, scaler, stage, lead).
 
-    ``train`` lists the training series of every group (a fold of a method);
+    ``train`` lists the training series of every group (a fold of a method), and
+    may restrict a group to some stages by a ``stage`` column;
     ``weight`` names its column of multiplicities, if series may count more
     than once. Partial sums per task come before the shuffle, so what travels
     is one row per coefficient and task.
     """
-    joined = sums.join(train.select(*groups, ID, *([weight] if weight else [])), ID)
+    on = [ID, "stage"] if "stage" in train.columns else [ID]
+    joined = sums.join(train.select(*groups, *on, *([weight] if weight else [])), on)
     times = F.col(weight) if weight else F.lit(1)
     keys = [*groups, "features", "scaler", "stage", "lead"]
     pooled = joined.groupBy(*keys).agg(*[F.sum(F.col(n) * times).alias(n) for n in SUMS])

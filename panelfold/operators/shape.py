@@ -35,10 +35,18 @@ def sample_first_uids(panel: DataFrame, n_uid: int, id_col: str = ID) -> DataFra
 def sampled_series(series: DataFrame, frac_uid: float, seed: int = SEED,
                    id_col: str = ID) -> DataFrame:
     """A random share of the series: exact size (half-even), no replacement."""
-    ranked = hash_rank(series.select(id_col).distinct(),
-                       hash_text(F.lit(seed), F.lit("sample"), F.col(id_col)), id_col=id_col)
+    return sampled_per_seed(series, frac_uid, [seed], id_col).drop("seed")
+
+
+def sampled_per_seed(series: DataFrame, frac_uid: float, seeds: list[int],
+                     id_col: str = ID) -> DataFrame:
+    """Rows ``(seed, id)``: an independent share of the series for every seed."""
+    drawn = series.select(id_col).distinct().withColumn(
+        "seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    digest = hash_text(F.col("seed"), F.lit("sample"), F.col(id_col))
+    ranked = hash_rank(drawn, digest, ["seed"], id_col)
     kept = F.bround(F.col("total") * F.lit(float(frac_uid)), 0)
-    return ranked.filter(F.col("rank") <= kept).select(id_col)
+    return ranked.filter(F.col("rank") <= kept).select("seed", id_col)
 
 
 def sample_uids(panel: DataFrame, frac_uid: float, seed: int = SEED, id_col: str = ID) -> DataFrame:

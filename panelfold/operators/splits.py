@@ -1,16 +1,17 @@
 """Series-wise and time-wise cross-validation splits as assignment tables.
 
-Every splitter maps the series of a panel to rows ``(method, fold, unique_id,
-role)`` with role ``train`` or ``test``. All folds come out of one job: folds
-are exploded from a constant list, never crossed with the data, and each random
-draw is a function of ``(seed, method, fold, series)``, so a lost executor
-recomputes the same split.
+A scheme maps the series of a panel to rows ``(method, fold, unique_id, role)``
+with role ``train`` or ``test``. All folds of all schemes (and seeds) come out
+of one plan: draws are exploded from a constant list, never crossed with the
+data, and ranked in one shuffle. Each random draw is a function of
+``(seed, method, fold, series)``, so a lost executor recomputes the same split.
 
 The digits of the draws differ from other random generators; sizes,
 disjointness and coverage are what is guaranteed.
 """
 
-from collections.abc import Callable
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,78 +21,185 @@ from ..schema import (HOLDOUT_TRAIN, ID, KFOLD_REPEATS, KFOLD_SIZES, MONTE_CARLO
                       MONTE_CARLO_TRAIN, N_FOLDS, SEED, TIME_METHOD)
 from .ranks import hash_rank
 
-ASSIGNMENT = ["method", "fold", ID, "role"]
 
+@dataclass(frozen=True)
+class Shares:
+    """Train on a share of the series, test on a share (or all) of the others."""
 
-def _series(panel: DataFrame) -> DataFrame:
-    return panel.select(ID).distinct()
+    train: float
+    test: float | None = None
+    repeats: int = 1
 
+    def __post_init__(self):
+        if self.test is not None and self.train + self.test >= 1.0:
+            raise ValueError("train and test shares must stay below 1")
 
-def _with_folds(series: DataFrame, n: int) -> DataFrame:
-    return series.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
+@dataclass(frozen=True)
+class Folds:
+    """Shuffled k folds, each tested once per repeat; fold = repeat * k + part.
+
+    ``shuffle`` names the shuffle, so schemes may share one; the method by default.
+    """
+
+    k: int
+    repeats: int = 1
+    shuffle: str | None = None
+
+
+@dataclass(frozen=True)
+class Bootstrap:
+    """Draw n of n series with replacement; series never drawn are the test set."""
+
+    repeats: int = 1
 
-def _draw(method: str, seed: int, extra: Column | None = None) -> Column:
-    return hash_text(F.lit(seed), F.lit(method), F.col("fold"),
-                     F.col(ID) if extra is None else extra)
 
+@dataclass(frozen=True)
+class EverySeries:
+    """No split across series: every series trains and is tested, fold 0."""
+
+
+Scheme = Shares | Folds | Bootstrap | EverySeries
+
+# The default experiment: method name -> scheme.
+CV_METHODS: dict[str, Scheme] = {
+    "Holdout": Shares(HOLDOUT_TRAIN),
+    "RepeatedHoldout": Shares(HOLDOUT_TRAIN, repeats=N_FOLDS),
+    "MonteCarlo": Shares(MONTE_CARLO_TRAIN, MONTE_CARLO_TEST, N_FOLDS),
+    "Bootstrap": Bootstrap(),
+    "RepeatedBootstrap": Bootstrap(N_FOLDS),
+    "KFold": Folds(N_FOLDS),
+}
+# Offered, but not part of the default experiment.
+OPTIONAL_METHODS: dict[str, Scheme] = {"RepeatedKFold": Folds(N_FOLDS, KFOLD_REPEATS)}
+ALL_METHODS = {**CV_METHODS, TIME_METHOD: EverySeries()}
 
-def _labelled(rows: DataFrame, method: Column | str) -> DataFrame:
-    method = F.lit(method) if isinstance(method, str) else method
-    return rows.select(method.alias("method"), F.col("fold").cast("int").alias("fold"), ID, "role")
 
+def assign(series: DataFrame, schemes: dict[str, Scheme], seed: int | None = SEED) -> DataFrame:
+    """Assignment table of all ``schemes`` at once.
 
-def _size(share: float) -> Column:
+    With ``seed=None`` the frame brings a ``seed`` column and every seed is
+    split on its own; the result then keeps that column.
+    """
+    keys = ["seed"] if seed is None else []
+    uids = series.select(*keys, ID).distinct()
+    if seed is not None:
+        uids = uids.withColumn("seed", F.lit(seed))
+    of_kind = {kind: {m: s for m, s in schemes.items() if isinstance(s, kind)}
+               for kind in (Shares, Folds, Bootstrap, EverySeries)}
+    parts = []
+    if of_kind[Shares] or of_kind[Folds]:
+        parts.append(_ranked_roles(uids, of_kind[Shares], of_kind[Folds]))
+    if of_kind[Bootstrap]:
+        parts.append(_bootstrap_roles(uids, of_kind[Bootstrap]).drop("weight"))
+    if of_kind[EverySeries]:
+        both = [(m, 0, role) for m in of_kind[EverySeries] for role in ("train", "test")]
+        parts.append(uids.select("seed", ID, _inline(both, ["method", "fold", "role"])))
+    return reduce(DataFrame.unionByName, [
+        p.select(*keys, "method", "fold", ID, "role") for p in parts])
+
+
+def _inline(rows: Iterable[tuple], names: list[str]) -> Column:
+    return F.inline(F.array(*[
+        F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]))
+
+
+def _share_size(share: Column) -> Column:
     """Truncated share of the series, in double arithmetic."""
-    return F.floor(F.col("total") * F.lit(float(share)))
+    return F.floor(F.col("total") * share)
+
+
+def _own_fold(rank: Column, total: Column, k: Column) -> Column:
+    """Fold of a 1-based rank when k folds share ``total`` series, larger folds first."""
+    small = F.floor(total / k)
+    larger = total - small * k
+    in_larger = rank <= larger * (small + 1)
+    # ``greatest`` keeps the unused branch from dividing by zero when total < k.
+    return F.when(in_larger, F.floor((rank - 1) / (small + 1))).otherwise(
+        larger + F.floor((rank - 1 - larger * (small + 1)) / F.greatest(small, F.lit(1))))
+
+
+def _ranked_roles(uids: DataFrame, shares: dict[str, Shares], folds: dict[str, Folds]) -> DataFrame:
+    """Roles that follow from the place of a series in a random order."""
+    shuffles: dict[str, int] = {}
+    specs = []
+    for method, s in shares.items():
+        shuffles[method] = max(shuffles.get(method, 0), s.repeats)
+        specs.append((method, method, s.repeats, s.train, s.test if s.test is not None else 1.0, 0))
+    for method, s in folds.items():
+        shuffle = s.shuffle or method
+        shuffles[shuffle] = max(shuffles.get(shuffle, 0), s.repeats)
+        specs.append((method, shuffle, s.repeats, 0.0, 0.0, s.k))
+    draws = [(shuffle, r) for shuffle, n in shuffles.items() for r in range(n)]
+    drawn = uids.select("seed", ID, _inline(draws, ["shuffle", "repeat"]))
+    digest = hash_text(F.col("seed"), F.col("shuffle"), F.col("repeat"), F.col(ID))
+    ranked = hash_rank(drawn, digest, ["seed", "shuffle", "repeat"])
+    names = ["method", "_shuffle", "_repeats", "train", "test", "k"]
+    each = ranked.select("*", _inline(specs, names)).filter(
+        (F.col("_shuffle") == F.col("shuffle")) & (F.col("repeat") < F.col("_repeats")))
+    rank, k = F.col("rank"), F.col("k")
+    trained = _share_size(F.col("train"))
+    # A test share of 1 stands for all the others.
+    used = F.when(F.col("test") < 1, trained + _share_size(F.col("test"))).otherwise(F.col("total"))
+    by_share = F.when(rank <= used, F.array(F.struct(
+        F.col("repeat").alias("fold"),
+        F.when(rank <= trained, "train").otherwise("test").alias("role"))))
+    # One row per fold: the own fold tests the series, every other one trains on it.
+    by_fold = F.transform(F.sequence(F.lit(0), k - 1), lambda part: F.struct(
+        (F.col("repeat") * k + part).alias("fold"),
+        F.when(part == F.col("own"), "test").otherwise("train").alias("role")))
+    each = each.withColumn("own", F.when(k > 0, _own_fold(rank, F.col("total"), k)))
+    return each.select("seed", "method", ID, F.inline(F.when(k > 0, by_fold).otherwise(by_share)))
+
+
+def _bootstrap_roles(uids: DataFrame, schemes: dict[str, Bootstrap]) -> DataFrame:
+    """A series drawn at least once trains; ``weight`` counts its draws."""
+    ranked = hash_rank(uids, hash_text(F.col("seed"), F.lit("bootstrap"), F.col(ID)), ["seed"])
+    draws = [(m, r) for m, s in schemes.items() for r in range(s.repeats)]
+    slots = ranked.select("seed", ID, F.col("rank").alias("slot"), "total",
+                          _inline(draws, ["method", "fold"]))
+    # Every slot also makes one draw, so n never has to reach the driver.
+    digest = hash_text(F.col("seed"), F.col("method"), F.col("fold"), F.col("slot"))
+    hits = (slots.select("seed", "method", "fold",
+                         (hash_number(digest) % F.col("total") + 1).alias("slot"))
+            .groupBy("seed", "method", "fold", "slot").agg(F.count(F.lit(1)).alias("weight")))
+    rows = slots.join(hits, ["seed", "method", "fold", "slot"], "left")
+    return rows.select(
+        "seed", "method", "fold", ID,
+        F.when(F.col("weight").isNull(), "test").otherwise("train").alias("role"),
+        F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+
 
+# -- single methods -----------------------------------------------------------
 
-def holdout(panel: DataFrame, train_size: float = HOLDOUT_TRAIN, n_repeats: int = 1,
-            seed: int = SEED, method: str = "Holdout") -> DataFrame:
+def holdout(panel: DataFrame, train_size: float = HOLDOUT_TRAIN, seed: int = SEED,
+            method: str = "Holdout") -> DataFrame:
     """Train on a share of the series drawn without replacement, test on the rest."""
-    ranked = hash_rank(_with_folds(_series(panel), n_repeats), _draw(method, seed), ["fold"])
-    role = F.when(F.col("rank") <= _size(train_size), "train").otherwise("test")
-    return _labelled(ranked.withColumn("role", role), method)
+    return assign(panel, {method: Shares(train_size)}, seed)
 
 
 def repeated_holdout(panel: DataFrame, train_size: float = HOLDOUT_TRAIN,
                      n_repeats: int = N_FOLDS, seed: int = SEED,
                      method: str = "RepeatedHoldout") -> DataFrame:
     """Independent holdout draws, one per fold."""
-    return holdout(panel, train_size, n_repeats, seed, method)
+    return assign(panel, {method: Shares(train_size, repeats=n_repeats)}, seed)
 
 
 def monte_carlo(panel: DataFrame, train_size: float = MONTE_CARLO_TRAIN,
                 test_size: float = MONTE_CARLO_TEST, n_repeats: int = N_FOLDS,
                 seed: int = SEED, method: str = "MonteCarlo") -> DataFrame:
     """Disjoint train and test draws of fixed sizes; the other series stay unused."""
-    if train_size + test_size >= 1.0:
-        raise ValueError("train_size + test_size must stay below 1")
-    ranked = hash_rank(_with_folds(_series(panel), n_repeats), _draw(method, seed), ["fold"])
-    used = _size(train_size) + _size(test_size)
-    role = F.when(F.col("rank") <= _size(train_size), "train").otherwise("test")
-    return _labelled(ranked.filter(F.col("rank") <= used).withColumn("role", role), method)
+    return assign(panel, {method: Shares(train_size, test_size, n_repeats)}, seed)
 
 
 def bootstrap(panel: DataFrame, n_repeats: int = 1, seed: int = SEED,
               method: str = "Bootstrap", weights: bool = False) -> DataFrame:
-    """Draw n of n series with replacement; series never drawn are the test set.
-
-    A series drawn twice trains once; ``weights=True`` adds how often it was
-    drawn (0 for test series).
-    """
-    ranked = hash_rank(_series(panel), hash_text(F.lit(seed), F.lit("bootstrap"), F.col(ID)))
-    slots = _with_folds(ranked.select(ID, F.col("rank").alias("slot"), "total"), n_repeats)
-    # Every slot also makes one draw, so n never has to reach the driver.
-    drawn = hash_number(_draw(method, seed, F.col("slot"))) % F.col("total") + 1
-    hits = (slots.select("fold", drawn.alias("slot"))
-            .groupBy("fold", "slot").agg(F.count(F.lit(1)).alias("weight")))
-    rows = slots.join(hits, ["fold", "slot"], "left").withColumn(
-        "role", F.when(F.col("weight").isNull(), "test").otherwise("train"))
+    """Out-of-bag split. A series drawn twice trains once by default;
+    ``weights=True`` adds how often it was drawn (0 for test series)."""
     if not weights:
-        return _labelled(rows, method)
-    return rows.select(F.lit(method).alias("method"), F.col("fold").cast("int").alias("fold"), ID,
-                       "role", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+        return assign(panel, {method: Bootstrap(n_repeats)}, seed)
+    uids = panel.select(ID).distinct().withColumn("seed", F.lit(seed))
+    return _bootstrap_roles(uids, {method: Bootstrap(n_repeats)}).drop("seed")
 
 
 def repeated_bootstrap(panel: DataFrame, n_repeats: int = N_FOLDS, seed: int = SEED,
@@ -100,99 +208,54 @@ def repeated_bootstrap(panel: DataFrame, n_repeats: int = N_FOLDS, seed: int = S
     return bootstrap(panel, n_repeats, seed, method, weights)
 
 
-def _own_fold(rank: Column, total: Column, k: Column) -> Column:
-    """Fold of a 1-based rank when k folds share ``total`` series, larger folds first."""
-    small = F.floor(total / k)
-    larger = total - small * k
-    at = rank - 1
-    in_larger = at < larger * (small + 1)
-    # ``greatest`` keeps the unused branch from dividing by zero when total < k.
-    return F.when(in_larger, F.floor(at / (small + 1))).otherwise(
-        larger + F.floor((at - larger * (small + 1)) / F.greatest(small, F.lit(1))))
-
-
-def _kfold_roles(ranked: DataFrame, k: Column) -> DataFrame:
-    """One row per fold: the own fold tests the series, every other one trains on it."""
-    own = ranked.withColumn("own", _own_fold(F.col("rank"), F.col("total"), k))
-    each = own.withColumn("part", F.explode(F.sequence(F.lit(0), (k - 1).cast("int"))))
-    return each.withColumn(
-        "role", F.when(F.col("part") == F.col("own"), "test").otherwise("train"))
-
-
 def kfold(panel: DataFrame, n_splits: int = N_FOLDS, seed: int = SEED,
           method: str = "KFold") -> DataFrame:
     """Shuffled k folds: each series is tested exactly once."""
-    return repeated_kfold(panel, n_splits, 1, seed, method)
+    return assign(panel, {method: Folds(n_splits)}, seed)
 
 
 def repeated_kfold(panel: DataFrame, n_splits: int = N_FOLDS, n_repeats: int = KFOLD_REPEATS,
                    seed: int = SEED, method: str = "RepeatedKFold") -> DataFrame:
-    """k folds under several shuffles; fold = repeat * k + part."""
-    ranked = hash_rank(_with_folds(_series(panel), n_repeats), _draw(method, seed), ["fold"])
-    rows = _kfold_roles(ranked, F.lit(n_splits))
-    return _labelled(
-        rows.withColumn("fold", F.col("fold") * n_splits + F.col("part")), method)
+    """k folds under several shuffles."""
+    return assign(panel, {method: Folds(n_splits, n_repeats)}, seed)
+
+
+def kfold_sizes(sizes: list[int] | None = None) -> dict[str, Scheme]:
+    """Schemes ``KFold_k<k>`` for several k over one shuffle."""
+    return {f"KFold_k{k}": Folds(k, shuffle="KFold") for k in sizes or KFOLD_SIZES}
 
 
 def kfold_ablation(panel: DataFrame, sizes: list[int] | None = None,
                    seed: int = SEED) -> DataFrame:
-    """k-fold for several k at once, method ``KFold_k<k>``.
-
-    The shuffle does not depend on k, so every k reads the same ranks.
-    """
-    shuffled = _series(panel).withColumn("fold", F.lit(0))
-    ranked = hash_rank(shuffled, _draw("KFold", seed))
-    each = ranked.withColumn(
-        "k", F.explode(F.array(*[F.lit(k) for k in sizes or KFOLD_SIZES])))
-    rows = _kfold_roles(each, F.col("k")).withColumn("fold", F.col("part"))
-    return _labelled(rows, F.concat(F.lit("KFold_k"), F.col("k").cast("string")))
+    """k-fold for several k at once; the series are ranked once for all of them."""
+    return assign(panel, kfold_sizes(sizes), seed)
 
 
 def time_holdout(panel: DataFrame, method: str = TIME_METHOD) -> DataFrame:
-    """No split across series: every series trains and is tested, fold 0."""
-    roles = F.explode(F.array(F.lit("train"), F.lit("test")))
-    return _labelled(_series(panel).withColumn("fold", F.lit(0)).withColumn("role", roles), method)
+    """Every series trains and is tested; only time separates the two."""
+    return assign(panel, {method: EverySeries()})
 
 
 def anti_complement(panel: DataFrame, train: DataFrame) -> DataFrame:
     """Series outside a training set."""
-    return _series(panel).join(train.select(ID), ID, "left_anti")
-
-
-# Method name -> splitter and its parameters.
-Splitter = tuple[Callable[..., DataFrame], dict]
-CV_METHODS: dict[str, Splitter] = {
-    "Holdout": (holdout, {"train_size": HOLDOUT_TRAIN}),
-    "RepeatedHoldout": (repeated_holdout, {"train_size": HOLDOUT_TRAIN, "n_repeats": N_FOLDS}),
-    "MonteCarlo": (monte_carlo, {"train_size": MONTE_CARLO_TRAIN, "test_size": MONTE_CARLO_TEST,
-                                 "n_repeats": N_FOLDS}),
-    "Bootstrap": (bootstrap, {}),
-    "RepeatedBootstrap": (repeated_bootstrap, {"n_repeats": N_FOLDS}),
-    "KFold": (kfold, {"n_splits": N_FOLDS}),
-}
-# Offered, but not part of the default experiment.
-OPTIONAL_METHODS: dict[str, Splitter] = {
-    "RepeatedKFold": (repeated_kfold, {"n_splits": N_FOLDS, "n_repeats": KFOLD_REPEATS}),
-}
+    return panel.select(ID).distinct().join(train.select(ID), ID, "left_anti")
+
 
+# -- registry -----------------------------------------------------------------
 
 def split(method: str, panel: DataFrame, seed: int = SEED,
-          overrides: dict[str, Splitter] | None = None) -> DataFrame:
+          overrides: dict[str, Scheme] | None = None) -> DataFrame:
     """Assignment table of one registered method."""
-    registry = overrides if overrides is not None else {
-        **CV_METHODS, **OPTIONAL_METHODS, TIME_METHOD: (lambda p, seed: time_holdout(p), {})}
+    registry = overrides if overrides is not None else {**ALL_METHODS, **OPTIONAL_METHODS}
     if method not in registry:
         raise ValueError(f"unknown method {method!r}; known: {sorted(registry)}")
-    splitter, params = registry[method]
-    return splitter(panel, **{"seed": seed, **params})
+    return assign(panel, {method: registry[method]}, seed)
 
 
-def split_all(panel: DataFrame, seed: int = SEED,
-              overrides: dict[str, Splitter] | None = None) -> DataFrame:
+def split_all(panel: DataFrame, seed: int | None = SEED,
+              overrides: dict[str, Scheme] | None = None) -> DataFrame:
     """Assignments of every default method and the time holdout."""
-    methods = overrides if overrides is not None else {**CV_METHODS, TIME_METHOD: None}
-    return reduce(DataFrame.unionByName,
-                  [split(m, panel, seed, overrides) for m in methods])
+    return assign(panel, overrides if overrides is not None else ALL_METHODS, seed)
 
 
 def split_counts(assignments: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """The nested experiment: tune and compare models by inner folds, judge them outside.
 
-One plan covers every method, fold, configuration and model of a panel:
+All methods, folds, configurations and models of a panel run together:
 
-1. positions, trends and split assignments once;
-2. sums of products once, for all three fits (validation, inner, final);
-3. coefficients per fold, validation losses, best configuration per fold;
-4. inner forecasts of test series; best configuration over all folds;
+1. positions and trends of the panel, and the split assignments, written once;
+2. one pass over the training windows sums products for all three fits
+   (validation, inner, final) of every fold; the coefficients are written;
+3. validation losses of all configurations; the best one per fold;
+4. inner forecasts of test series; the best configuration over all folds;
 5. outer forecasts of every series with the final fit.
+
+Steps read each other's results as small tables, so a plan never repeats the
+work, or the planning, of the steps before it.
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,10 +21,11 @@ from ..operators import configs as C
 from ..operators import linear as L
 from ..operators.baseline import seasonal_naive
 from ..operators.positions import with_positions
-from ..operators.shape import sampled_series
-from ..operators.splits import CV_METHODS, Splitter, split_all
-from ..schema import (BASELINE, ID, N_SAMPLES, OUT_SERIES_FRACTION, OUT_SET_MULTIPLIER, SEED,
-                      TARGET, TIME, TIME_METHOD)
+from ..operators.shape import sampled_per_seed
+from ..operators.splits import ALL_METHODS, Scheme, split_all
+from ..schema import (BASELINE, ID, N_SAMPLES, OUT_SERIES_FRACTION, OUT_SET_MULTIPLIER, POS, SEED,
+                      TARGET, TIME)
+from ..session import materialize
 from . import tuning as T
 
 FOLD = ["seed", "method", "fold"]
@@ -40,12 +44,12 @@ class Experiment:
     n_samples: int = N_SAMPLES
     out_series_fraction: float = OUT_SERIES_FRACTION
     out_multiplier: int = OUT_SET_MULTIPLIER
-    methods: dict[str, Splitter] | None = None
+    methods: dict[str, Scheme] | None = None
     families: tuple[str, ...] = ("NLinear", "DLinear")
 
     @property
     def method_names(self) -> list[str]:
-        return list(self.methods) if self.methods is not None else [*CV_METHODS, TIME_METHOD]
+        return list(self.methods) if self.methods is not None else list(ALL_METHODS)
 
     @property
     def windows(self) -> T.Windows:
@@ -54,15 +58,8 @@ class Experiment:
 
 def assignments(panel: DataFrame, run: Experiment) -> DataFrame:
     """Splits of the in-set series for every seed and method."""
-    series = panel.select(ID).distinct()
-
-    def for_seed(seed: int) -> DataFrame:
-        kept = series if run.out_series_fraction <= 0 else sampled_series(
-            series, 1 - run.out_series_fraction, seed)
-        return split_all(kept, seed, run.methods).select(
-            F.lit(seed).alias("seed"), "method", "fold", ID, "role")
-
-    return reduce(DataFrame.unionByName, [for_seed(s) for s in run.seeds])
+    kept = sampled_per_seed(panel, 1 - run.out_series_fraction, list(run.seeds))
+    return split_all(kept, None, run.methods).select(*FOLD, ID, "role")
 
 
 @dataclass(frozen=True)
@@ -72,7 +69,6 @@ class Fitted:
     run: Experiment
     trended: DataFrame
     assigned: DataFrame
-    sums: DataFrame
     coefs: DataFrame
     scores: DataFrame
 
@@ -80,17 +76,38 @@ class Fitted:
         return self.assigned.filter(F.col("role") == role).select(*FOLD, ID)
 
 
+# The group of the final fit among the folds.
+FINAL = {"seed": -1, "method": "final", "fold": 0}
+
+
+def prepare(panel: DataFrame, run: Experiment) -> tuple[DataFrame, DataFrame]:
+    """Positions with trends, and the split assignments, both written once."""
+    trended = materialize(L.with_trends(with_positions(panel, run.freq), run.freq), "panel")
+    series = trended.filter(F.col(POS) == 1).select(ID)
+    return trended, materialize(assignments(series, run), "assignments")
+
+
+def fold_coefficients(trended: DataFrame, assigned: DataFrame, run: Experiment) -> DataFrame:
+    """Coefficients of every fold before validation and test, and of the final fit."""
+    train = assigned.filter(F.col("role") == "train").select(*FOLD, ID)
+    everyone = trended.filter(F.col(POS) == 1).select(
+        *[F.lit(v).alias(k) for k, v in FINAL.items()], ID)
+    groups = train.unionByName(everyone).withColumn(
+        "stages", F.when(F.col("method") == FINAL["method"], F.array(F.lit("final")))
+        .otherwise(F.array(F.lit("val"), F.lit("inner"))))
+    rows = groups.select(*FOLD, ID, F.explode("stages").alias("stage"))
+    return L.fit(T.stage_sums(trended, run.windows, run.freq), rows, FOLD)
+
+
 def fit_folds(panel: DataFrame, run: Experiment) -> Fitted:
     """Everything up to the losses of the sampled configurations in every fold."""
-    trended = L.with_trends(with_positions(panel, run.freq), run.freq)
-    assigned = assignments(panel, run)
+    trended, assigned = prepare(panel, run)
+    coefs = materialize(fold_coefficients(trended, assigned, run), "coefficients")
     train = assigned.filter(F.col("role") == "train")
-    sums = T.stage_sums(trended, run.windows, run.freq)
-    coefs = L.fit(sums.filter(F.col("stage") != "final"), train, FOLD)
     losses = T.validation_loss(trended, coefs, train, run.windows, FOLD)
     space = C.config_space(panel.sparkSession, list(run.families))
     scores = T.score_configs(losses, C.sample_configs(space, run.n_samples), FOLD)
-    return Fitted(run, trended, assigned, sums, coefs, scores)
+    return Fitted(run, trended, assigned, coefs, materialize(scores, "scores"))
 
 
 def _with_baseline(forecasts: DataFrame, tested: DataFrame, fitted: Fitted, test_size: int,
@@ -126,11 +143,10 @@ def best_configs(fitted: Fitted) -> DataFrame:
 def refit_final(fitted: Fitted) -> DataFrame:
     """Outer forecasts: winners refitted on every series, all data but the out-set."""
     run, windows = fitted.run, fitted.run.windows
-    everyone = fitted.trended.select(ID).distinct().withColumn("final", F.lit(0))
-    coefs = L.fit(fitted.sums.filter(F.col("stage") == "final"), everyone, ["final"])
     # Methods that chose the same configuration share its coefficients.
     chosen = best_configs(fitted).select(*RUN, "family", "features", "scaler")
-    per_run = T.stage_coefs(coefs, "final").drop("final").join(chosen, ["features", "scaler"])
+    coefs = T.stage_coefs(fitted.coefs, "final").drop(*FOLD)
+    per_run = coefs.join(chosen, ["features", "scaler"])
     inputs = L.forecast_inputs(fitted.trended, run.horizon, run.season, windows.out)
     rows = L.predict(inputs, per_run, T.stage_widths(fitted.trended, windows, "final"), [])
     rows = rows.withColumn("model", F.col("family"))

@@ -9,21 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import configs as C
 from ..operators import linear as L
-from ..operators.positions import with_positions
 from ..schema import ID, TARGET, TIME
 from . import tuning as T
-from .nested_cv import FOLD, RUN, Experiment, assignments
+from .nested_cv import FOLD, RUN, Experiment, fold_coefficients, prepare
 
 
 def variant_forecasts(panel: DataFrame, run: Experiment, input_size: Column) -> DataFrame:
     """Inner forecasts of test series by every variant."""
-    trended = L.with_trends(with_positions(panel, run.freq), run.freq)
-    assigned = assignments(panel, run)
-    train = assigned.filter(F.col("role") == "train")
+    trended, assigned = prepare(panel, run)
     tested = assigned.filter(F.col("role") == "test").select(*FOLD, ID)
     windows = run.windows
-    sums = T.stage_sums(trended, windows, run.freq).filter(F.col("stage") == "inner")
-    coefs = T.stage_coefs(L.fit(sums, train, FOLD), "inner")
+    coefs = T.stage_coefs(fold_coefficients(trended, assigned, run), "inner")
     space = C.config_space(panel.sparkSession, list(run.families))
     variants = C.expand_variants(
         C.effective_model(C.sample_configs(space, run.n_samples)), F.lit(run.horizon), input_size)

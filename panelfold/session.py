@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -48,3 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable, keeping a folder already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_base_folder(spark))
+
+
+def materialize(frame: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    Cuts the lineage: later plans start from columnar files in the shared
+    folder, which outlive any executor, and read only the columns they need.
+    """
+    folder = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
