@@ -1,5 +1,7 @@
 """Small column expressions used across operators."""
 
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -33,6 +35,19 @@ def average_rank(over: Column, groups: list[Column], descending: bool = False) -
     return ranked + (ties - 1) / F.lit(2.0)
 
 
+def inline_rows(rows: Iterable[tuple], names: list[str]) -> Column:
+    """A fixed list of rows, to be multiplied onto every row of a ``select``."""
+    def text(value) -> str:
+        if isinstance(value, float):
+            return f"{value!r}D"
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    structs = ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {text(v)}" for n, v in zip(names, row)) + ")"
+        for row in rows)
+    return F.expr(f"inline(array({structs}))")
+
+
 def small_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
     """A fixed table as a local relation: name -> (type, values).
 

@@ -15,5 +15,4 @@ def seasonal_naive(positioned: DataFrame, horizon: int, season: int, test_size:
     """
     rows = origins(positioned, horizon, test_size, step, history=season, skip_last=skip_last)
     leads = with_leads(rows, horizon)
-    return leads.withColumn(
-        "yhat", at(season_position(F.col("lead"), season)).getField(TARGET)).select(*GRID, "yhat")
+    return leads.select(*GRID, F.expr(at(season_position(season), TARGET)).alias("yhat"))

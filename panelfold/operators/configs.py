@@ -147,11 +147,11 @@ def effective_model(configs: DataFrame) -> DataFrame:
     Only these parameters change a closed-form fit; training parameters such as
     the learning rate do not.
     """
-    window = F.col("config").getItem("moving_avg_window")
-    multiple = F.coalesce(F.col("config").getItem("input_size_multiplier"), F.lit("1"))
+    window = F.col("config")["moving_avg_window"]
+    multiple = F.coalesce(F.col("config")["input_size_multiplier"], F.lit("1"))
     features = F.when(F.col("family") == "DLinear", F.concat(F.lit("trend"), window)).when(
         F.col("family") == "NLinear", F.concat(F.lit("season"), multiple))
-    scaler = F.when(F.col("config").getItem("scaler_type") == "None", "none").otherwise("standard")
+    scaler = F.when(F.col("config")["scaler_type"] == "None", "none").otherwise("standard")
     return configs.withColumn("features", features).withColumn("scaler", scaler)
 
 

@@ -55,24 +55,21 @@ def lag_features(positioned: DataFrame, lags: int, freq: str | None = None) -> D
 
 
 def _feature_rows(season: int, features: tuple[str, ...]) -> Column:
-    """Regressors and base of every feature set at lead ``lead`` of origin ``c``."""
-    here = at(F.col("c"))
-    last = here.getField(TARGET)
-    back = [at(season_position(F.col("lead"), season, j)).getField(TARGET) for j in (1, 2)]
-    zero = F.lit(0.0)
+    """Regressors ``x1``, ``x2`` and ``base`` of every feature set at one lead."""
+    last = at("c", TARGET)
+    back = {j: at(season_position(season, j), TARGET) for j in (1, 2)}
 
-    def row(name: str) -> Column:
+    def row(name: str) -> str:
         if name == "season1":
-            x1, x2, base = back[0] - last, zero, last
+            x1, x2, base = f"{back[1]} - {last}", "0D", last
         elif name == "season2":
-            x1, x2, base = (back[0] + back[1]) / 2 - last, zero, last
+            x1, x2, base = f"({back[1]} + {back[2]}) / 2 - {last}", "0D", last
         else:
-            base = here.getField(f"tr{name.removeprefix('trend')}")
-            x1, x2 = last - base, back[0] - base
-        return F.struct(F.lit(name).alias("features"), x1.alias("x1"), x2.alias("x2"),
-                        base.alias("base"))
+            base = at("c", f"tr{name.removeprefix('trend')}")
+            x1, x2 = f"{last} - {base}", f"{back[1]} - {base}"
+        return f"named_struct('features', '{name}', 'x1', {x1}, 'x2', {x2}, 'base', {base})"
 
-    return F.array(*[row(name) for name in features])
+    return F.expr(f"inline(array({', '.join(row(name) for name in features)}))")
 
 
 def _blocks(trended: DataFrame, freq: str | None, horizon: int, season: int) -> DataFrame:
@@ -98,57 +95,47 @@ def training_sums(trended: DataFrame, horizon: int, season: int, stages: dict[st
     """
     blocks = _blocks(trended, freq, horizon, season)
     windows = (
-        blocks.withColumn("c", F.explode(F.sequence(F.col("_from"), F.col("_upto"))))
-        .withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-        .filter(F.col("c") + F.col("lead") <= F.col(SIZE) - min(stages.values()))
-        .withColumn("target", at(F.col("c") + F.col("lead")).getField(TARGET))
-        .filter(F.col("target").isNotNull())
-        .select(ID, SIZE, "lead", "c", "target",
-                F.inline(_feature_rows(season, features)))
-        .withColumn("z", F.col("target") - F.col("base"))
-        .filter(F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("z").isNotNull()))
-    products = {
-        "cnt": F.lit(1.0), "s1": F.col("x1"), "s2": F.col("x2"), "sz": F.col("z"),
-        "s11": F.col("x1") * F.col("x1"), "s12": F.col("x1") * F.col("x2"),
-        "s22": F.col("x2") * F.col("x2"), "s1z": F.col("x1") * F.col("z"),
-        "s2z": F.col("x2") * F.col("z")}
-    seen = {stage: F.col("c") + F.col("lead") <= F.col(SIZE) - hold
-            for stage, hold in stages.items()}
+        blocks.withColumn("c", F.expr("explode(sequence(_from, _upto))"))
+        .withColumn("lead", F.expr(f"explode(sequence(1, {horizon}))"))
+        .filter(f"c + lead <= {SIZE} - {min(stages.values())}")
+        .withColumn("target", F.expr(at("c + lead", TARGET)))
+        .filter("target is not null")
+        .select(ID, F.expr(f"{SIZE} - c - lead").alias("unseen"), "lead", "target",
+                _feature_rows(season, features))
+        .selectExpr(ID, "unseen", "lead", "features", "x1", "x2", "target - base as z")
+        .filter("x1 is not null and x2 is not null and z is not null"))
+    products = {"cnt": "1D", "s1": "x1", "s2": "x2", "sz": "z", "s11": "x1 * x1",
+                "s12": "x1 * x2", "s22": "x2 * x2", "s1z": "x1 * z", "s2z": "x2 * z"}
     wide = windows.groupBy(ID, "features", "lead").agg(*[
-        F.sum(F.when(seen[stage], product)).alias(f"{stage}_{name}")
-        for stage in stages for name, product in products.items()])
-    per_stage = F.array(*[
-        F.struct(F.lit(stage).alias("stage"),
-                 *[F.col(f"{stage}_{name}").alias(name) for name in SUMS])
-        for stage in stages])
-    return (wide.select(ID, "features", "lead", F.inline(per_stage))
-            .filter(F.col("cnt") > 0))
+        F.expr(f"sum(if(unseen >= {hold}, {product}, null)) as {stage}_{name}")
+        for stage, hold in stages.items() for name, product in products.items()])
+    per_stage = ", ".join(
+        f"named_struct('stage', '{stage}', "
+        + ", ".join(f"'{name}', {stage}_{name}" for name in SUMS) + ")" for stage in stages)
+    return wide.selectExpr(ID, "features", "lead", f"inline(array({per_stage}))").filter("cnt > 0")
 
 
 def series_widths(positioned: DataFrame, stages: dict[str, int]) -> DataFrame:
     """Standard deviation of each series per stage, over the rows the stage sees."""
     wide = positioned.groupBy(ID).agg(*[
-        F.nullif(F.stddev_pop(F.when(F.col(POS) <= F.col(SIZE) - hold, F.col(TARGET))),
-                 F.lit(0.0)).alias(stage)
+        F.expr(f"nullif(stddev_pop(if({POS} <= {SIZE} - {hold}, {TARGET}, null)), 0D) as {stage}")
         for stage, hold in stages.items()])
-    per_stage = F.array(*[
-        F.struct(F.lit(stage).alias("stage"), F.col(stage).alias("width")) for stage in stages])
-    return wide.select(ID, F.inline(per_stage))
+    per_stage = ", ".join(
+        f"named_struct('stage', '{stage}', 'width', {stage})" for stage in stages)
+    return wide.selectExpr(ID, f"inline(array({per_stage}))")
 
 
 def apply_scalers(sums: DataFrame, widths: DataFrame,
                   scalers: tuple[str, ...] = SCALERS) -> DataFrame:
     """Add ``scaler``: plain sums, and sums of the standardized series."""
-    options = F.array(*[
-        F.struct(F.lit(s).alias("scaler"),
-                 (F.lit(1.0) if s == "none" else 1 / F.col("width")).alias("_w"))
-        for s in scalers])
-    rows = sums.join(widths, [ID, "stage"]).select("*", F.inline(options))
-    rows = rows.filter(F.col("_w").isNotNull())
-    powers = {"cnt": 0, "s1": 1, "s2": 1, "sz": 1, "s11": 2, "s12": 2, "s22": 2, "s1z": 2, "s2z": 2}
-    scaled = [F.col(n) if p == 0 else (F.col(n) * F.pow("_w", F.lit(p))).alias(n)
-              for n, p in powers.items()]
-    return rows.select(ID, "features", "scaler", "stage", "lead", *scaled)
+    options = ", ".join(
+        f"named_struct('scaler', '{s}', '_w', {'1D' if s == 'none' else '1 / width'})"
+        for s in scalers)
+    rows = sums.join(widths, [ID, "stage"]).selectExpr("*", f"inline(array({options}))")
+    squares = [f"{name} * _w * _w as {name}" for name in SUMS[4:]]
+    return rows.filter("_w is not null").selectExpr(
+        ID, "features", "scaler", "stage", "lead", "cnt", "s1 * _w as s1", "s2 * _w as s2",
+        "sz * _w as sz", *squares)
 
 
 def fit(sums: DataFrame, train: DataFrame, groups: list[str],
@@ -163,9 +150,9 @@ def fit(sums: DataFrame, train: DataFrame, groups: list[str],
     """
     on = [ID, "stage"] if "stage" in train.columns else [ID]
     joined = sums.join(train.select(*groups, *on, *([weight] if weight else [])), on)
-    times = F.col(weight) if weight else F.lit(1)
     keys = [*groups, "features", "scaler", "stage", "lead"]
-    pooled = joined.groupBy(*keys).agg(*[F.sum(F.col(n) * times).alias(n) for n in SUMS])
+    times = f" * {weight}" if weight else ""
+    pooled = joined.groupBy(*keys).agg(*[F.expr(f"sum({n}{times}) as {n}") for n in SUMS])
     return coefficients(pooled, keys)
 
 
@@ -175,27 +162,19 @@ def coefficients(pooled: DataFrame, keys: list[str]) -> DataFrame:
     Season features have one regressor, trend features two. Without enough
     variation the coefficients are null, and so are forecasts made with them.
     """
-    n = F.col("cnt")
-
-    def centred(product: str, left: str, right: str) -> Column:
-        return F.col(product) - F.col(left) * F.col(right) / n
-
-    c = pooled.select(
+    centred = pooled.selectExpr(
         *keys, "cnt", "s1", "s2", "sz",
-        centred("s11", "s1", "s1").alias("c11"), centred("s12", "s1", "s2").alias("c12"),
-        centred("s22", "s2", "s2").alias("c22"), centred("s1z", "s1", "sz").alias("c1z"),
-        centred("s2z", "s2", "sz").alias("c2z"))
-    single = F.col("features").isin(*SEASON_FEATURES)
-    det = F.nullif(F.col("c11") * F.col("c22") - F.col("c12") * F.col("c12"), F.lit(0.0))
-    solved = c.select(
+        "s11 - s1 * s1 / cnt as c11", "s12 - s1 * s2 / cnt as c12", "s22 - s2 * s2 / cnt as c22",
+        "s1z - s1 * sz / cnt as c1z", "s2z - s2 * sz / cnt as c2z")
+    single = "features in (" + ", ".join(f"'{name}'" for name in SEASON_FEATURES) + ")"
+    det = "nullif(c11 * c22 - c12 * c12, 0D)"
+    solved = centred.selectExpr(
         *keys, "cnt", "s1", "s2", "sz",
-        F.when(single, F.col("c1z") / F.nullif(F.col("c11"), F.lit(0.0))).otherwise(
-            (F.col("c22") * F.col("c1z") - F.col("c12") * F.col("c2z")) / det).alias("b1"),
-        F.when(single, F.lit(0.0)).otherwise(
-            (F.col("c11") * F.col("c2z") - F.col("c12") * F.col("c1z")) / det).alias("b2"))
-    return solved.select(
-        *keys, F.col("cnt").cast("long").alias("n_windows"), "b1", "b2",
-        ((F.col("sz") - F.col("b1") * F.col("s1") - F.col("b2") * F.col("s2")) / n).alias("a"))
+        f"if({single}, c1z / nullif(c11, 0D), (c22 * c1z - c12 * c2z) / {det}) as b1",
+        f"if({single}, 0D, (c11 * c2z - c12 * c1z) / {det}) as b2")
+    return solved.selectExpr(
+        *keys, "cast(cnt as bigint) as n_windows", "b1", "b2",
+        "(sz - b1 * s1 - b2 * s2) / cnt as a")
 
 
 def forecast_inputs(trended: DataFrame, horizon: int, season: int, test_size: int,
@@ -204,7 +183,7 @@ def forecast_inputs(trended: DataFrame, horizon: int, season: int, test_size: in
     """Grid rows with the regressors of every feature set."""
     rows = origins(trended, horizon, test_size, step, history=2 * season, skip_last=skip_last,
                    extra=[f"tr{w}" for w in TREND_WINDOWS])
-    return with_leads(rows, horizon).select(*GRID, F.inline(_feature_rows(season, features)))
+    return with_leads(rows, horizon).select(*GRID, _feature_rows(season, features))
 
 
 def predict(inputs: DataFrame, coefs: DataFrame, widths: DataFrame, on: list[str]) -> DataFrame:
@@ -216,10 +195,9 @@ def predict(inputs: DataFrame, coefs: DataFrame, widths: DataFrame, on: list[str
     """
     rows = inputs.join(F.broadcast(coefs), [*on, "features", "lead"])
     rows = rows.join(widths.select(ID, "width"), ID)
-    unit = F.when(F.col("scaler") == "none", F.lit(1.0)).otherwise(F.col("width"))
-    yhat = (F.col("base") + F.col("a") * unit
-            + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2"))
-    return rows.withColumn("yhat", yhat).drop("x1", "x2", "base", "a", "b1", "b2", "width")
+    yhat = "base + a * if(scaler = 'none', 1D, width) + b1 * x1 + b2 * x2"
+    return rows.withColumn("yhat", F.expr(yhat)).drop(
+        "x1", "x2", "base", "a", "b1", "b2", "width")
 
 
 def global_fit_predict(trended: DataFrame, assignments: DataFrame, horizon: int, season: int,

@@ -6,7 +6,7 @@ grid reads the tail of each series (a length set by parameters, not by data)
 as one array and looks every value up by position: one shuffle, no joins.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import ID, OUT_SET_MULTIPLIER, POS, SIZE, STEP_SIZE, TARGET, TIME
 from ..session import ensure_checkpoint_dir
@@ -37,26 +37,24 @@ def origins(positioned: DataFrame, horizon: int, test_size: int, step: int = STE
     if test_size < horizon:
         raise ValueError("test_size must be at least the horizon")
     rows = series.withColumn("c", F.explode(cutoffs)).filter(F.col("c") >= 1)
-    return rows.withColumn("cutoff", at(F.col("c")).getField(TIME))
+    return rows.withColumn("cutoff", F.expr(at("c", TIME)))
 
 
-def at(position: Column) -> Column:
-    """The point at ``position``, or null outside of ``points``."""
-    first = F.get(F.col("points"), F.lit(0)).getField(POS)
-    return F.get(F.col("points"), (position - first).cast("int"))
+def at(position: str, field: str) -> str:
+    """SQL text: ``field`` of the point at ``position``, null outside of ``points``."""
+    return f"get(points, cast({position} - get(points, 0).{POS} as int)).{field}"
 
 
-def season_position(lead: Column, season: int, back: int = 1) -> Column:
-    """Position of the point in the same season phase, ``back`` seasons ago."""
-    return F.col("c") - F.lit(season * back) + (lead - 1) % F.lit(season) + 1
+def season_position(season: int, back: int = 1) -> str:
+    """SQL text: position in the season phase of ``lead``, ``back`` seasons ago."""
+    return f"(c - {season * back} + (lead - 1) % {season} + 1)"
 
 
 def with_leads(origin_rows: DataFrame, horizon: int) -> DataFrame:
     """One row per (series, cutoff, lead) with the time and actual of the lead."""
-    rows = origin_rows.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    target = at(F.col("c") + F.col("lead"))
-    return rows.withColumn(TIME, target.getField(TIME)).withColumn(
-        TARGET, target.getField(TARGET))
+    rows = origin_rows.withColumn("lead", F.expr(f"explode(sequence(1, {horizon}))"))
+    return rows.withColumns({TIME: F.expr(at("c + lead", TIME)),
+                             TARGET: F.expr(at("c + lead", TARGET))})
 
 
 GRID = [ID, "cutoff", TIME, "lead", TARGET]

@@ -187,7 +187,7 @@ def annotate_top2(board: DataFrame, digits: int = 3) -> DataFrame:
 def label(column: Column, names: dict[str, str]) -> Column:
     """Display name of a value; values without one pass through."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(table.getItem(column), column)
+    return F.coalesce(table[column], column)
 
 
 def round_report(table: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:

@@ -82,10 +82,10 @@ def ridge_lags_forecast(positioned: DataFrame, assignments: DataFrame, horizon:
     test = assignments.filter(F.col("role") == "test").select("method", "fold", ID)
     betas = ridge_coefficients(positioned, train, horizon, lags, penalty, horizon, freq)
     ahead = with_leads(origins(positioned, horizon, horizon, history=lags), horizon)
-    last = at(F.col("c")).getField(TARGET)
-    steps = F.transform(F.sequence(F.lit(lags - 1), F.lit(1)),
-                        lambda back: at(F.col("c") - back).getField(TARGET) - last)
-    inputs = ahead.select(*GRID, last.alias("_last"), steps.alias("x")).join(test, ID)
+    last = at("c", TARGET)
+    steps = f"transform(sequence({lags - 1}, 1), back -> {at('c - back', TARGET)} - {last})"
+    inputs = ahead.select(
+        *GRID, F.expr(last).alias("_last"), F.expr(steps).alias("x")).join(test, ID)
     # One row per fold and lead.
     rows = inputs.join(F.broadcast(betas), ["method", "fold", "lead"])
     dot = F.aggregate(

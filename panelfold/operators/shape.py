@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import next_time, truncate_hour
-from ..functions.exprs import clean, hash_text
+from ..functions.exprs import clean, hash_text, inline_rows
 from ..schema import ID, OUT_SET_MULTIPLIER, POS, SEED, SIZE, TARGET, TIME
 from .positions import neighbours, series_sizes, with_positions
 from .ranks import hash_rank
@@ -41,8 +41,8 @@ def sampled_series(series: DataFrame, frac_uid: float, seed: int = SEED,
 def sampled_per_seed(series: DataFrame, frac_uid: float, seeds: list[int],
                      id_col: str = ID) -> DataFrame:
     """Rows ``(seed, id)``: an independent share of the series for every seed."""
-    drawn = series.select(id_col).distinct().withColumn(
-        "seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    drawn = series.select(id_col).distinct().select(
+        id_col, inline_rows([(s,) for s in seeds], ["seed"]))
     digest = hash_text(F.col("seed"), F.lit("sample"), F.col(id_col))
     ranked = hash_rank(drawn, digest, ["seed"], id_col)
     kept = F.bround(F.col("total") * F.lit(float(frac_uid)), 0)

@@ -10,13 +10,12 @@ The digits of the draws differ from other random generators; sizes,
 disjointness and coverage are what is guaranteed.
 """
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import hash_number, hash_text
+from ..functions.exprs import hash_number, hash_text, inline_rows
 from ..schema import (HOLDOUT_TRAIN, ID, KFOLD_REPEATS, KFOLD_SIZES, MONTE_CARLO_TEST,
                       MONTE_CARLO_TRAIN, N_FOLDS, SEED, TIME_METHOD)
 from .ranks import hash_rank
@@ -78,13 +77,14 @@ ALL_METHODS = {**CV_METHODS, TIME_METHOD: EverySeries()}
 def assign(series: DataFrame, schemes: dict[str, Scheme], seed: int | None = SEED) -> DataFrame:
     """Assignment table of all ``schemes`` at once.
 
-    With ``seed=None`` the frame brings a ``seed`` column and every seed is
-    split on its own; the result then keeps that column.
+    With ``seed=None`` the frame has distinct rows ``(seed, unique_id)`` and
+    every seed is split on its own; the result then keeps that column.
     """
     keys = ["seed"] if seed is None else []
-    uids = series.select(*keys, ID).distinct()
-    if seed is not None:
-        uids = uids.withColumn("seed", F.lit(seed))
+    if seed is None:
+        uids = series.select("seed", ID)
+    else:
+        uids = series.select(ID).distinct().withColumn("seed", F.lit(seed))
     of_kind = {kind: {m: s for m, s in schemes.items() if isinstance(s, kind)}
                for kind in (Shares, Folds, Bootstrap, EverySeries)}
     parts = []
@@ -94,16 +94,11 @@ def assign(series: DataFrame, schemes: dict[str, Scheme], seed: int | None = SEE
         parts.append(_bootstrap_roles(uids, of_kind[Bootstrap]).drop("weight"))
     if of_kind[EverySeries]:
         both = [(m, 0, role) for m in of_kind[EverySeries] for role in ("train", "test")]
-        parts.append(uids.select("seed", ID, _inline(both, ["method", "fold", "role"])))
+        parts.append(uids.select("seed", ID, inline_rows(both, ["method", "fold", "role"])))
     return reduce(DataFrame.unionByName, [
         p.select(*keys, "method", "fold", ID, "role") for p in parts])
 
 
-def _inline(rows: Iterable[tuple], names: list[str]) -> Column:
-    return F.inline(F.array(*[
-        F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]))
-
-
 def _share_size(share: Column) -> Column:
     """Truncated share of the series, in double arithmetic."""
     return F.floor(F.col("total") * share)
@@ -131,11 +126,11 @@ def _ranked_roles(uids: DataFrame, shares: dict[str, Shares], folds: dict[str, F
         shuffles[shuffle] = max(shuffles.get(shuffle, 0), s.repeats)
         specs.append((method, shuffle, s.repeats, 0.0, 0.0, s.k))
     draws = [(shuffle, r) for shuffle, n in shuffles.items() for r in range(n)]
-    drawn = uids.select("seed", ID, _inline(draws, ["shuffle", "repeat"]))
+    drawn = uids.select("seed", ID, inline_rows(draws, ["shuffle", "repeat"]))
     digest = hash_text(F.col("seed"), F.col("shuffle"), F.col("repeat"), F.col(ID))
     ranked = hash_rank(drawn, digest, ["seed", "shuffle", "repeat"])
     names = ["method", "_shuffle", "_repeats", "train", "test", "k"]
-    each = ranked.select("*", _inline(specs, names)).filter(
+    each = ranked.select("*", inline_rows(specs, names)).filter(
         (F.col("_shuffle") == F.col("shuffle")) & (F.col("repeat") < F.col("_repeats")))
     rank, k = F.col("rank"), F.col("k")
     trained = _share_size(F.col("train"))
@@ -157,7 +152,7 @@ def _bootstrap_roles(uids: DataFrame, schemes: dict[str, Bootstrap]) -> DataFram
     ranked = hash_rank(uids, hash_text(F.col("seed"), F.lit("bootstrap"), F.col(ID)), ["seed"])
     draws = [(m, r) for m, s in schemes.items() for r in range(s.repeats)]
     slots = ranked.select("seed", ID, F.col("rank").alias("slot"), "total",
-                          _inline(draws, ["method", "fold"]))
+                          inline_rows(draws, ["method", "fold"]))
     # Every slot also makes one draw, so n never has to reach the driver.
     digest = hash_text(F.col("seed"), F.col("method"), F.col("fold"), F.col("slot"))
     hits = (slots.select("seed", "method", "fold",

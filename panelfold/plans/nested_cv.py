@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.exprs import inline_rows
 from ..operators import configs as C
 from ..operators import linear as L
 from ..operators.baseline import seasonal_naive
@@ -152,9 +153,8 @@ def refit_final(fitted: Fitted) -> DataFrame:
     rows = rows.withColumn("model", F.col("family"))
     keep = [*RUN, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
     naive = seasonal_naive(fitted.trended, run.horizon, run.season, windows.out)
-    runs = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(m).alias("method"))
-                     for s in run.seeds for m in run.method_names])
-    baseline = naive.select("*", F.inline(runs)).withColumn("model", F.lit(BASELINE))
+    runs = inline_rows([(s, m) for s in run.seeds for m in run.method_names], RUN)
+    baseline = naive.select("*", runs).withColumn("model", F.lit(BASELINE))
     return (rows.select(keep).unionByName(baseline.select(keep))
             .withColumn("stage", F.lit("outer")).withColumn("fold", F.lit(0)).select(FORECAST))
 
