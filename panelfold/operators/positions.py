@@ -69,7 +69,7 @@ class Neighbours:
 
 
 def neighbours(positioned: DataFrame, freq: str | None, before: int = 0, after: int = 0,
-               id_col: str = ID, block_rows: int = BLOCK_ROWS) -> Neighbours:
+               id_col: str = ID) -> Neighbours:
     """Prepare windows over a positioned panel.
 
     A bounded series is one window partition. Otherwise each row goes to the
@@ -78,7 +78,7 @@ def neighbours(positioned: DataFrame, freq: str | None, before: int = 0, after:
     """
     if is_bounded(freq):
         return Neighbours(positioned, [id_col], F.lit(True))
-    size = max(block_rows, before, after)
+    size = max(BLOCK_ROWS, before, after)
     home = F.floor((F.col(POS) - 1) / F.lit(size)).cast("long")
     offset = (F.col(POS) - 1) % F.lit(size)
     last_block = F.floor((F.col(SIZE) - 1) / F.lit(size)).cast("long")

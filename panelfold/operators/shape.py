@@ -139,10 +139,8 @@ def outset_series_holdout(panel: DataFrame, horizon: int, freq: str | None = Non
 
 def _mean_per(raw: DataFrame, time: Column, id_col: str, time_col: str,
               target_col: str) -> DataFrame:
-    # Decimal sums do not depend on the order of the rows.
-    value = clean(F.col(target_col)).cast("decimal(28,6)")
-    return (raw.groupBy(id_col, time.alias(time_col))
-            .agg((F.sum(value).cast("double") / F.count(value)).alias(target_col)))
+    return raw.groupBy(id_col, time.alias(time_col)).agg(
+        F.avg(clean(F.col(target_col))).alias(target_col))
 
 
 def _fill_gaps(regular: DataFrame, step: str, id_col: str, time_col: str,

@@ -6,7 +6,7 @@ from panelfold.operators import errors, linear, origins, ridge, splits
 from panelfold.operators.baseline import seasonal_naive
 from panelfold.operators.positions import with_positions
 from panelfold.schema import BASELINE, ID, POS, SIZE, TARGET, TIME
-from panelfold.session import shared_folder
+from panelfold.session import materialize, shared_folder
 
 from .panels import PANELS, panel
 from .sqltext import PANEL, POSITIONS, UIDS, ctes
@@ -185,14 +185,21 @@ ASSIGNED = f"{sqltext.holdout('Holdout', 0.7, 1)} UNION ALL {sqltext.kfold('KFol
 
 
 def _assignments(rows):
-    return splits.holdout(rows).unionByName(splits.kfold(rows))
+    return splits.assign(rows, {"Holdout": splits.Shares(0.7), "KFold": splits.Folds(5)})
+
+
+def _prepared(rows):
+    """Panel and splits written once: fits, widths and forecasts all read them."""
+    rows = materialize(rows, "panel")
+    first = rows.filter(F.col(POS) == 1).select(ID)
+    return rows, materialize(_assignments(first), "assignments")
 
 
 def _linear(name, features, scaler):
     def run(spark, sf):
         p = PANELS[name]
-        rows = trended(spark, sf, name)
-        out = linear.global_fit_predict(rows, _assignments(rows), p["horizon"], p["season"],
+        rows, assigned = _prepared(trended(spark, sf, name))
+        out = linear.global_fit_predict(rows, assigned, p["horizon"], p["season"],
                                         p["freq"], features, scaler)
         return out.withColumn("yhat", F.round("yhat", 1)).withColumn(TARGET, F.round(TARGET, 1))
     return run
@@ -234,7 +241,7 @@ SELECT unique_id, ds, lag_14, lag_9, y AS lag_0, CAST(15 AS BIGINT) AS n_lags FR
 
 def _stored_fit(spark, sf):
     """Fit on one panel, store the coefficients, score another panel with them."""
-    rows = trended(spark, sf, "brand_month")
+    rows = materialize(trended(spark, sf, "brand_month"), "panel")
     stages = {"final": 12}
     sums = linear.apply_scalers(
         linear.training_sums(rows, 6, 12, stages, "MS", ("season1",)),
@@ -242,7 +249,7 @@ def _stored_fit(spark, sf):
     everyone = rows.select(ID).distinct().withColumn("run", F.lit("fitted"))
     folder = shared_folder(spark, "coefficients")
     linear.fit(sums, everyone, ["run"]).write.parquet(folder)
-    other = trended(spark, sf, "nation_month")
+    other = materialize(trended(spark, sf, "nation_month"), "panel")
     inputs = linear.forecast_inputs(other, 6, 12, 6, features=("season1",)).withColumn(
         "run", F.lit("fitted"))
     stored = spark.read.parquet(folder).select(
@@ -268,8 +275,8 @@ WHERE a.pos = a.n - 6"""
 
 
 def _ridge(spark, sf):
-    rows = positioned(spark, sf, "brand_month")
-    return ridge.ridge_lags_forecast(rows, _assignments(rows), 6, lags=7, penalty=1.0, freq="MS")
+    rows, assigned = _prepared(positioned(spark, sf, "brand_month"))
+    return ridge.ridge_lags_forecast(rows, assigned, 6, lags=7, penalty=1.0, freq="MS")
 
 
 QUERIES["ridge_lags_forecast"] = _ridge
@@ -295,9 +302,9 @@ SELECT unique_id, round(scale, 4) AS scale FROM s"""
 
 # A scale of zero or nothing is null: here the day before rarely has a match.
 QUERIES["zero_to_null"] = lambda spark, sf: errors.mase_scale(
-    positioned(spark, sf, "user_day"), 26, "D").withColumn("scale", F.round("scale", 4))
+    positioned(spark, sf, "user_day"), 26, "D").withColumn("scale", F.round("scale", 6))
 SQL["zero_to_null"] = base("user_day", s=SCALE.format(m=26, hold=0)) + """
-SELECT unique_id, round(scale, 4) AS scale FROM s"""
+SELECT unique_id, round(scale, 6) AS scale FROM s"""
 
 
 def _naive_errors(spark, sf, name, test):

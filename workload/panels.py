@@ -23,8 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _money(column: str):
-    """Exact sum of a money column, as double."""
-    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double").alias(TARGET)
+    """Sum of a money column in whole cents, which no order of summation changes."""
+    return F.expr(f"sum(cast(rint({column} * 100) as bigint)) / 100D").alias(TARGET)
+
+
+def _settled(means: DataFrame) -> DataFrame:
+    """Means to eight places: the rest depends on the order of summation."""
+    return means.withColumn(TARGET, F.round(TARGET, 8))
 
 
 def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +64,11 @@ def type_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample_daily(user_raw(spark, sf_dir))
+    return _settled(resample_daily(user_raw(spark, sf_dir)))
 
 
 def type_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample_hourly(type_raw(spark, sf_dir))
+    return _settled(resample_hourly(type_raw(spark, sf_dir)))
 
 
 BUILDERS = {"brand_month": brand_month, "nation_month": nation_month,

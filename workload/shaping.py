@@ -7,7 +7,7 @@ from panelfold.operators.positions import with_positions
 from panelfold.schema import ID, TARGET, TIME
 from panelfold.sources.params import SEASON_OVERRIDES, dataset_params, override_seasonality
 
-from .panels import BUILDERS, PANELS, panel, stacked, table, type_raw, user_raw
+from .panels import BUILDERS, PANELS, panel, stacked, table, user_raw
 from .sqltext import PANEL, POSITIONS, RAW, UIDS, ctes, resampled, sampled
 from . import sqltext
 
@@ -99,10 +99,10 @@ FROM pos"""
 
 # -- resampling ---------------------------------------------------------------
 
-QUERIES["resample_daily"] = lambda spark, sf: shape.resample_daily(user_raw(spark, sf))
+QUERIES["resample_daily"] = lambda spark, sf: panel(spark, sf, "user_day")
 SQL["resample_daily"] = resampled(RAW["user_raw"], "day")
 
-QUERIES["resample_hourly"] = lambda spark, sf: shape.resample_hourly(type_raw(spark, sf))
+QUERIES["resample_hourly"] = lambda spark, sf: panel(spark, sf, "type_hour")
 SQL["resample_hourly"] = resampled(RAW["type_raw"], "hour")
 
 # -- checks and summaries -----------------------------------------------------

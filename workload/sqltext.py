@@ -16,7 +16,7 @@ FROM (SELECT unique_id, CAST(unnest(generate_series(
           CAST(date_trunc('{unit}', max(ds)) AS TIMESTAMP), INTERVAL 1 {unit})) AS {kind}) AS ds
       FROM ({raw}) GROUP BY unique_id) s
 LEFT JOIN (SELECT unique_id, CAST(date_trunc('{unit}', ds) AS {kind}) AS ds,
-                  CAST(sum(CAST(y AS DECIMAL(28,6))) AS DOUBLE) / count(y) AS y
+                  round(avg(y), 8) AS y
            FROM ({raw}) GROUP BY 1, 2) m
   ON s.unique_id = m.unique_id AND s.ds = m.ds"""
 
