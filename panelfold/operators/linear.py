@@ -19,6 +19,8 @@ well-conditioned. A ``standard`` scaler divides a series by its standard
 deviation before the sums and multiplies forecasts back.
 """
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import ID, POS, SIZE, STEP_SIZE, TARGET
@@ -72,16 +74,26 @@ def _feature_rows(season: int, features: tuple[str, ...]) -> Column:
     return F.expr(f"inline(array({', '.join(row(name) for name in features)}))")
 
 
-def _blocks(trended: DataFrame, freq: str | None, horizon: int, season: int) -> DataFrame:
-    """Each series (or block of a long series) as one array ``points``."""
-    near = neighbours(trended, freq, before=2 * season, after=horizon)
-    fields = [POS, TARGET, *[f"tr{w}" for w in TREND_WINDOWS]]
-    first_core = F.min(F.when(near.core, F.col(POS))).alias("_from")
-    last_core = F.max(F.when(near.core, F.col(POS))).alias("_upto")
-    # A block holds a fixed number of rows plus its edge copies.
-    return near.rows.groupBy(*near.keys, SIZE).agg(
-        first_core, last_core,
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("points"))
+def training_windows(positioned: DataFrame, horizon: int, before: int, hold: int,
+                     freq: str | None, extra: list[str] | None = None) -> DataFrame:
+    """One row per (series, origin ``c``, lead) whose target a fit may see.
+
+    ``points`` holds the rows around the origin as one array per series, or per
+    block of a long series: a fixed number of rows plus its edge copies. The
+    target is the ``horizon``-bounded lead; the last ``hold`` rows are unseen.
+    """
+    near = neighbours(positioned, freq, before=before, after=horizon)
+    core = F.when(near.core, F.col(POS))
+    # Grouping by the window keys alone keeps the partitioning of the windows.
+    blocks = near.rows.groupBy(*near.keys).agg(
+        F.max(SIZE).alias(SIZE), F.min(core).alias("_from"), F.max(core).alias("_upto"),
+        F.sort_array(F.collect_list(F.struct(POS, TARGET, *(extra or [])))).alias("points"))
+    return (
+        blocks.withColumn("c", F.expr("explode(sequence(_from, _upto))"))
+        .withColumn("lead", F.expr(f"explode(sequence(1, {horizon}))"))
+        .filter(f"c + lead <= {SIZE} - {hold}")
+        .withColumn("target", F.expr(at("c + lead", TARGET)))
+        .filter("target is not null"))
 
 
 def training_sums(trended: DataFrame, horizon: int, season: int, stages: dict[str, int],
@@ -93,13 +105,9 @@ def training_sums(trended: DataFrame, horizon: int, season: int, stages: dict[st
     window counts for a stage only if its target lies before them. All stages
     are summed in the same pass.
     """
-    blocks = _blocks(trended, freq, horizon, season)
     windows = (
-        blocks.withColumn("c", F.expr("explode(sequence(_from, _upto))"))
-        .withColumn("lead", F.expr(f"explode(sequence(1, {horizon}))"))
-        .filter(f"c + lead <= {SIZE} - {min(stages.values())}")
-        .withColumn("target", F.expr(at("c + lead", TARGET)))
-        .filter("target is not null")
+        training_windows(trended, horizon, 2 * season, min(stages.values()), freq,
+                         [f"tr{w}" for w in TREND_WINDOWS])
         .select(ID, F.expr(f"{SIZE} - c - lead").alias("unseen"), "lead", "target",
                 _feature_rows(season, features))
         .selectExpr(ID, "unseen", "lead", "features", "x1", "x2", "target - base as z")
@@ -116,22 +124,25 @@ def training_sums(trended: DataFrame, horizon: int, season: int, stages: dict[st
 
 
 def series_widths(positioned: DataFrame, stages: dict[str, int]) -> DataFrame:
-    """Standard deviation of each series per stage, over the rows the stage sees."""
-    wide = positioned.groupBy(ID).agg(*[
-        F.expr(f"nullif(stddev_pop(if({POS} <= {SIZE} - {hold}, {TARGET}, null)), 0D) as {stage}")
+    """One row per series with ``width_<stage>``: its deviation over the rows a stage sees."""
+    return positioned.groupBy(ID).agg(*[
+        F.expr(f"nullif(stddev_pop(if({POS} <= {SIZE} - {hold}, {TARGET}, null)), 0D)"
+               f" as width_{stage}")
         for stage, hold in stages.items()])
-    per_stage = ", ".join(
-        f"named_struct('stage', '{stage}', 'width', {stage})" for stage in stages)
-    return wide.selectExpr(ID, f"inline(array({per_stage}))")
 
 
-def apply_scalers(sums: DataFrame, widths: DataFrame,
+def apply_scalers(sums: DataFrame, widths: DataFrame, stages: Iterable[str],
                   scalers: tuple[str, ...] = SCALERS) -> DataFrame:
-    """Add ``scaler``: plain sums, and sums of the standardized series."""
+    """Add ``scaler``: plain sums, and sums of the standardized series.
+
+    Joins on the series alone, as both sides are already partitioned by it.
+    """
+    width = "case stage " + " ".join(f"when '{s}' then width_{s}" for s in stages) + " end"
     options = ", ".join(
-        f"named_struct('scaler', '{s}', '_w', {'1D' if s == 'none' else '1 / width'})"
+        f"named_struct('scaler', '{s}', '_w', {'1D' if s == 'none' else f'1 / {width}'})"
         for s in scalers)
-    rows = sums.join(widths, [ID, "stage"]).selectExpr("*", f"inline(array({options}))")
+    rows = sums.join(widths, ID).selectExpr(
+        ID, "features", "stage", "lead", *SUMS, f"inline(array({options}))")
     squares = [f"{name} * _w * _w as {name}" for name in SUMS[4:]]
     return rows.filter("_w is not null").selectExpr(
         ID, "features", "scaler", "stage", "lead", "cnt", "s1 * _w as s1", "s2 * _w as s2",
@@ -143,13 +154,16 @@ def fit(sums: DataFrame, train: DataFrame, groups: list[str],
     """Coefficients per (groups, features, scaler, stage, lead).
 
     ``train`` lists the training series of every group (a fold of a method), and
-    may restrict a group to some stages by a ``stage`` column;
+    may restrict a group to some stages by an array column ``stages``;
     ``weight`` names its column of multiplicities, if series may count more
     than once. Partial sums per task come before the shuffle, so what travels
     is one row per coefficient and task.
     """
-    on = [ID, "stage"] if "stage" in train.columns else [ID]
-    joined = sums.join(train.select(*groups, *on, *([weight] if weight else [])), on)
+    more = [c for c in ("stages", weight) if c in train.columns]
+    joined = sums.join(train.select(*groups, ID, *more), ID)
+    if "stages" in more:
+        # Not a join key: the sums stay partitioned by series alone.
+        joined = joined.filter("array_contains(stages, stage)")
     keys = [*groups, "features", "scaler", "stage", "lead"]
     times = f" * {weight}" if weight else ""
     pooled = joined.groupBy(*keys).agg(*[F.expr(f"sum({n}{times}) as {n}") for n in SUMS])
@@ -186,15 +200,16 @@ def forecast_inputs(trended: DataFrame, horizon: int, season: int, test_size: in
     return with_leads(rows, horizon).select(*GRID, _feature_rows(season, features))
 
 
-def predict(inputs: DataFrame, coefs: DataFrame, widths: DataFrame, on: list[str]) -> DataFrame:
+def predict(inputs: DataFrame, coefs: DataFrame, widths: DataFrame, stage: str,
+            on: list[str]) -> DataFrame:
     """Apply coefficients to forecast inputs; adds ``yhat``.
 
     ``coefs`` has one row per (``on``, features, scaler, lead): a number of rows
     set by folds, feature sets and leads, not by the data, and so broadcast.
-    ``widths`` has one row per series and undoes the standard scaler.
+    ``widths`` has one row per series and undoes the standard scaler of ``stage``.
     """
     rows = inputs.join(F.broadcast(coefs), [*on, "features", "lead"])
-    rows = rows.join(widths.select(ID, "width"), ID)
+    rows = rows.join(widths.select(ID, F.col(f"width_{stage}").alias("width")), ID)
     yhat = "base + a * if(scaler = 'none', 1D, width) + b1 * x1 + b2 * x2"
     return rows.withColumn("yhat", F.expr(yhat)).drop(
         "x1", "x2", "base", "a", "b1", "b2", "width")
@@ -211,10 +226,12 @@ def global_fit_predict(trended: DataFrame, assignments: DataFrame, horizon: int,
     stages = {"inner": horizon}
     widths = series_widths(trended, stages)
     sums = apply_scalers(
-        training_sums(trended, horizon, season, stages, freq, (features,)), widths, (scaler,))
+        training_sums(trended, horizon, season, stages, freq, (features,)), widths, stages,
+        (scaler,))
     groups = ["method", "fold"]
     coefs = fit(sums, assignments.filter(F.col("role") == "train"), groups)
     inputs = forecast_inputs(trended, horizon, season, horizon, features=(features,))
     test = assignments.filter(F.col("role") == "test").select(*groups, ID)
-    scored = predict(inputs.join(test, ID), coefs.drop("stage", "n_windows"), widths, groups)
+    scored = predict(inputs.join(test, ID), coefs.drop("stage", "n_windows"), widths, "inner",
+                     groups)
     return scored.select(*groups, *GRID, "yhat")

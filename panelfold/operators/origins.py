@@ -30,8 +30,10 @@ def origins(positioned: DataFrame, horizon: int, test_size: int, step: int = STE
     tail = positioned.filter(
         (F.col(POS) > first_cutoff - history) & (F.col(POS) <= end))
     # At most history + test_size rows per series.
-    series = tail.groupBy(ID, SIZE).agg(F.sort_array(F.collect_list(
-        F.struct(POS, TIME, TARGET, *(extra or [])))).alias("points"))
+    series = tail.groupBy(ID).agg(
+        F.max(SIZE).alias(SIZE),
+        F.sort_array(F.collect_list(
+            F.struct(POS, TIME, TARGET, *(extra or [])))).alias("points"))
     cutoffs = F.sequence(first_cutoff, end - horizon, F.lit(step).cast("long"))
     # A window needs test_size >= horizon; a negative cutoff is no origin.
     if test_size < horizon:

@@ -11,8 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..schema import ID, POS, SIZE, TARGET
-from .linear import lag_features
+from ..schema import ID, TARGET
+from .linear import training_windows
 from .origins import GRID, at, origins, with_leads
 
 _PARTIAL = "method string, fold int, lead int, cell int, value double"
@@ -21,17 +21,12 @@ _PARTIAL = "method string, fold int, lead int, cell int, value double"
 def _windows(positioned: DataFrame, horizon: int, lags: int, hold: int,
              freq: str | None) -> DataFrame:
     """Rows (series, lead, x, z): differences to the last value, complete ones only."""
-    rows = lag_features(positioned, lags, freq)
-    # The targets join by (series, position), a key that no series can make hot.
-    later = positioned.select(ID, (F.col(POS)).alias("_at"), F.col(TARGET).alias("_later"))
-    leads = rows.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    seen = leads.withColumn("_at", F.col(POS) + F.col("lead")).filter(
-        F.col("_at") <= F.col(SIZE) - hold)
-    last = F.col(TARGET)
-    steps = F.transform(F.slice("lags", 1, lags - 1), lambda v: v - last)
-    return (seen.join(later, [ID, "_at"])
-            .select(ID, "lead", steps.alias("x"), (F.col("_later") - last).alias("z"))
-            .filter(F.col("z").isNotNull() & ~F.exists("x", lambda v: v.isNull())))
+    last = at("c", TARGET)
+    steps = f"transform(sequence({lags - 1}, 1), back -> {at('c - back', TARGET)} - {last})"
+    return (training_windows(positioned, horizon, lags - 1, hold, freq)
+            .filter(f"c >= {lags}")
+            .selectExpr(ID, "lead", f"{steps} as x", f"target - {last} as z")
+            .filter("z is not null and not exists(x, v -> v is null)"))
 
 
 def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

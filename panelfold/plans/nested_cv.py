@@ -96,8 +96,7 @@ def fold_coefficients(trended: DataFrame, assigned: DataFrame, run: Experiment)
     groups = train.unionByName(everyone).withColumn(
         "stages", F.when(F.col("method") == FINAL["method"], F.array(F.lit("final")))
         .otherwise(F.array(F.lit("val"), F.lit("inner"))))
-    rows = groups.select(*FOLD, ID, F.explode("stages").alias("stage"))
-    return L.fit(T.stage_sums(trended, run.windows, run.freq), rows, FOLD)
+    return L.fit(T.stage_sums(trended, run.windows, run.freq), groups, FOLD)
 
 
 def fit_folds(panel: DataFrame, run: Experiment) -> Fitted:
@@ -130,7 +129,8 @@ def inner_forecasts(fitted: Fitted) -> DataFrame:
     tested = fitted.role("test")
     inputs = L.forecast_inputs(fitted.trended, run.horizon, run.season, run.horizon,
                                skip_last=windows.out).join(tested, ID)
-    rows = L.predict(inputs, coefs, T.stage_widths(fitted.trended, windows, "inner"), FOLD)
+    rows = L.predict(inputs, coefs, T.stage_widths(fitted.trended, windows, "inner"), "inner",
+                     FOLD)
     keep = [*FOLD, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
     rows = _with_baseline(rows.select(keep), tested, fitted, run.horizon, windows.out, FOLD)
     return rows.withColumn("stage", F.lit("inner")).select(FORECAST)
@@ -149,7 +149,8 @@ def refit_final(fitted: Fitted) -> DataFrame:
     coefs = T.stage_coefs(fitted.coefs, "final").drop(*FOLD)
     per_run = coefs.join(chosen, ["features", "scaler"])
     inputs = L.forecast_inputs(fitted.trended, run.horizon, run.season, windows.out)
-    rows = L.predict(inputs, per_run, T.stage_widths(fitted.trended, windows, "final"), [])
+    rows = L.predict(inputs, per_run, T.stage_widths(fitted.trended, windows, "final"), "final",
+                     [])
     rows = rows.withColumn("model", F.col("family"))
     keep = [*RUN, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
     naive = seasonal_naive(fitted.trended, run.horizon, run.season, windows.out)

@@ -35,7 +35,7 @@ class Windows:
 def stage_sums(trended: DataFrame, windows: Windows, freq: str | None) -> DataFrame:
     """Sums of products of every stage, feature set and scaler, from one pass."""
     sums = L.training_sums(trended, windows.horizon, windows.season, windows.stages, freq)
-    return L.apply_scalers(sums, L.series_widths(trended, windows.stages))
+    return L.apply_scalers(sums, L.series_widths(trended, windows.stages), windows.stages)
 
 
 def stage_widths(trended: DataFrame, windows: Windows, stage: str) -> DataFrame:
@@ -56,7 +56,7 @@ def validation_loss(trended: DataFrame, coefs: DataFrame, train: DataFrame, wind
     inputs = L.forecast_inputs(trended, windows.horizon, windows.season, windows.horizon,
                                skip_last=windows.stages["inner"])
     rows = L.predict(inputs.join(train.select(*groups, ID), ID), stage_coefs(coefs, "val"),
-                     stage_widths(trended, windows, "val"), groups)
+                     stage_widths(trended, windows, "val"), "val", groups)
     return rows.groupBy(*groups, "features", "scaler").agg(
         F.avg(F.abs(F.col(TARGET) - F.col("yhat"))).alias("loss"))
 

@@ -28,7 +28,7 @@ def variant_forecasts(panel: DataFrame, run: Experiment, input_size: Column) ->
         ["features", "scaler"])
     inputs = L.forecast_inputs(trended, run.horizon, run.season, run.horizon,
                                skip_last=windows.out).join(tested, ID)
-    rows = L.predict(inputs, named, T.stage_widths(trended, windows, "inner"), FOLD)
+    rows = L.predict(inputs, named, T.stage_widths(trended, windows, "inner"), "inner", FOLD)
     return rows.select(*FOLD, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET)
 
 

@@ -83,9 +83,10 @@ def parse_timestamps(frame: DataFrame, time_col: str = TIME,
     parsed = frame.withColumn("_time", _parsed(F.col(time_col)))
     key = F.lit(1) if dataset_col is None else F.col(dataset_col)
     parsed = parsed.withColumn("_key", key)
-    # One row per dataset.
+    # One row per dataset: small enough to send to every task, while a shuffle by
+    # dataset would gather a large one in few tasks.
     flags = parsed.groupBy("_key").agg(F.bool_or(F.col("_time").isNull()).alias("_bad"))
     day = F.col("_time").cast("date").cast("timestamp_ntz")
-    return (parsed.join(flags, "_key")
+    return (parsed.join(F.broadcast(flags), "_key")
             .withColumn(time_col, F.when(F.col("_bad"), day).otherwise(F.col("_time")))
             .drop("_time", "_key", "_bad"))

@@ -54,7 +54,7 @@ def test_coefficients_are_least_squares(rows, values, features, scaler):
     stages = {"s": 5}
     sums = linear.apply_scalers(
         linear.training_sums(rows, H, M, stages, "D", (features,)),
-        linear.series_widths(rows, stages), (scaler,))
+        linear.series_widths(rows, stages), stages, (scaler,))
     assigned = splits.kfold(rows, 3)
     train = assigned.filter("role = 'train'")
     members = defaultdict(list)
@@ -84,7 +84,7 @@ def test_weights_repeat_series(rows):
     stages = {"s": 5}
     sums = linear.apply_scalers(
         linear.training_sums(rows, H, M, stages, "D", ("season1",)),
-        linear.series_widths(rows, stages), ("none",))
+        linear.series_widths(rows, stages), stages, ("none",))
     drawn = splits.bootstrap(rows, weights=True).filter("weight > 0").cache()
     repeated = drawn.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
     by_weight = linear.fit(sums, drawn, ["fold"], "weight").orderBy("lead").collect()
@@ -99,7 +99,7 @@ def test_no_fit_sees_the_held_out_rows(daily, values):
         frame = linear.with_trends(with_positions(daily(series), "D"), "D")
         stages = {"s": H}
         sums = linear.apply_scalers(linear.training_sums(frame, H, M, stages, "D"),
-                                    linear.series_widths(frame, stages))
+                                    linear.series_widths(frame, stages), stages)
         everyone = frame.select("unique_id").distinct().withColumn("g", F.lit(0))
         return sorted(map(tuple, linear.fit(sums, everyone, ["g"]).collect()))
     changed = {k: list(v[:-H]) + [1e6] * H for k, v in values.items()}

@@ -245,7 +245,7 @@ def _stored_fit(spark, sf):
     stages = {"final": 12}
     sums = linear.apply_scalers(
         linear.training_sums(rows, 6, 12, stages, "MS", ("season1",)),
-        linear.series_widths(rows, stages), ("none",))
+        linear.series_widths(rows, stages), stages, ("none",))
     everyone = rows.select(ID).distinct().withColumn("run", F.lit("fitted"))
     folder = shared_folder(spark, "coefficients")
     linear.fit(sums, everyone, ["run"]).write.parquet(folder)
@@ -254,7 +254,8 @@ def _stored_fit(spark, sf):
         "run", F.lit("fitted"))
     stored = spark.read.parquet(folder).select(
         "run", "features", "scaler", "lead", "a", "b1", "b2")
-    scored = linear.predict(inputs, stored, linear.series_widths(other, {"final": 6}), ["run"])
+    widths = linear.series_widths(other, {"final": 6})
+    scored = linear.predict(inputs, stored, widths, "final", ["run"])
     return scored.select(ID, "cutoff", TIME, "lead", F.round("yhat", 1).alias("yhat"))
 
 

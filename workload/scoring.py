@@ -287,14 +287,14 @@ SELECT dataset, method, model, round_even(outer_error, 3) AS outer_error,
 
 
 def _runs(spark, sf):
-    """Measured values per event type and weekday: the shape of a table of runs."""
+    """Seconds past the minute per event type and weekday: the shape of a table of runs."""
     return table(spark, sf, "events").select(
         "event_type", F.dayofweek("ts").alias("day"),
-        F.col("value").cast("decimal(18,2)").cast("double").alias("seconds"))
+        F.extract(F.lit("SECOND"), "ts").cast("double").alias("seconds"))
 
 
-RUNS_SQL = """SELECT event_type, CAST(dayofweek(ts) + 1 AS INTEGER) AS day, value AS seconds
-FROM events"""
+RUNS_SQL = """SELECT event_type, CAST(dayofweek(ts) + 1 AS INTEGER) AS day,
+  (epoch_us(ts) % 60000000) / CAST(1000000 AS DOUBLE) AS seconds FROM events"""
 KEYS = ["event_type", "day"]
 SUMMARY_SQL = f"""SELECT event_type, day, count(*) AS runs, round_even(avg(seconds), 2) AS mean,
   round_even(stddev_pop(seconds), 2) AS std, min(seconds) AS min, max(seconds) AS max
