@@ -38,11 +38,21 @@ def normal(names, rows):
     return [names[i] for i in order], sorted(out, key=repr)
 
 
+# Spark type -> type of the same column in the SQL result.
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+         "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 def compare(spark, key, query, sql, sf_dir):
     """None when equal, else a short description of the difference."""
     frame = query(spark, sf_dir)
     left = normal(frame.columns, [tuple(r) for r in frame.collect()])
-    found = duck(sf_dir).execute(sql)
+    con = duck(sf_dir)
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = [(c, t, kinds.get(c)) for c, t in frame.dtypes if TYPES.get(t) != kinds.get(c)]
+    if wrong:
+        return f"{key}: types {wrong}"
+    found = con.execute(sql)
     right = normal([d[0] for d in found.description], found.fetchall())
     if left[0] != right[0]:
         return f"{key}: columns {left[0]} vs {right[0]}"

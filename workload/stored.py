@@ -1,15 +1,15 @@
 """Results of the experiments on the given tables, written once and then read."""
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelfold.operators.positions import with_positions
 from panelfold.plans import nested_cv as N
 from panelfold.plans.scoring import scale_tables
-from panelfold.operators.positions import with_positions
-from panelfold.sources.results import read_cv_results, strip_model_prefix, write_cv_results
 from panelfold.session import materialize, shared_folder
+from panelfold.sources.results import read_cv_results, strip_model_prefix, write_cv_results
 
 from .nestedsql import SEEDS
 from .panels import PANELS, panel
@@ -35,17 +35,25 @@ def run_experiments(spark: SparkSession, sf_dir: str, path: str, names=DATASETS)
         list(pool.map(run, names))
 
 
-@lru_cache(maxsize=None)
-def _folder(application: str, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
-    path = shared_folder(spark, "results")
-    run_experiments(spark, sf_dir, path)
-    return path
+# Written once per Spark application and set of tables.
+_written: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _written:
+        _written[key] = build()
+    return _written[key]
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table: reports read what the experiments wrote."""
-    path = _folder(spark.sparkContext.applicationId, sf_dir)
+    def build() -> str:
+        path = shared_folder(spark, "results")
+        run_experiments(spark, sf_dir, path)
+        return path
+
+    path = _once(spark, sf_dir, "results", build)
     return reduce(DataFrame.unionByName, [
         read_cv_results(spark, f"{path}/{name}") for name in DATASETS])
 
@@ -55,17 +63,14 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).withColumn("model", strip_model_prefix(F.col("model")))
 
 
-@lru_cache(maxsize=None)
-def _scales(application: str, sf_dir: str) -> DataFrame:
-    spark = SparkSession.getActiveSession()
-    tables = []
-    for name in DATASETS:
-        p = PANELS[name]
-        rows = with_positions(panel(spark, sf_dir, name), p["freq"])
-        tables.append(scale_tables(rows, name, p["season"], p["horizon"], p["freq"]))
-    return materialize(reduce(DataFrame.unionByName, tables), "scales")
-
-
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error scales of every panel; one row per series and part."""
-    return _scales(spark.sparkContext.applicationId, sf_dir)
+    def build() -> DataFrame:
+        tables = []
+        for name in DATASETS:
+            p = PANELS[name]
+            rows = with_positions(panel(spark, sf_dir, name), p["freq"])
+            tables.append(scale_tables(rows, name, p["season"], p["horizon"], p["freq"]))
+        return materialize(reduce(DataFrame.unionByName, tables), "scales")
+
+    return _once(spark, sf_dir, "scales", build)

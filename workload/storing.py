@@ -59,6 +59,10 @@ SELECT dataset, event_id, CASE WHEN bool_or(t IS NULL) OVER (PARTITION BY datase
        THEN date_trunc('day', t) ELSE t END AS ds FROM p"""
 
 QUERIES["dataset_catalog"] = lambda spark, sf: R.dataset_catalog(spark, sf)
+SQL["dataset_catalog"] = """
+SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+               'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'])
+       AS dataset"""
 
 # -- stored results ---------------------------------------------------------------
 

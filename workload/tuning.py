@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from panelfold.functions.exprs import inline_rows
 from panelfold.operators import configs as C
 from panelfold.operators import origins
 from panelfold.plans import nested_cv as N
@@ -10,18 +11,14 @@ from panelfold.schema import BASELINE, ID, TARGET, TIME
 
 from . import nestedsql, shaping, sqltext
 from .nestedsql import ACROSS, SEEDS, SINGLE, draws_sql, fold_steps, forecast_steps, space_sql
-from .panels import PANELS, panel, stacked
+from .panels import panel, stacked
 from .sqltext import ctes
+from .stored import experiment
 
 QUERIES, SQL = {}, {}
 NAME = "brand_month"
 
 
-def experiment(name, seeds=SEEDS):
-    p = PANELS[name]
-    return N.Experiment(p["horizon"], p["season"], p["freq"], seeds)
-
-
 def fitted(spark, sf, name=NAME, seeds=SEEDS):
     return N.fit_folds(panel(spark, sf, name), experiment(name, seeds))
 
@@ -36,9 +33,8 @@ def _configs(spark, sf):
     known = shaping.dataset_params_for(
         stacked(spark, sf, ["user_day", "type_hour"]).select("dataset").distinct(),
         shaping.params(spark))
-    draws = C.sample_configs(C.config_space(spark)).withColumn("all", F.lit(1))
-    # Ten families by twenty draws by the known datasets.
-    return known.withColumn("all", F.lit(1)).join(draws, "all").drop("all")
+    each = known.select("*", inline_rows([(f,) for f in ALL_FAMILIES], ["family"]))
+    return each.join(C.sample_configs(C.config_space(spark)), "family")
 
 
 def _entries(frame):
