@@ -21,7 +21,7 @@ deviation before the sums and multiplies forecasts back.
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..schema import ID, POS, SIZE, STEP_SIZE, TARGET
 from .origins import GRID, at, origins, season_position, with_leads
@@ -56,22 +56,29 @@ def lag_features(positioned: DataFrame, lags: int, freq: str | None = None) -> D
     return rows.filter(F.size("lags") == lags)
 
 
-def _feature_rows(season: int, features: tuple[str, ...]) -> Column:
-    """Regressors ``x1``, ``x2`` and ``base`` of every feature set at one lead."""
-    last = at("c", TARGET)
-    back = {j: at(season_position(season, j), TARGET) for j in (1, 2)}
+def _with_features(rows: DataFrame, season: int, features: tuple[str, ...],
+                   keep: list[str]) -> DataFrame:
+    """Regressors ``x1``, ``x2`` and ``base`` of every feature set at each lead.
+
+    The values are looked up once per row, before the feature sets multiply it.
+    """
+    values = rows.selectExpr(
+        *keep, f"{at('c', TARGET)} as _last",
+        *[f"{at(season_position(season, j), TARGET)} as _back{j}" for j in (1, 2)],
+        *[f"{at('c', name.replace('trend', 'tr'))} as _{name}"
+          for name in features if name in TREND_FEATURES])
 
     def row(name: str) -> str:
         if name == "season1":
-            x1, x2, base = f"{back[1]} - {last}", "0D", last
+            x1, x2, base = "_back1 - _last", "0D", "_last"
         elif name == "season2":
-            x1, x2, base = f"({back[1]} + {back[2]}) / 2 - {last}", "0D", last
+            x1, x2, base = "(_back1 + _back2) / 2 - _last", "0D", "_last"
         else:
-            base = at("c", f"tr{name.removeprefix('trend')}")
-            x1, x2 = f"{last} - {base}", f"{back[1]} - {base}"
+            x1, x2, base = f"_last - _{name}", f"_back1 - _{name}", f"_{name}"
         return f"named_struct('features', '{name}', 'x1', {x1}, 'x2', {x2}, 'base', {base})"
 
-    return F.expr(f"inline(array({', '.join(row(name) for name in features)}))")
+    names = [c.rsplit(" as ", 1)[-1] for c in keep]
+    return values.selectExpr(*names, f"inline(array({', '.join(row(n) for n in features)}))")
 
 
 def training_windows(positioned: DataFrame, horizon: int, before: int, hold: int,
@@ -105,11 +112,11 @@ def training_sums(trended: DataFrame, horizon: int, season: int, stages: dict[st
     window counts for a stage only if its target lies before them. All stages
     are summed in the same pass.
     """
+    rows = training_windows(trended, horizon, 2 * season, min(stages.values()), freq,
+                            [f"tr{w}" for w in TREND_WINDOWS])
+    keep = [ID, f"{SIZE} - c - lead as unseen", "lead", "target"]
     windows = (
-        training_windows(trended, horizon, 2 * season, min(stages.values()), freq,
-                         [f"tr{w}" for w in TREND_WINDOWS])
-        .select(ID, F.expr(f"{SIZE} - c - lead").alias("unseen"), "lead", "target",
-                _feature_rows(season, features))
+        _with_features(rows, season, features, keep)
         .selectExpr(ID, "unseen", "lead", "features", "x1", "x2", "target - base as z")
         .filter("x1 is not null and x2 is not null and z is not null"))
     products = {"cnt": "1D", "s1": "x1", "s2": "x2", "sz": "z", "s11": "x1 * x1",
@@ -197,7 +204,7 @@ def forecast_inputs(trended: DataFrame, horizon: int, season: int, test_size: in
     """Grid rows with the regressors of every feature set."""
     rows = origins(trended, horizon, test_size, step, history=2 * season, skip_last=skip_last,
                    extra=[f"tr{w}" for w in TREND_WINDOWS])
-    return with_leads(rows, horizon).select(*GRID, _feature_rows(season, features))
+    return _with_features(with_leads(rows, horizon), season, features, GRID)
 
 
 def predict(inputs: DataFrame, coefs: DataFrame, widths: DataFrame, stage: str,
