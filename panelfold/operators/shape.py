@@ -148,6 +148,8 @@ def _fill_gaps(regular: DataFrame, step: str, id_col: str, time_col: str,
     """Insert the missing steps between neighbours as rows with a null target.
 
     Needs one window and no join: every row also emits the gap that follows it.
+    The calendar bounds a series (213,700 days or 5.2 million hours), and the
+    window reads ahead by one row only.
     """
     series = Window.partitionBy(id_col).orderBy(time_col)
     here = F.col(time_col)
@@ -219,7 +221,8 @@ def scale_statistics(positioned: DataFrame, kind: str, holdout: int,
     """Centre and width per series over all rows but the last ``holdout``.
 
     The scope of the scaler is a choice of this library: the train part of each
-    series. ``robust`` is kept for completeness; experiments map it to standard.
+    series. ``robust`` needs exact medians, which hold the distinct values of a
+    series; experiments map it to standard.
     """
     train = positioned.filter(F.col(POS) <= F.col(SIZE) - holdout)
     if kind == "standard":

@@ -110,30 +110,46 @@ def fit_folds(panel: DataFrame, run: Experiment) -> Fitted:
     return Fitted(run, trended, assigned, coefs, materialize(scores, "scores"))
 
 
-def _with_baseline(forecasts: DataFrame, tested: DataFrame, fitted: Fitted, test_size: int,
-                   skip_last: int, keys: list[str]) -> DataFrame:
-    """Add the baseline as one more model; computed once, then joined to the folds."""
-    run = fitted.run
-    naive = seasonal_naive(fitted.trended, run.horizon, run.season, test_size,
-                           skip_last=skip_last)
-    rows = naive.join(tested.select(*keys, ID), ID).withColumn("model", F.lit(BASELINE))
-    return forecasts.unionByName(rows)
+def forecast_inner(trended: DataFrame, tested: DataFrame, coefs: DataFrame,
+                   run: Experiment) -> DataFrame:
+    """Inner forecasts of the test series of every fold, and of the baseline.
+
+    ``coefs`` names the ``model`` of each fold's coefficients. The baseline is
+    computed once and joined to the folds.
+    """
+    out = run.windows.out
+    inputs = L.forecast_inputs(trended, run.horizon, run.season, run.horizon, skip_last=out)
+    widths = T.stage_widths(trended, run.windows, "inner")
+    rows = L.predict(inputs.join(tested, ID), coefs, widths, "inner", FOLD)
+    naive = seasonal_naive(trended, run.horizon, run.season, run.horizon, skip_last=out)
+    baseline = naive.join(tested, ID).withColumn("model", F.lit(BASELINE))
+    keep = [*FOLD, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
+    return (rows.select(keep).unionByName(baseline.select(keep))
+            .withColumn("stage", F.lit("inner")).select(FORECAST))
+
+
+def forecast_outer(trended: DataFrame, coefs: DataFrame, run: Experiment) -> DataFrame:
+    """Outer forecasts of every series, and of the baseline for each run.
+
+    ``coefs`` has the final coefficients per (seed, method, model).
+    """
+    out = run.windows.out
+    inputs = L.forecast_inputs(trended, run.horizon, run.season, out)
+    rows = L.predict(inputs, coefs, T.stage_widths(trended, run.windows, "final"), "final", [])
+    naive = seasonal_naive(trended, run.horizon, run.season, out)
+    runs = inline_rows([(s, m) for s in run.seeds for m in run.method_names], RUN)
+    baseline = naive.select("*", runs).withColumn("model", F.lit(BASELINE))
+    keep = [*RUN, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
+    return (rows.select(keep).unionByName(baseline.select(keep))
+            .withColumn("stage", F.lit("outer")).withColumn("fold", F.lit(0)).select(FORECAST))
 
 
 def inner_forecasts(fitted: Fitted) -> DataFrame:
     """Forecasts of each fold's test series by its best configuration per model."""
-    run, windows = fitted.run, fitted.run.windows
     chosen = C.best_config_single(fitted.scores, FOLD).select(
         *FOLD, "model", "features", "scaler")
     coefs = T.stage_coefs(fitted.coefs, "inner").join(chosen, [*FOLD, "features", "scaler"])
-    tested = fitted.role("test")
-    inputs = L.forecast_inputs(fitted.trended, run.horizon, run.season, run.horizon,
-                               skip_last=windows.out).join(tested, ID)
-    rows = L.predict(inputs, coefs, T.stage_widths(fitted.trended, windows, "inner"), "inner",
-                     FOLD)
-    keep = [*FOLD, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
-    rows = _with_baseline(rows.select(keep), tested, fitted, run.horizon, windows.out, FOLD)
-    return rows.withColumn("stage", F.lit("inner")).select(FORECAST)
+    return forecast_inner(fitted.trended, fitted.role("test"), coefs, fitted.run)
 
 
 def best_configs(fitted: Fitted) -> DataFrame:
@@ -141,23 +157,20 @@ def best_configs(fitted: Fitted) -> DataFrame:
     return C.best_config_across_folds(fitted.scores, RUN)
 
 
+def final_coefs(coefs: DataFrame) -> DataFrame:
+    """Coefficients of the fit on every series, all data but the out-set."""
+    return T.stage_coefs(coefs, "final").drop(*FOLD)
+
+
 def refit_final(fitted: Fitted) -> DataFrame:
-    """Outer forecasts: winners refitted on every series, all data but the out-set."""
-    run, windows = fitted.run, fitted.run.windows
-    # Methods that chose the same configuration share its coefficients.
-    chosen = best_configs(fitted).select(*RUN, "family", "features", "scaler")
-    coefs = T.stage_coefs(fitted.coefs, "final").drop(*FOLD)
-    per_run = coefs.join(chosen, ["features", "scaler"])
-    inputs = L.forecast_inputs(fitted.trended, run.horizon, run.season, windows.out)
-    rows = L.predict(inputs, per_run, T.stage_widths(fitted.trended, windows, "final"), "final",
-                     [])
-    rows = rows.withColumn("model", F.col("family"))
-    keep = [*RUN, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
-    naive = seasonal_naive(fitted.trended, run.horizon, run.season, windows.out)
-    runs = inline_rows([(s, m) for s in run.seeds for m in run.method_names], RUN)
-    baseline = naive.select("*", runs).withColumn("model", F.lit(BASELINE))
-    return (rows.select(keep).unionByName(baseline.select(keep))
-            .withColumn("stage", F.lit("outer")).withColumn("fold", F.lit(0)).select(FORECAST))
+    """Outer forecasts by the winners, refitted on every series.
+
+    Methods that chose the same configuration share its coefficients.
+    """
+    chosen = best_configs(fitted).select(
+        *RUN, F.col("family").alias("model"), "features", "scaler")
+    per_run = final_coefs(fitted.coefs).join(chosen, ["features", "scaler"])
+    return forecast_outer(fitted.trended, per_run, fitted.run)
 
 
 def nested_cv(panel: DataFrame, run: Experiment) -> DataFrame:

@@ -5,39 +5,58 @@ best variant of each family is chosen on the inner forecasts themselves, then
 refitted for the outer ones.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import configs as C
-from ..operators import linear as L
-from ..schema import ID, TARGET, TIME
+from ..schema import BASELINE, ID
+from ..session import materialize
 from . import tuning as T
-from .nested_cv import FOLD, RUN, Experiment, fold_coefficients, prepare
+from .nested_cv import (FOLD, RUN, Experiment, final_coefs, fold_coefficients, forecast_inner,
+                        forecast_outer, prepare)
+
+
+@dataclass(frozen=True)
+class VariantRun:
+    """Shared intermediate results: variants, coefficients and inner forecasts."""
 
+    run: Experiment
+    trended: DataFrame
+    coefs: DataFrame
+    variants: DataFrame
+    inner: DataFrame
 
-def variant_forecasts(panel: DataFrame, run: Experiment, input_size: Column) -> DataFrame:
-    """Inner forecasts of test series by every variant."""
+
+def run_variants(panel: DataFrame, run: Experiment, input_size: Column) -> VariantRun:
+    """Inner forecasts of every fold's test series by every variant."""
     trended, assigned = prepare(panel, run)
-    tested = assigned.filter(F.col("role") == "test").select(*FOLD, ID)
-    windows = run.windows
-    coefs = T.stage_coefs(fold_coefficients(trended, assigned, run), "inner")
+    coefs = materialize(fold_coefficients(trended, assigned, run), "coefficients")
     space = C.config_space(panel.sparkSession, list(run.families))
-    variants = C.expand_variants(
-        C.effective_model(C.sample_configs(space, run.n_samples)), F.lit(run.horizon), input_size)
-    named = coefs.join(
-        variants.select("features", "scaler", F.col("variant").alias("model")),
-        ["features", "scaler"])
-    inputs = L.forecast_inputs(trended, run.horizon, run.season, run.horizon,
-                               skip_last=windows.out).join(tested, ID)
-    rows = L.predict(inputs, named, T.stage_widths(trended, windows, "inner"), "inner", FOLD)
-    return rows.select(*FOLD, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET)
-
-
-def best_variants(forecasts: DataFrame) -> DataFrame:
+    drawn = C.effective_model(C.sample_configs(space, run.n_samples))
+    variants = C.expand_variants(drawn, F.lit(run.horizon), input_size).select(
+        F.col("variant").alias("model"), "family", "features", "scaler", "config")
+    tested = assigned.filter(F.col("role") == "test").select(*FOLD, ID)
+    named = T.stage_coefs(coefs, "inner").join(
+        variants.select("model", "features", "scaler"), ["features", "scaler"])
+    inner = forecast_inner(trended, tested, named, run)
+    return VariantRun(run, trended, coefs, variants, inner)
+
+
+def best_variants(inner: DataFrame) -> DataFrame:
     """Per (seed, method) and family, the variant with the least inner error.
 
     The error is taken per fold appearance of a series, as the inner frame
     counts each appearance as a series of its own.
     """
-    named = forecasts.withColumn(
+    named = inner.filter(F.col("model") != BASELINE).withColumn(
         ID, F.concat(F.col(ID), F.lit("_fold"), F.col("fold").cast("string")))
     return C.best_variant_per_family(named, RUN)
+
+
+def outer_variants(done: VariantRun) -> DataFrame:
+    """Outer forecasts by the winning variants, under their variant names."""
+    winners = best_variants(done.inner).select(*RUN, "model").join(
+        done.variants.select("model", "features", "scaler"), "model")
+    per_run = final_coefs(done.coefs).join(winners, ["features", "scaler"])
+    return forecast_outer(done.trended, per_run, done.run)

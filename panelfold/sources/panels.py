@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import clean
-from ..operators.shape import prune_short_series, sample_first_uids
-from ..schema import ID, TARGET, TIME
+from ..operators.positions import series_sizes
+from ..operators.shape import filter_series
+from ..schema import ID, SIZE, TARGET, TIME
 from .params import FREQUENCY, LONG_HORIZON
 
 # Column names of the nested source layout.
@@ -23,11 +24,15 @@ def load_panel(source: DataFrame, id_col: str, time_col: str, target_col: str,
     panel = source.select(
         F.col(id_col).cast("string").alias(ID), F.col(time_col).alias(TIME),
         clean(F.col(target_col)).alias(TARGET))
+    if min_n_instances is None and sample_n_uid is None:
+        return panel
+    # Both conditions settle on the ids first, so the rows pass one join only.
+    kept = series_sizes(panel)
     if min_n_instances is not None:
-        panel = prune_short_series(panel, min_n_instances)
+        kept = kept.filter(F.col(SIZE) >= min_n_instances)
     if sample_n_uid is not None:
-        panel = sample_first_uids(panel, sample_n_uid)
-    return panel
+        kept = kept.orderBy(ID).limit(sample_n_uid)
+    return filter_series(panel, kept)
 
 
 def read_panel(spark: SparkSession, path: str, group: str, time_type: T.DataType | None = None,

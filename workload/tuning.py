@@ -102,19 +102,30 @@ FROM ({SINGLE})"""
 
 
 def _variants(spark, sf):
-    forecasts = V.variant_forecasts(panel(spark, sf, NAME), experiment(NAME), F.lit(7))
-    return V.best_variants(forecasts).withColumn("err", F.round("err", 2))
+    return V.run_variants(panel(spark, sf, NAME), experiment(NAME), F.lit(7))
 
 
-QUERIES["best_variant_per_family"] = _variants
+QUERIES["best_variant_per_family"] = lambda spark, sf: V.best_variants(
+    _variants(spark, sf).inner).withColumn("err", F.round("err", 2))
 _steps = forecast_steps(NAME)
-SQL["best_variant_per_family"] = ctes(**_steps) + """
-SELECT seed, method, family, model, round(err, 2) AS err FROM (
-  SELECT seed, method, family, family || '_' || config_idx AS model, avg(err) AS err
+WINNERS = """
+SELECT * FROM (
+  SELECT seed, method, family, family || '_' || config_idx AS model, features, scaler,
+         avg(err) AS err
   FROM (SELECT seed, method, fold, unique_id, features, scaler, avg(abs(y - yhat)) AS err
         FROM p_in GROUP BY ALL) JOIN models USING (features, scaler) GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY seed, method, family
                            ORDER BY CAST(err AS FLOAT), model) = 1"""
+SQL["best_variant_per_family"] = ctes(**_steps, winners=WINNERS) + """
+SELECT seed, method, family, model, round(err, 2) AS err FROM winners"""
+
+QUERIES["outer_variants"] = lambda spark, sf: V.outer_variants(_variants(spark, sf)).filter(
+    F.col("model") != BASELINE).drop("stage", "fold").withColumn(
+    "yhat", F.round("yhat", 1)).withColumn(TARGET, F.round(TARGET, 1))
+SQL["outer_variants"] = ctes(**_steps, winners=WINNERS) + """
+SELECT w.seed, w.method, unique_id, cutoff, ds, lead, model, round(yhat, 1) AS yhat,
+       round(y, 1) AS y
+FROM p_out p JOIN winners w ON w.features = p.features AND w.scaler = p.scaler"""
 
 # -- forecasts of the nested experiment ---------------------------------------------------
 
