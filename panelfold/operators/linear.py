@@ -86,8 +86,8 @@ def training_windows(positioned: DataFrame, horizon: int, before: int, hold: int
     """One row per (series, origin ``c``, lead) whose target a fit may see.
 
     ``points`` holds the rows around the origin as one array per series, or per
-    block of a long series: a fixed number of rows plus its edge copies. The
-    target is the ``horizon``-bounded lead; the last ``hold`` rows are unseen.
+    block of a long series: a fixed number of rows plus its edge copies. Targets
+    lie up to ``horizon`` rows ahead, and never in the last ``hold`` rows.
     """
     near = neighbours(positioned, freq, before=before, after=horizon)
     core = F.when(near.core, F.col(POS))

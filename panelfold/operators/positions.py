@@ -15,20 +15,24 @@ from ..functions.calendar import is_bounded, time_chunk
 from ..schema import ID, POS, SIZE, TIME
 
 BLOCK_ROWS = 4096
+# Chunk of rows without a time.
+LAST_CHUNK = 2 ** 62
 
 
 def with_positions(panel: DataFrame, freq: str | None = None,
                    id_col: str = ID, time_col: str = TIME) -> DataFrame:
-    """Add ``pos`` (1..n by time) and ``n`` (rows of the series)."""
+    """Add ``pos`` (1..n by time, missing times last) and ``n`` (rows of the series)."""
+    by_time = F.col(time_col).asc_nulls_last()
     if is_bounded(freq):
-        series = Window.partitionBy(id_col).orderBy(time_col)
+        series = Window.partitionBy(id_col).orderBy(by_time)
         whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return panel.select(
             "*",
             F.row_number().over(series).cast("long").alias(POS),
             F.count(F.lit(1)).over(whole).alias(SIZE))
     chunk = "_chunk"
-    chunked = panel.withColumn(chunk, time_chunk(F.col(time_col), freq, BLOCK_ROWS))
+    chunked = panel.withColumn(chunk, F.coalesce(
+        time_chunk(F.col(time_col), freq, BLOCK_ROWS), F.lit(LAST_CHUNK)))
     # One row per (series, chunk): partial counts before the shuffle keep this small.
     counts = chunked.groupBy(id_col, chunk).agg(F.count(F.lit(1)).alias("_rows"))
     series = Window.partitionBy(id_col).orderBy(chunk)
@@ -37,7 +41,7 @@ def with_positions(panel: DataFrame, freq: str | None = None,
         id_col, chunk,
         (F.sum("_rows").over(series) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(whole).alias(SIZE))
-    inside = Window.partitionBy(id_col, chunk).orderBy(time_col)
+    inside = Window.partitionBy(id_col, chunk).orderBy(by_time)
     return (
         chunked.withColumn("_row", F.row_number().over(inside))
         .join(starts, [id_col, chunk])

@@ -20,7 +20,7 @@ def hourly(spark):
         rows, "unique_id string, ds timestamp_ntz, y double").repartition(5).cache()
 
 
-def table(frame, *digits):
+def table(frame):
     rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes]
     return sorted(map(tuple, frame.select(rounded).collect()), key=repr)
 
@@ -65,3 +65,13 @@ def test_a_hot_series_is_spread_over_tasks(hourly, monkeypatch):
     assert near.rows.groupBy(*near.keys).count().agg(F.max("count")).first()[0] <= 48 + 24 + 12
     core = near.only_core(near.rows)
     assert core.count() == hourly.count()
+
+
+@pytest.mark.parametrize("freq", ["D", "H", None])
+def test_rows_without_a_time_come_last(spark, freq):
+    rows = spark.createDataFrame(
+        [("a", None, 9.0), ("a", datetime.datetime(2024, 1, 2), 2.0),
+         ("a", datetime.datetime(2024, 1, 1), 1.0)],
+        "unique_id string, ds timestamp_ntz, y double")
+    got = {r.y: (r.pos, r.n) for r in with_positions(rows, freq).collect()}
+    assert got == {1.0: (1, 3), 2.0: (2, 3), 9.0: (3, 3)}
