@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import simhash
+from panelfold.llm import containment, passages, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,5 +14,21 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = passages.train(docs, table(spark, sf_dir, "labels"), "quality",
+                           allowed=lambda c: ~passages.held_out(c))
+    return passages.score(docs, model).select(
+        "doc_id", passages.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    found = containment.contained_items(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "shared", "containment")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality,
+           "op7_decontaminate": op7_decontaminate}
 SQL: dict[str, str] = {}

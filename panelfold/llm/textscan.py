@@ -71,11 +71,6 @@ def _folding() -> np.ndarray:
 _FOLD = _folding()
 
 
-def folded(text: bytes) -> bytes:
-    """Letters and digits in lower case, all other ASCII as blanks."""
-    return _fold(np.frombuffer(text, np.uint8)).tobytes().replace(b"\0", b" ")
-
-
 def _fold(data: np.ndarray) -> np.ndarray:
     out = _FOLD[data]
     # Capitals of the Latin-1 supplement are C3 80 to C3 9E, without C3 97.
@@ -134,8 +129,6 @@ class Shingles:
         self.end = ends[at + length - 1] if len(at) else at
 
     def text(self, index: int) -> str:
-        """The shingle's words, joined by single blanks."""
+        """The shingle's folded words, joined by single blanks."""
         raw = self.data[self.start[index]:self.end[index]].tobytes()
-        return " ".join(raw.replace(b"\0", b" ").decode("utf-8", "replace").split(" ")).strip() \
-            if b"\0" not in raw else " ".join(
-                w.decode("utf-8", "replace") for w in raw.split(b"\0") if w)
+        return " ".join(w.decode("utf-8", "replace") for w in raw.split(b"\0") if w)
