@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import containment, passages, simhash
+from panelfold.llm import containment, mixing, passages, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op7_decontaminate(spark, sf_dir):
     return found.select("doc_id", "item_id", "n_shingles", "shared", "containment")
 
 
+def op8_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality,
-           "op7_decontaminate": op7_decontaminate}
-SQL: dict[str, str] = {}
+           "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
+SQL = {"op8_mix": mixing.SQL}
