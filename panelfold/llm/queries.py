@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import containment, mixing, passages, simhash
+from panelfold.llm import containment, mixing, passages, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op3_quality(spark, sf_dir):
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def byte_bpe() -> str:
+    """Place of the tokenizer's file: a parameter, never copied here."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_tokens(spark, sf_dir):
+    return tokens.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op7_decontaminate(spark, sf_dir):
     found = containment.contained_items(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -35,5 +45,5 @@ def op8_mix(spark, sf_dir):
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality,
-           "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
+           "op5_tokens": op5_tokens, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
 SQL = {"op8_mix": mixing.SQL}
