@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import containment, mixing, passages, simhash, tokens
+from panelfold.llm import containment, mixing, passages, pii, simhash, spans, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op8_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        spans.digest(F.col("base"), pii.KINDS).alias("base_sha256"),
+                        spans.listed(F.col("spans"), pii.KINDS).alias("spans"))
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality,
-           "op5_tokens": op5_tokens, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix}
+           "op5_tokens": op5_tokens, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
+           "op10_pii": op10_pii}
 SQL = {"op8_mix": mixing.SQL}
