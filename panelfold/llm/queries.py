@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import containment, mixing, passages, pii, simhash, spans, tokens
+from panelfold.llm import (containment, credentials, mixing, passages, pii, simhash, spans,
+                           tokens)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,13 @@ def op5_tokens(spark, sf_dir):
     return tokens.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_secrets(spark, sf_dir):
+    found = credentials.secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        spans.digest(F.col("base"), credentials.KINDS).alias("base_sha256"),
+                        spans.listed(F.col("spans"), credentials.KINDS).alias("spans"))
+
+
 def op7_decontaminate(spark, sf_dir):
     found = containment.contained_items(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
@@ -52,6 +60,7 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality,
-           "op5_tokens": op5_tokens, "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
+           "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
+           "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
            "op10_pii": op10_pii}
 SQL = {"op8_mix": mixing.SQL}
