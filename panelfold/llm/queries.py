@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import (containment, credentials, mixing, passages, pii, simhash, spans,
+from panelfold.llm import (containment, credentials, mixing, neighbours, passages, pii, simhash, spans,
                            tokens)
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op2_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = passages.train(docs, table(spark, sf_dir, "labels"), "quality",
@@ -59,7 +63,8 @@ def op10_pii(spark, sf_dir):
                         spans.listed(F.col("spans"), pii.KINDS).alias("spans"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality,
+QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
+           "op3_quality": op3_quality,
            "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
            "op10_pii": op10_pii}
