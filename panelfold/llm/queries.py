@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import (containment, credentials, mixing, neighbours, passages, pii, simhash, spans,
-                           tokens)
+from panelfold.llm import (containment, credentials, mixing, neighbours, passages, pii, simhash,
+                           spans, tokens, urlrules)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,15 @@ def op3_quality(spark, sf_dir):
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    labels = (table(spark, sf_dir, "labels").where("doc_id is not null")
+              .groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad")))
+    shown = pages.select("url", urlrules.document_number().alias("doc_id"))
+    labelled = shown.join(labels, "doc_id").select("url", "bad")
+    return urlrules.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 def byte_bpe() -> str:
     """Place of the tokenizer's file: a parameter, never copied here."""
     import public_tokenizers
@@ -65,7 +74,7 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
            "op3_quality": op3_quality,
-           "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
+           "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
            "op10_pii": op10_pii}
 SQL = {"op8_mix": mixing.SQL}
