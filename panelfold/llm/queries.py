@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfold.llm import (containment, credentials, mixing, neighbours, passages, pii, simhash,
+from panelfold.llm import (containment, credentials, mixing, neighbours, pagetext, passages, pii, simhash,
                            spans, tokens, urlrules)
 
 
@@ -65,6 +65,12 @@ def op8_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pagetext(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    labelled = pagetext.training_pages(pages, table(spark, sf_dir, "documents"), urlrules.document_number())
+    return pagetext.extract(pages, pagetext.train(labelled))
+
+
 def op10_pii(spark, sf_dir):
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
@@ -76,5 +82,5 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
            "op3_quality": op3_quality,
            "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
-           "op10_pii": op10_pii}
+           "op9_pagetext": op9_pagetext, "op10_pii": op10_pii}
 SQL = {"op8_mix": mixing.SQL}
