@@ -50,6 +50,9 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = end
+        self.blank = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.blank[number] = token.startswith("\u0120")  # how byte-level BPE writes a blank
         self._clear()
 
     def _clear(self):
@@ -59,20 +62,44 @@ class CachedTokenizer:
         self.filled = 0
         self.known["\0end"] = 0
         self.known.size = 1
-        self._add([[self.end]], 0)
+        self._add(np.array([self.end], np.uint32), np.array([1]), 0)
 
-    def _add(self, lists, first):
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = self.filled + int(lengths.sum())
+    def _add(self, ids, size, first):
+        total = self.filled + len(ids)
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(lists) + 1 > len(self.offset):
+        while first + len(size) + 1 > len(self.offset):
             self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-        joined = [i for ids in lists for i in ids]
-        self.flat[self.filled:total] = joined
-        self.offset[first + 1:first + len(lists) + 1] = self.filled + np.cumsum(lengths)
+        self.flat[self.filled:total] = ids
+        self.offset[first + 1:first + len(size) + 1] = self.filled + np.cumsum(size)
         self.filled = total
 
+    def _learn(self, units, first):
+        """Encode new units: those after a blank all in one text, cut at the tokens that
+        start with a blank; the others one by one."""
+        self.chars += sum(map(len, units))
+        single = [k for k, u in enumerate(units) if u[:1] == "\0"]
+        alone = self.tokenizer.encode_batch_fast(
+            [units[k][4:] if units[k].startswith("\0all") else units[k][1:] for k in single],
+            add_special_tokens=False)
+        rest = [u for u in units if u[:1] != "\0"]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)] if rest else [""],
+                                                        add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.r_[np.flatnonzero(self.blank[ids]), len(ids)]
+        if len(starts) != len(rest) + 1:
+            raise ValueError("the tokenizer doesn't cut before blanks")
+        size = np.zeros(len(units), np.int64)
+        lone = np.zeros(len(units), bool)
+        lone[single] = True
+        size[~lone] = np.diff(starts)
+        size[lone] = [len(e.ids) for e in alone]
+        total = np.cumsum(size)
+        joined = np.empty(int(total[-1]), np.uint32)
+        place = np.repeat(lone, size)
+        joined[~place] = ids
+        joined[place] = [i for e in alone for i in e.ids]
+        self._add(joined, size, first)
+
     def encode(self, texts: list[str]):
         """Joined ids of the texts, each with the end id, and how many each has."""
         if self.known.size > CACHE_WORDS or self.chars > CACHE_CHARS:
@@ -93,12 +120,7 @@ class CachedTokenizer:
                 counts.append(len(units))
         index = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
         if known.pending:
-            plain = [u[4:] if u.startswith("\0all") else u[1:] if u[:1] == "\0" else " " + u
-                     for u in known.pending]
-            for s in range(0, len(plain), 4096):
-                found = self.tokenizer.encode_batch_fast(plain[s:s + 4096], add_special_tokens=False)
-                self._add([e.ids for e in found], first + s)
-            self.chars += sum(map(len, plain))
+            self._learn(known.pending, first)
             known.pending = []
         begin = self.offset[index]
         size = self.offset[index + 1] - begin
@@ -215,3 +237,9 @@ def round_trip(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "tokens")
     write_tokens(docs, folder, path, end)
     return read_tokens(docs.sparkSession, folder)
+
+
+def byte_bpe() -> str:
+    """Place of the public byte-level tokenizer's file, which is never copied here."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
