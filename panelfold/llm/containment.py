@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from panelfold.llm.rows import narrow, widen
 from panelfold.llm.textscan import Shingles, as_bytes, pieces
 from panelfold.session import materialize
 
@@ -125,5 +126,7 @@ def without_items(docs: DataFrame, items: DataFrame, width: int = WIDTH,
     found = contained_items(docs, items, width, threshold)
     bad = materialize(found.select(F.col("doc_id").alias("_bad"),
                                    F.col("text_hash").alias("_bad_text")).distinct(), "contained")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"])
-                     & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")
+    rows = narrow(docs, "doc_id", "text")
+    clean = rows.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad"))
+                      & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
+    return widen(clean, docs.columns, "doc_id", "text")

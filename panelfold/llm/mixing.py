@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelfold.llm.rows import narrow, widen
 from panelfold.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -131,18 +132,21 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame
         .select("s", "source_size", "target", "whole", "chance", "edge", "last", "closing"), "plan")
 
 
-def _copies(cut: Column) -> Column:
-    """Copies of a row joined to its source's plan (columns draw, doc_id and size)."""
-    odds = _odds(F.col("draw")) / _odds(F.col("chance"))
-    order = F.struct(odds.alias("odds"), F.col("draw"), F.col("doc_id"), F.col("size"))
-    closes = (F.col("draw").eqNullSafe(F.col("closing.draw"))
-              & F.col("doc_id").eqNullSafe(F.col("closing.doc_id"))
-              & (F.col("size") == F.col("closing.size")))
-    taken = (F.when(F.col("chance") <= 0, False).when(F.col("edge").isNull(), True)
-             .otherwise((cut < F.col("edge"))
-                        | ((cut == F.col("edge")) & F.coalesce(order <= F.col("last"), F.lit(False)))
+def _copies(cut: Column, at: str = "", draw=None, doc_id=None, size=None) -> Column:
+    """Copies of a row joined to its source's plan, whose columns begin with ``at``."""
+    draw, doc_id, size = (draw if draw is not None else F.col("draw"),
+                          doc_id if doc_id is not None else F.col("doc_id"),
+                          size if size is not None else F.col("size"))
+    chance, edge, closing = F.col(f"{at}chance"), F.col(f"{at}edge"), F.col(f"{at}closing")
+    order = F.struct((_odds(draw) / _odds(chance)).alias("odds"), draw.alias("draw"),
+                     doc_id.alias("doc_id"), size.alias("size"))
+    closes = (draw.eqNullSafe(closing["draw"]) & doc_id.eqNullSafe(closing["doc_id"])
+              & (size == closing["size"]))
+    taken = (F.when(chance <= 0, False).when(edge.isNull(), True)
+             .otherwise((cut < edge)
+                        | ((cut == edge) & F.coalesce(order <= F.col(f"{at}last"), F.lit(False)))
                         | F.coalesce(closes, F.lit(False))))
-    return F.col("whole") + F.when(taken, 1).otherwise(0)
+    return F.col(f"{at}whole") + F.when(taken, 1).otherwise(0)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -169,17 +173,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
 def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
     found = plan(materialize(sizes(docs), "sized"), weights, share, most).select(F.struct("*").alias("_plan"))
-    columns = docs.columns
-    rows = (docs.withColumn("_row", F.struct(*[F.col(c) for c in columns]))
-            .select("_row", F.col("doc_id").cast("bigint").alias("doc_id"),
-                    F.col("source").cast("string").alias("source"),
-                    words("text").alias("size"), draw("doc_id", "text").alias("draw"))
-            .join(found, F.col("source").eqNullSafe(F.col("_plan.s")))
-            .select("_row", "doc_id", "size", "draw", "_plan.*"))
-    cut = F.floor(F.col("draw") * CUTS).cast("int")
-    return (rows.withColumn("_copies", _copies(cut).cast("int")).where("_copies > 0")
-            .select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-            .select("_row.*"))
+    own = ("doc_id", "text", "source")
+    rows = (narrow(docs, *own)
+            .withColumns({"_id": F.col("doc_id").cast("bigint"), "_size": words("text"),
+                          "_draw": draw("doc_id", "text")})
+            .join(found, F.col("source").cast("string").eqNullSafe(F.col("_plan.s"))))
+    cut = F.floor(F.col("_draw") * CUTS).cast("int")
+    copies = _copies(cut, "_plan.", F.col("_draw"), F.col("_id"), F.col("_size")).cast("int")
+    again = (rows.withColumn("_copies", copies).where("_copies > 0")
+             .select(*own, "_rest", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))))
+    return widen(again, docs.columns, *own)
 
 
 SQL = r"""

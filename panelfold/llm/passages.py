@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from panelfold.llm.rows import narrow, widen
 from panelfold.llm.textscan import _power_tables, as_bytes, mix, pieces
 
 WORDS = 64
@@ -205,15 +206,16 @@ def score(docs: DataFrame, model: Attention | None, keep=("doc_id",), text: str
     zeros. Without a model (no labels) every score is 0.5. Repeated rows stay.
     """
     keep = list(keep)
-    source = docs.select(*keep, F.col(text).alias("_passage_text"))
+    place = keep.index(text) if text in keep else len(keep)
+    source = docs.select(*keep, *([] if text in keep else [F.col(text)]))
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
-        for batch in pieces(batches, "_passage_text", 1 << 20):
+        for batch in pieces(batches, text, 1 << 20):
             if model is None:
                 found = np.full(len(batch), 0.5)
             else:
-                x, row = passage_features(as_bytes(batch.column(len(keep))))
+                x, row = passage_features(as_bytes(batch.column(place)))
                 found = model.score(x, row, len(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))] + [pa.array(found)],
@@ -222,6 +224,15 @@ def score(docs: DataFrame, model: Attention | None, keep=("doc_id",), text: str
     return source.mapInArrow(run, schema)
 
 
+def good(docs: DataFrame, model: Attention | None, least: float = 0.7) -> DataFrame:
+    """The documents that score ``least`` or more, with all their columns; without a
+    model, all documents."""
+    if model is None:
+        return docs
+    scored = score(narrow(docs, "doc_id", "text"), model, keep=("doc_id", "text", "_rest"))
+    return widen(scored.where(F.col("score") >= least), docs.columns, "doc_id", "text")
+
+
 def held_out(column):
     """True for a quarter of the ids: never used for training."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 4 == 2

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from panelfold.llm import (containment, credentials, mixing, neighbours, pagetext, passages, pii, simhash,
                            spans, tokens, urlrules)
 
@@ -37,14 +38,8 @@ def op4_urls(spark, sf_dir):
     return urlrules.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
-def byte_bpe() -> str:
-    """Place of the tokenizer's file: a parameter, never copied here."""
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op5_tokens(spark, sf_dir):
-    return tokens.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
+    return tokens.round_trip(table(spark, sf_dir, "documents"), tokens.byte_bpe())
 
 
 def op6_secrets(spark, sf_dir):
@@ -78,9 +73,14 @@ def op10_pii(spark, sf_dir):
                         spans.listed(F.col("spans"), pii.KINDS).alias("spans"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
            "op3_quality": op3_quality,
            "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
-           "op9_pagetext": op9_pagetext, "op10_pii": op10_pii}
+           "op9_pagetext": op9_pagetext, "op10_pii": op10_pii,
+           "pipeline": pipeline}
 SQL = {"op8_mix": mixing.SQL}

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelfold.llm.components import components
+from panelfold.llm.rows import narrow, widen
 from panelfold.llm.textscan import as_bytes, pieces
 from panelfold.session import materialize
 
@@ -306,8 +307,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     the smallest digest of all columns, and of equal rows one. A row without doc_id
     stays only where its component has no id at all.
     """
-    digest = F.xxhash64(*[F.col(c) for c in docs.columns])
-    rows = docs.select("*", digest.alias("_digest"))
+    columns = docs.columns
+    rows = narrow(docs, "doc_id", "text")
+    rows = rows.withColumn("_digest", F.xxhash64("doc_id", "text", "_rest"))
     prints = materialize(fingerprints(rows, keep=("doc_id", "_digest")), "simhash")
     nodes = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")), "nodes")
     named = materialize(_named(nodes, radius), "named")
@@ -326,4 +328,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not again.isEmpty():
         once = out.join(again, same, "left_anti")
         out = once.unionAll(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
-    return out.drop("_digest")
+    return widen(out, columns, "doc_id", "text")
