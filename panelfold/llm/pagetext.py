@@ -39,8 +39,12 @@ ASIDE_WORDS = frozenset(
     "sponsor sponsored subscribe tags toolbar topbar widget".split())
 TEXT_WORDS = frozenset("article body content entry main page post story text".split())
 ASIDE_TAGS = frozenset("nav aside footer header form menu dialog".split())
-TEXT_TAGS = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+TEXT_TAGS = frozenset("article main".split())
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 PRIOR, STAY, TURN = 40.0, 60.0, 3.0
+# How much one feature can say: names of parts a lot, the look of a block little, so
+# that prose in a comment or a heading in a page header goes with what holds it.
+MUCH, LITTLE = 4.0, 0.6
 
 
 class Node:
@@ -169,7 +173,7 @@ def label(nodes: list[Node], known: str) -> None:
             if node.label is None:
                 if sure[0] < i < sure[-1]:
                     node.label = int(node.text in known)
-                elif node.parent.tag not in TEXT_TAGS:
+                elif node.parent.tag not in PROSE_TAGS:
                     node.label = 0
     sums: dict[int, list[int]] = {}
     for node in reversed(nodes):
@@ -209,8 +213,9 @@ class TreeModel:
             # Prior counts stand for themselves: they don't depend on how much was seen.
             p = [(seen[s] + 0.5) / (self.total[s] + 0.5 * spread) for s in (0, 1)]
             learned = math.log(p[1] / p[0]) if seen[0] + seen[1] else 0.0
+            most = MUCH if aside or text or kind == "class" else LITTLE
             weight = (seen[0] + seen[1]) / (seen[0] + seen[1] + PRIOR / 4)
-            self.odds[name] = weight * max(-4.0, min(4.0, learned)) \
+            self.odds[name] = weight * max(-most, min(most, learned)) \
                 + (1 - weight) * math.log(prior[1] / prior[0])
         turn = {}
         for a in (0, 1):
