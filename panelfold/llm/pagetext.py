@@ -44,7 +44,9 @@ PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 PRIOR, STAY, TURN = 40.0, 60.0, 3.0
 # How much one feature can say: names of parts a lot, the look of a block little, so
 # that prose in a comment or a heading in a page header goes with what holds it.
-MUCH, LITTLE = 4.0, 0.6
+MUCH, LITTLE = 4.0, 0.4
+# No state is rarer than this below the other: a page may be mostly menus.
+RAREST = 0.05
 
 
 class Node:
@@ -220,7 +222,8 @@ class TreeModel:
         turn = {}
         for a in (0, 1):
             n = [of(f"pair:{a}{b}")[1] + (STAY if a == b else TURN) for b in (0, 1)]
-            turn[a] = [math.log(x / sum(n)) for x in n]
+            chance = min(1 - RAREST, max(RAREST, n[1] / sum(n)))
+            turn[a] = [math.log(1 - chance), math.log(chance)]
         self.turn = turn
 
     def marginals(self, nodes: list[Node]) -> list[float]:
