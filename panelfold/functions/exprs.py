@@ -18,21 +18,27 @@ def hash_text(*parts: Column) -> Column:
 
 
 def hash_number(digest: Column) -> Column:
-    """First 32 bits of a digest as a number in [0, 2^32)."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    """First 60 bits of a digest as a number in [0, 2^60)."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def hash_uniform(digest: Column) -> Column:
-    """First 32 bits of a digest as a number in [0, 1)."""
-    return hash_number(digest) / F.lit(4294967296.0)
+    """First 32 bits of a digest as a number in [0, 1), for draws from a short list."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def rank_known(over: Column, groups: list[Column], descending: bool = False, dense: bool = False) -> Column:
+    """Rank of a value among those that are not missing; a missing one has no rank."""
+    order = over.desc_nulls_last() if descending else over.asc_nulls_last()
+    ranked = (F.dense_rank() if dense else F.rank()).over(Window.partitionBy(*groups).orderBy(order))
+    return F.when(over.isNotNull(), ranked)
 
 
 def average_rank(over: Column, groups: list[Column], descending: bool = False) -> Column:
-    """Rank with ties sharing their mean; one window task per small group."""
-    order = over.desc() if descending else over.asc()
-    ranked = F.rank().over(Window.partitionBy(*groups).orderBy(order))
+    """Rank with ties sharing their mean, missing values left out; one window task per
+    small group."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, over))
-    return ranked + (ties - 1) / F.lit(2.0)
+    return rank_known(over, groups, descending) + (ties - 1) / F.lit(2.0)
 
 
 def inline_rows(rows: Iterable[tuple], names: list[str]) -> Column:

@@ -183,25 +183,23 @@ def config_scores(trials: DataFrame) -> DataFrame:
             .withColumn("model", F.concat(F.lit(TUNED_PREFIX), F.col("family"))))
 
 
-def _tie_stable(loss: Column) -> Column:
-    # Equal configurations must tie whatever the order of summation was.
-    return loss.cast("float")
-
-
 def best_config_across_folds(scores: DataFrame, groups: list[str]) -> DataFrame:
     """Per model, the configuration with the least mean loss over the folds."""
-    means = scores.groupBy(*groups, "model", "family", "hash_value").agg(
-        F.avg("loss").alias("mean_loss"),
+    # Losses belong to (features, scaler): averaged there once, configurations that
+    # stand for the same fit tie bit for bit.
+    fit = [*groups, "features", "scaler"]
+    means = (scores.groupBy(*fit, "fold").agg(F.min("loss").alias("loss"))
+             .groupBy(*fit).agg(F.avg("loss").alias("mean_loss")))
+    firsts = scores.groupBy(*fit, "model", "family", "hash_value").agg(
         F.min(F.struct("fold", "config_idx", "features", "scaler")).alias("first"))
-    ranked = means.withColumn("key", _tie_stable(F.col("mean_loss")))
-    return _best(ranked, groups)
+    return _best(firsts.join(means, fit).withColumn("key", F.col("mean_loss")), groups)
 
 
 def best_config_single(scores: DataFrame, groups: list[str]) -> DataFrame:
     """Per model, the configuration with the least loss within one run (fold)."""
     one = scores.withColumn("mean_loss", F.col("loss")).withColumn(
         "first", F.struct("fold", "config_idx", "features", "scaler"))
-    return _best(one.withColumn("key", _tie_stable(F.col("loss"))), groups)
+    return _best(one.withColumn("key", F.col("loss")), groups)
 
 
 def _best(ranked: DataFrame, groups: list[str]) -> DataFrame:
@@ -221,10 +219,11 @@ def best_variant_per_family(forecasts: DataFrame, groups: list[str] | None = Non
     ``model`` is a variant name; its family is the part before ``_``.
     """
     groups = groups or []
+    # Sums of decimals don't depend on their order: equal variants tie exactly.
     means = mae_by_series(forecasts, groups).groupBy(*groups, "model").agg(
-        F.avg("err").alias("err"))
+        F.avg(F.col("err").cast("decimal(28,12)")).cast("double").alias("err"))
     named = means.withColumn("family", F.split_part("model", F.lit("_"), F.lit(1)))
-    best = named.withColumn("key", _tie_stable(F.col("err"))).groupBy(*groups, "family").agg(
+    best = named.withColumn("key", F.col("err")).groupBy(*groups, "family").agg(
         first_by("key", "model", "err").alias("best"))
     return best.select(*groups, "family", F.col("best.model").alias("model"),
                        F.col("best.err").alias("err"))

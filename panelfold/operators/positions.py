@@ -22,9 +22,12 @@ LAST_CHUNK = 2 ** 62
 def with_positions(panel: DataFrame, freq: str | None = None,
                    id_col: str = ID, time_col: str = TIME) -> DataFrame:
     """Add ``pos`` (1..n by time, missing times last) and ``n`` (rows of the series)."""
-    by_time = F.col(time_col).asc_nulls_last()
+    # Rows of one time are ordered by their content, so that positions don't depend on
+    # how the rows arrive.
+    others = [F.col(c) for c in panel.columns if c not in (id_col, time_col)]
+    by_time = [F.col(time_col).asc_nulls_last(), *([F.xxhash64(*others), *others] if others else [])]
     if is_bounded(freq):
-        series = Window.partitionBy(id_col).orderBy(by_time)
+        series = Window.partitionBy(id_col).orderBy(*by_time)
         whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return panel.select(
             "*",
@@ -41,7 +44,7 @@ def with_positions(panel: DataFrame, freq: str | None = None,
         id_col, chunk,
         (F.sum("_rows").over(series) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(whole).alias(SIZE))
-    inside = Window.partitionBy(id_col, chunk).orderBy(by_time)
+    inside = Window.partitionBy(id_col, chunk).orderBy(*by_time)
     return (
         chunked.withColumn("_row", F.row_number().over(inside))
         .join(starts, [id_col, chunk])

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import average_rank
+from ..functions.exprs import average_rank, rank_known
 from ..schema import ID
 from .errors import first_by
 
@@ -116,7 +116,7 @@ def summarize_models(by_model: DataFrame) -> DataFrame:
         "*",
         F.floor(average_rank(F.col("avg_outer_error"), whole)).cast("int").alias("outer_rank"),
         F.floor(average_rank(F.col("mean_abs_est_error"), whole, descending=True))
-        .cast("int").alias("difficulty_rank")).orderBy("avg_outer_error")
+        .cast("int").alias("difficulty_rank")).orderBy(F.asc_nulls_last("avg_outer_error"))
 
 
 def pivot_model_method(by_model: DataFrame, methods: list[str]) -> DataFrame:
@@ -136,10 +136,11 @@ def downstream_error(errors: DataFrame, groups: list[str]) -> DataFrame:
 def method_leaderboard(downstream: DataFrame) -> DataFrame:
     """Long rows ``(dataset, method, value)``: errors plus three summary rows.
 
-    ``Avg. Rank`` shares ties, ``Top 2 Count`` counts minimum ranks below 3.
+    ``Avg. Rank`` shares ties, ``Top 2 Count`` counts minimum ranks below 3; a method
+    without an error has no rank in that dataset.
     """
     by_dataset = [F.col("dataset")]
-    lowest = F.rank().over(Window.partitionBy("dataset").orderBy("selected_error"))
+    lowest = rank_known(F.col("selected_error"), by_dataset)
     ranked = downstream.select(
         "dataset", "method", "selected_error",
         average_rank(F.col("selected_error"), by_dataset).alias("rank"), lowest.alias("lowest"))
@@ -162,24 +163,24 @@ def leaderboard_table(board: DataFrame, methods: list[str]) -> DataFrame:
 
 def rank_methods(outer: DataFrame) -> DataFrame:
     """Rank methods per (dataset, model), least error first; mean over both."""
-    ranks = Window.partitionBy("dataset", "model").orderBy("outer")
-    per_model = outer.withColumn("rank", F.rank().over(ranks)).groupBy("method", "model").agg(
+    ranks = rank_known(F.col("outer"), [F.col("dataset"), F.col("model")])
+    per_model = outer.withColumn("rank", ranks).groupBy("method", "model").agg(
         F.avg("rank").alias("rank"))
     return per_model.groupBy("method").agg(F.avg("rank").alias("avg_rank"))
 
 
 def rank_models(outer: DataFrame) -> DataFrame:
     """Rank models per (dataset, method), least error first; mean of per-method means."""
-    ranks = Window.partitionBy("dataset", "method").orderBy("outer")
-    per_method = outer.withColumn("rank", F.rank().over(ranks)).groupBy("method", "model").agg(
+    ranks = rank_known(F.col("outer"), [F.col("dataset"), F.col("method")])
+    per_method = outer.withColumn("rank", ranks).groupBy("method", "model").agg(
         F.avg("rank").alias("rank"))
     return per_method.groupBy("model").agg(F.avg("rank").alias("avg_rank"))
 
 
 def annotate_top2(board: DataFrame, digits: int = 3) -> DataFrame:
-    """Mark the best and second-best distinct rounded value of each row."""
+    """Mark the best and second-best distinct rounded value of each row; never a missing one."""
     rounded = board.withColumn("value", F.bround("value", digits))
-    place = F.dense_rank().over(Window.partitionBy("dataset").orderBy("value"))
+    place = rank_known(F.col("value"), [F.col("dataset")], dense=True)
     return rounded.withColumn(
         "mark", F.when(place == 1, "best").when(place == 2, "second"))
 

@@ -1,5 +1,6 @@
 """Session settings and the shared folder for written intermediates."""
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def _base_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     base = tempfile.mkdtemp(prefix="panelfold-")
     spark.conf.set("spark.checkpoint.dir", base)

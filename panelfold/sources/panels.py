@@ -72,7 +72,8 @@ def conform_columns(frame: DataFrame, names: dict[str, str] | None = None) -> Da
 
 
 def _parsed(text: Column) -> Column:
-    time = F.try_to_timestamp(text).cast("timestamp_ntz")
+    # Straight to a time without zone: the session's zone plays no part.
+    time = text.try_cast("timestamp_ntz")
     return F.when(time.between(F.lit(FIRST_TIME).cast("timestamp_ntz"),
                                F.lit(LAST_TIME).cast("timestamp_ntz")), time)
 
@@ -88,10 +89,8 @@ def parse_timestamps(frame: DataFrame, time_col: str = TIME,
     parsed = frame.withColumn("_time", _parsed(F.col(time_col)))
     key = F.lit(1) if dataset_col is None else F.col(dataset_col)
     parsed = parsed.withColumn("_key", key)
-    # One row per dataset: small enough to send to every task, while a shuffle by
-    # dataset would gather a large one in few tasks.
-    flags = parsed.groupBy("_key").agg(F.bool_or(F.col("_time").isNull()).alias("_bad"))
+    flags = parsed.groupBy(F.col("_key").alias("_flagged")).agg(F.bool_or(F.col("_time").isNull()).alias("_bad"))
     day = F.col("_time").cast("date").cast("timestamp_ntz")
-    return (parsed.join(F.broadcast(flags), "_key")
+    return (parsed.join(flags, F.col("_key").eqNullSafe(F.col("_flagged")))
             .withColumn(time_col, F.when(F.col("_bad"), day).otherwise(F.col("_time")))
-            .drop("_time", "_key", "_bad"))
+            .drop("_time", "_key", "_flagged", "_bad"))

@@ -195,13 +195,18 @@ def _prepared(rows):
     return rows, materialize(_assignments(first), "assignments")
 
 
+# Decimal places compared: the hourly panel holds small means, the others sums of money.
+DIGITS = {"type_hour": 6}
+
+
 def _linear(name, features, scaler):
     def run(spark, sf):
         p = PANELS[name]
         rows, assigned = _prepared(trended(spark, sf, name))
         out = linear.global_fit_predict(rows, assigned, p["horizon"], p["season"],
                                         p["freq"], features, scaler)
-        return out.withColumn("yhat", F.round("yhat", 1)).withColumn(TARGET, F.round(TARGET, 1))
+        digits = DIGITS.get(name, 1)
+        return out.withColumn("yhat", F.round("yhat", digits)).withColumn(TARGET, F.round(TARGET, digits))
     return run
 
 
@@ -217,7 +222,8 @@ def _linear_sql(name, features, scaler):
         ahead=windows_sql(origins_sql(h, h), h, m), fa=features_sql("ahead"),
         ia="SELECT * FROM fa JOIN test USING (unique_id)",
         scored=predict_sql("ia", "coefs", keys, h)) + f"""
-SELECT method, fold, unique_id, cutoff, ds, lead, round(y, 1) AS y, round(yhat, 1) AS yhat
+SELECT method, fold, unique_id, cutoff, ds, lead, round(y, {DIGITS.get(name, 1)}) AS y,
+       round(yhat, {DIGITS.get(name, 1)}) AS yhat
 FROM scored WHERE features = '{features}' AND scaler = '{scaler}'"""
 
 
@@ -231,11 +237,11 @@ for _key, _args in {
 
 QUERIES["lag_features"] = lambda spark, sf: linear.lag_features(
     positioned(spark, sf, "type_hour"), 15, "H").select(
-    ID, TIME, *[F.get("lags", F.lit(i)).alias(f"lag_{14 - i}") for i in (0, 5, 14)],
+    ID, TIME, *[F.get("lags", F.lit(i)).alias(f"lag_{14 - i}") for i in range(15)],
     F.size("lags").cast("long").alias("n_lags"))
-SQL["lag_features"] = ctes(panel=PANEL["type_hour"], pos=POSITIONS) + """
-SELECT unique_id, ds, lag_14, lag_9, y AS lag_0, CAST(15 AS BIGINT) AS n_lags FROM (
-  SELECT *, lag(y, 14) OVER w AS lag_14, lag(y, 9) OVER w AS lag_9
+SQL["lag_features"] = ctes(panel=PANEL["type_hour"], pos=POSITIONS) + f"""
+SELECT unique_id, ds, {", ".join(f"lag_{i}" for i in range(15))}, CAST(15 AS BIGINT) AS n_lags FROM (
+  SELECT *, {", ".join(f"lag(y, {i}) OVER w AS lag_{i}" for i in range(15))}
   FROM pos WINDOW w AS (PARTITION BY unique_id ORDER BY ds)) WHERE pos >= 15"""
 
 

@@ -94,15 +94,17 @@ def fold_steps(name, seeds=SEEDS, families=FAMILIES):
 
 SINGLE = """
 SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY seed, method, fold, model
-  ORDER BY CAST(loss AS FLOAT), hash_value, config_idx) = 1"""
+  ORDER BY loss, hash_value, config_idx) = 1"""
 
 ACROSS = """
 SELECT * FROM (
-  SELECT seed, method, model, family, hash_value, avg(loss) AS loss,
+  SELECT seed, method, model, family, hash_value, mean_loss AS loss,
          arg_min(struct_pack(config_idx, features, scaler), fold * 1000 + config_idx) AS first
-  FROM scores GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY seed, method, model
-  ORDER BY CAST(loss AS FLOAT), hash_value) = 1"""
+  FROM scores JOIN (
+    SELECT seed, method, features, scaler, avg(loss) AS mean_loss FROM (
+      SELECT DISTINCT seed, method, fold, features, scaler, loss FROM scores) GROUP BY ALL)
+  USING (seed, method, features, scaler) GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY seed, method, model ORDER BY loss, hash_value) = 1"""
 
 FORECAST = "seed, method, stage, fold, unique_id, cutoff, ds, lead, model, yhat, y"
 

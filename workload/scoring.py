@@ -172,10 +172,12 @@ MODEL_MEANS_SQL = f"""SELECT dataset, method, model, avg(outer_error) AS outer_e
   avg(abs_estimation_error) AS abs_estimation_error FROM ({BY_MODEL_SQL}) GROUP BY ALL"""
 QUERIES["summarize_models"] = lambda spark, sf: R.summarize_models(model_means(spark, sf))
 SQL["summarize_models"] = _steps + f"""
-SELECT *, CAST(floor(rank() OVER (ORDER BY avg_outer_error)
-         + (count(*) OVER (PARTITION BY avg_outer_error) - 1) / 2.0) AS INTEGER) AS outer_rank,
-       CAST(floor(rank() OVER (ORDER BY mean_abs_est_error DESC)
-         + (count(*) OVER (PARTITION BY mean_abs_est_error) - 1) / 2.0) AS INTEGER)
+SELECT *, CASE WHEN avg_outer_error IS NOT NULL THEN
+         CAST(floor(rank() OVER (ORDER BY avg_outer_error NULLS LAST)
+         + (count(*) OVER (PARTITION BY avg_outer_error) - 1) / 2.0) AS INTEGER) END AS outer_rank,
+       CASE WHEN mean_abs_est_error IS NOT NULL THEN
+         CAST(floor(rank() OVER (ORDER BY mean_abs_est_error DESC NULLS LAST)
+         + (count(*) OVER (PARTITION BY mean_abs_est_error) - 1) / 2.0) AS INTEGER) END
          AS difficulty_rank
 FROM (SELECT model, round_even(avg(outer_error), 3) AS avg_outer_error,
              round_even(avg(inner_error), 3) AS avg_inner_error,
@@ -217,14 +219,15 @@ FROM picked"""
 # Errors that agree to nine places tie: methods often select the same forecasts.
 BOARD_SQL = f"""
 WITH d AS (SELECT dataset, method, round(selected_error, 9) AS e FROM ({DOWN_SQL})),
-r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY e) AS lowest,
-             rank() OVER (PARTITION BY dataset ORDER BY e)
-               + (count(*) OVER (PARTITION BY dataset, e) - 1) / 2.0 AS rank FROM d)
+r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY e NULLS LAST) AS lowest,
+             rank() OVER (PARTITION BY dataset ORDER BY e NULLS LAST)
+               + (count(*) OVER (PARTITION BY dataset, e) - 1) / 2.0 AS rank
+      FROM d WHERE e IS NOT NULL)
 SELECT dataset, method, e AS value FROM d
-UNION ALL SELECT 'Avg. Rank', method, avg(rank) FROM r GROUP BY 2
-UNION ALL SELECT 'Avg', method, avg(e) FROM r GROUP BY 2
-UNION ALL SELECT 'Top 2 Count', method, CAST(count(*) FILTER (WHERE lowest < 3) AS DOUBLE)
-          FROM r GROUP BY 2"""
+UNION ALL SELECT 'Avg. Rank', d.method, avg(rank) FROM d LEFT JOIN r USING (dataset, method) GROUP BY 2
+UNION ALL SELECT 'Avg', method, avg(e) FROM d GROUP BY 2
+UNION ALL SELECT 'Top 2 Count', d.method, CAST(count(*) FILTER (WHERE lowest < 3) AS DOUBLE)
+          FROM d LEFT JOIN r USING (dataset, method) GROUP BY 2"""
 
 
 def board(spark, sf):
@@ -240,8 +243,9 @@ SELECT {_name_sql('dataset', R.DATASET_NAMES)} AS dataset, """ + ", ".join(
 
 QUERIES["annotate_top2"] = lambda spark, sf: R.annotate_top2(board(spark, sf))
 SQL["annotate_top2"] = _steps_in + f"""
-SELECT dataset, method, value, CASE dense_rank() OVER (PARTITION BY dataset ORDER BY value)
-         WHEN 1 THEN 'best' WHEN 2 THEN 'second' END AS mark
+SELECT dataset, method, value, CASE WHEN value IS NOT NULL THEN
+         CASE dense_rank() OVER (PARTITION BY dataset ORDER BY value NULLS LAST)
+         WHEN 1 THEN 'best' WHEN 2 THEN 'second' END END AS mark
 FROM (SELECT dataset, method, round_even(value, 3) AS value FROM ({BOARD_SQL}))"""
 
 
@@ -258,7 +262,8 @@ QUERIES["rank_methods"] = lambda spark, sf: rounded(
 SQL["rank_methods"] = _steps + f"""
 SELECT method, round(avg(r), 6) AS avg_rank FROM (
   SELECT method, model, avg(r) AS r FROM (
-    SELECT *, rank() OVER (PARTITION BY dataset, model ORDER BY o) AS r FROM ({OUTER_SQL}))
+    SELECT *, rank() OVER (PARTITION BY dataset, model ORDER BY o NULLS LAST) AS r
+    FROM ({OUTER_SQL}) WHERE o IS NOT NULL)
   GROUP BY ALL) GROUP BY 1"""
 
 QUERIES["rank_models"] = lambda spark, sf: rounded(
@@ -266,7 +271,8 @@ QUERIES["rank_models"] = lambda spark, sf: rounded(
 SQL["rank_models"] = _steps + f"""
 SELECT model, round(avg(r), 6) AS avg_rank FROM (
   SELECT method, model, avg(r) AS r FROM (
-    SELECT *, rank() OVER (PARTITION BY dataset, method ORDER BY o) AS r FROM ({OUTER_SQL}))
+    SELECT *, rank() OVER (PARTITION BY dataset, method ORDER BY o NULLS LAST) AS r
+    FROM ({OUTER_SQL}) WHERE o IS NOT NULL)
   GROUP BY ALL) GROUP BY 1"""
 
 QUERIES["label_names"] = lambda spark, sf: results(spark, sf).select("dataset", "method").groupBy(
@@ -277,9 +283,10 @@ SQL["label_names"] = _steps + f"""
 SELECT dataset, {METHOD_SQL} AS method, count(*) AS n_rows FROM results GROUP BY ALL"""
 
 QUERIES["round_report"] = lambda spark, sf: R.round_report(
-    model_means(spark, sf), VALUES).drop("inner_error")
+    model_means(spark, sf), VALUES)
 SQL["round_report"] = _steps + f"""
 SELECT dataset, method, model, round_even(outer_error, 3) AS outer_error,
+       round_even(inner_error, 3) AS inner_error,
        round_even(estimation_error, 3) AS estimation_error,
        round_even(abs_estimation_error, 3) AS abs_estimation_error FROM ({MODEL_MEANS_SQL})"""
 

@@ -87,7 +87,7 @@ SELECT '{method}' AS method, CAST(s.fold AS INTEGER) AS fold, s.unique_id,
 FROM (SELECT * FROM {slots}, (SELECT unnest(range({repeats})) AS fold)) s
 LEFT JOIN (
   SELECT fold, drawn, count(*) AS weight FROM (
-    SELECT fold, CAST('0x' || substr(md5('{seed}|{method}|' || fold || '|' || slot), 1, 8) AS BIGINT)
+    SELECT fold, CAST('0x' || substr(md5('{seed}|{method}|' || fold || '|' || slot), 1, 15) AS BIGINT)
                  % total + 1 AS drawn
     FROM {slots}, (SELECT unnest(range({repeats})) AS fold))
   GROUP BY 1, 2) d ON s.fold = d.fold AND s.slot = d.drawn"""

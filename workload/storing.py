@@ -80,15 +80,14 @@ COUNTS_SQL = """SELECT seed, dataset, method, stage, count(*) AS n_rows,
 
 
 def _write(spark, sf):
-    """Copy one dataset's results into a new table and read it back."""
-    kept = stored(spark, sf).filter(F.col("dataset") == "nation_month")
+    """Copy all results into a new table and read it back."""
     path = shared_folder(spark, "copy")
-    R.write_cv_results(kept, path)
+    R.write_cv_results(stored(spark, sf), path)
     return _counts(R.read_cv_results(spark, path))
 
 
 QUERIES["write_cv_results"] = _write
-SQL["write_cv_results"] = ctes(results=stacked_results(["nation_month"])) + COUNTS_SQL
+SQL["write_cv_results"] = ctes(results=stacked_results(DATASETS)) + COUNTS_SQL
 
 QUERIES["read_cv_results"] = lambda spark, sf: _counts(
     stored(spark, sf).filter(F.col("stage") == "outer"))
@@ -105,7 +104,7 @@ SELECT stage, model, CASE WHEN starts_with(model, 'Auto') THEN substr(model, 5)
 
 QUERIES["discover_seeds"] = lambda spark, sf: R.discover_seeds(
     stored(spark, sf))
-SQL["discover_seeds"] = ctes(results=stacked_results(["brand_month"])) + """
+SQL["discover_seeds"] = ctes(results=stacked_results(DATASETS)) + """
 SELECT DISTINCT seed, 'seed_' || seed AS label FROM results"""
 
 

@@ -111,21 +111,23 @@ _steps = forecast_steps(NAME)
 WINNERS = """
 SELECT * FROM (
   SELECT seed, method, family, family || '_' || config_idx AS model, features, scaler,
-         avg(err) AS err
+         CAST(avg(CAST(err AS DECIMAL(28,12))) AS DOUBLE) AS err
   FROM (SELECT seed, method, fold, unique_id, features, scaler, avg(abs(y - yhat)) AS err
         FROM p_in GROUP BY ALL) JOIN models USING (features, scaler) GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY seed, method, family
-                           ORDER BY CAST(err AS FLOAT), model) = 1"""
+                           ORDER BY err, model) = 1"""
 SQL["best_variant_per_family"] = ctes(**_steps, winners=WINNERS) + """
 SELECT seed, method, family, model, round(err, 2) AS err FROM winners"""
 
-QUERIES["outer_variants"] = lambda spark, sf: V.outer_variants(_variants(spark, sf)).filter(
-    F.col("model") != BASELINE).drop("stage", "fold").withColumn(
+QUERIES["outer_variants"] = lambda spark, sf: V.outer_variants(_variants(spark, sf)).withColumn(
     "yhat", F.round("yhat", 1)).withColumn(TARGET, F.round(TARGET, 1))
 SQL["outer_variants"] = ctes(**_steps, winners=WINNERS) + """
-SELECT w.seed, w.method, unique_id, cutoff, ds, lead, model, round(yhat, 1) AS yhat,
-       round(y, 1) AS y
-FROM p_out p JOIN winners w ON w.features = p.features AND w.scaler = p.scaler"""
+SELECT w.seed, w.method, 'outer' AS stage, 0 AS fold, unique_id, cutoff, ds, lead, model,
+       round(yhat, 1) AS yhat, round(y, 1) AS y
+FROM p_out p JOIN winners w ON w.features = p.features AND w.scaler = p.scaler
+UNION ALL SELECT seed, method, stage, fold, unique_id, cutoff, ds, lead, model,
+       round(yhat, 1) AS yhat, round(y, 1) AS y
+FROM results WHERE stage = 'outer' AND model = 'SeasonalNaive'"""
 
 # -- forecasts of the nested experiment ---------------------------------------------------
 
@@ -146,14 +148,13 @@ SELECT {ROUNDED} FROM results WHERE stage = 'outer'"""
 
 
 def _wide(spark, sf):
-    rows = _rounded(N.inner_forecasts(fitted(spark, sf, seeds=(123,))))
+    rows = _rounded(N.inner_forecasts(fitted(spark, sf)))
     keys = [*N.FOLD, ID, "cutoff", TIME, TARGET]
     return origins.merge_model_columns(rows, ["AutoNLinear", "AutoDLinear", BASELINE], keys)
 
 
-_one_seed = forecast_steps(NAME, (123,))
 QUERIES["merge_model_columns"] = _wide
-SQL["merge_model_columns"] = ctes(**_one_seed) + f"""
+SQL["merge_model_columns"] = ctes(**_steps) + f"""
 SELECT seed, method, fold, unique_id, cutoff, ds, y,
        max(yhat) FILTER (WHERE model = 'AutoNLinear') AS "AutoNLinear",
        max(yhat) FILTER (WHERE model = 'AutoDLinear') AS "AutoDLinear",
@@ -162,17 +163,18 @@ FROM (SELECT {ROUNDED} FROM results WHERE stage = 'inner') GROUP BY ALL"""
 
 
 def _attach(spark, sf):
-    rows = _rounded(N.refit_final(fitted(spark, sf, seeds=(123,))).filter(
-        F.col("method") == "KFold"))
-    naive = rows.filter(F.col("model") == BASELINE)
+    """The baseline is the same in every run: one run's goes to the models of all."""
+    rows = _rounded(N.refit_final(fitted(spark, sf)))
+    first = (F.col("seed") == SEEDS[0]) & (F.col("method") == "KFold")
+    naive = rows.filter((F.col("model") == BASELINE) & first)
     return origins.attach_baseline(
-        rows.filter(F.col("model") != BASELINE), naive, BASELINE, "inner").drop("seed", "fold")
+        rows.filter(F.col("model") != BASELINE), naive, BASELINE, "inner")
 
 
 QUERIES["attach_baseline"] = _attach
-SQL["attach_baseline"] = ctes(**_one_seed, o=f"""
-SELECT {ROUNDED} FROM results WHERE stage = 'outer' AND method = 'KFold'""") + """
-SELECT f.method, f.stage, f.unique_id, f.cutoff, f.ds, f.lead, f.model, f.yhat, f.y,
+SQL["attach_baseline"] = ctes(**_steps, o=f"""
+SELECT {ROUNDED} FROM results WHERE stage = 'outer'""") + """
+SELECT f.seed, f.method, f.stage, f.fold, f.unique_id, f.cutoff, f.ds, f.lead, f.model, f.yhat, f.y,
        b.yhat AS "SeasonalNaive"
-FROM o f JOIN o b USING (unique_id, cutoff, ds)
+FROM o f JOIN o b USING (unique_id, cutoff, ds, seed, method)
 WHERE f.model <> 'SeasonalNaive' AND b.model = 'SeasonalNaive'"""
