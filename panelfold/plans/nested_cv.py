@@ -13,7 +13,7 @@ Steps read each other's results as small tables, so a plan never repeats the
 work, or the planning, of the steps before it.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,6 +27,7 @@ from ..operators.splits import ALL_METHODS, Scheme, split_all
 from ..schema import (BASELINE, ID, N_SAMPLES, OUT_SERIES_FRACTION, OUT_SET_MULTIPLIER, POS, SEED,
                       TARGET, TIME)
 from ..session import materialize
+from ..sources.results import pending_tasks, stored_partitions, write_cv_results
 from . import tuning as T
 
 FOLD = ["seed", "method", "fold"]
@@ -47,11 +48,18 @@ class Experiment:
     out_multiplier: int = OUT_SET_MULTIPLIER
     methods: dict[str, Scheme] | None = None
     families: tuple[str, ...] = ("NLinear", "DLinear")
+    # Pairs (seed, method) to run; None: all.
+    only: tuple[tuple[int, str], ...] | None = None
 
     @property
     def method_names(self) -> list[str]:
         return list(self.methods) if self.methods is not None else list(ALL_METHODS)
 
+    @property
+    def tasks(self) -> list[tuple[int, str]]:
+        every = [(s, m) for s in self.seeds for m in self.method_names]
+        return every if self.only is None else [t for t in every if t in self.only]
+
     @property
     def windows(self) -> T.Windows:
         return T.Windows(self.horizon, self.season, self.out_multiplier)
@@ -60,7 +68,10 @@ class Experiment:
 def assignments(panel: DataFrame, run: Experiment) -> DataFrame:
     """Splits of the in-set series for every seed and method."""
     kept = sampled_per_seed(panel, 1 - run.out_series_fraction, list(run.seeds))
-    return split_all(kept, None, run.methods).select(*FOLD, ID, "role")
+    rows = split_all(kept, None, run.methods).select(*FOLD, ID, "role")
+    if run.only is None:
+        return rows
+    return rows.filter(F.concat_ws("|", "seed", "method").isin([f"{s}|{m}" for s, m in run.tasks]))
 
 
 @dataclass(frozen=True)
@@ -137,7 +148,7 @@ def forecast_outer(trended: DataFrame, coefs: DataFrame, run: Experiment) -> Dat
     inputs = L.forecast_inputs(trended, run.horizon, run.season, out)
     rows = L.predict(inputs, coefs, T.stage_widths(trended, run.windows, "final"), "final", [])
     naive = seasonal_naive(trended, run.horizon, run.season, out)
-    runs = inline_rows([(s, m) for s in run.seeds for m in run.method_names], RUN)
+    runs = inline_rows(run.tasks, RUN)
     baseline = naive.select("*", runs).withColumn("model", F.lit(BASELINE))
     keep = [*RUN, ID, "cutoff", TIME, "lead", "model", "yhat", TARGET]
     return (rows.select(keep).unionByName(baseline.select(keep))
@@ -177,3 +188,19 @@ def nested_cv(panel: DataFrame, run: Experiment) -> DataFrame:
     """Inner and outer forecasts of every seed, method and model in long form."""
     fitted = fit_folds(panel, run)
     return inner_forecasts(fitted).unionByName(refit_final(fitted))
+
+
+def resume(panel: DataFrame, run: Experiment, dataset: str, path: str) -> int:
+    """Run and store what ``path`` doesn't hold in full yet; the number of pairs run.
+
+    A (seed, method) with both stages stored is left alone. The stored ones come from
+    the file listing; only those pairs reach the driver.
+    """
+    spark = panel.sparkSession
+    tasks = spark.createDataFrame([(s, dataset, m) for s, m in run.tasks],
+                                  "seed int, dataset string, method string")
+    left = pending_tasks(tasks, stored_partitions(spark, path)).collect()  # seeds x methods
+    if left:
+        part = replace(run, only=tuple((r["seed"], r["method"]) for r in left))
+        write_cv_results(nested_cv(panel, part).withColumn("dataset", F.lit(dataset)), path)
+    return len(left)

@@ -1,5 +1,6 @@
 """Stored cross-validation results: one table partitioned by run and stage."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import TUNED_PREFIX, result_schema
@@ -38,27 +39,46 @@ def strip_model_prefix(model: Column) -> Column:
     return F.regexp_replace(model, f"^{TUNED_PREFIX}", "")
 
 
+def stored_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(seed, dataset, method, stage) of all result files below ``path``.
+
+    From the file listing alone: no result file is opened. Nothing stored, no rows.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "seed int, dataset string, method string, stage string")
+
+    def value(name):
+        escaped = F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+        return F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+
+    return files.select(value("seed").cast("int").alias("seed"),
+                        *[value(n).alias(n) for n in PARTITIONS[1:]]).distinct()
+
+
 def discover_seeds(results: DataFrame) -> DataFrame:
-    """Seeds with results, in order (from folder names alone)."""
+    """Seeds with results, in order. ``results`` may be the listing of partitions."""
     return results.select("seed").distinct().select(
         "seed", F.concat(F.lit("seed_"), F.col("seed").cast("string")).alias("label")
     ).orderBy("label")
 
 
 def complete_pairs(results: DataFrame) -> DataFrame:
-    """(seed, dataset, method) with both stages stored."""
-    stages = results.groupBy("seed", "dataset", "method", "stage").agg(
-        F.count(F.lit(1)).alias("_rows"))
-    return (stages.groupBy("seed", "dataset", "method")
-            .agg(F.count_if(F.col("stage") == "inner").alias("inner"),
-                 F.count_if(F.col("stage") == "outer").alias("outer"))
-            .filter((F.col("inner") > 0) & (F.col("outer") > 0))
+    """(seed, dataset, method) with both stages stored. ``results`` may be the listing."""
+    return (results.groupBy("seed", "dataset", "method")
+            .agg(F.bool_or(F.col("stage") == "inner").alias("inner"),
+                 F.bool_or(F.col("stage") == "outer").alias("outer"))
+            .filter(F.col("inner") & F.col("outer"))
             .select("seed", "dataset", "method"))
 
 
-def only_complete(results: DataFrame) -> DataFrame:
-    """Rows of pairs that can be scored."""
-    return results.join(complete_pairs(results), ["seed", "dataset", "method"], "left_semi")
+def only_complete(results: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
+    """Rows of pairs that can be scored; ``partitions`` is their listing, if at hand."""
+    known = results if partitions is None else partitions
+    return results.join(complete_pairs(known), ["seed", "dataset", "method"], "left_semi")
 
 
 def pending_tasks(tasks: DataFrame, results: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from panelfold.operators.positions import with_positions
 from panelfold.plans import nested_cv as N
 from panelfold.plans.scoring import scale_tables
 from panelfold.session import materialize, shared_folder
-from panelfold.sources.results import read_cv_results, strip_model_prefix, write_cv_results
+from panelfold.sources.results import only_complete, read_cv_results, stored_partitions, strip_model_prefix
 
 from .nestedsql import SEEDS
 from .panels import PANELS, panel
@@ -28,8 +28,7 @@ def run_experiments(spark: SparkSession, sf_dir: str, path: str, names=DATASETS)
     The panels do not depend on each other, so their jobs share the cluster.
     """
     def run(name: str) -> None:
-        forecasts = N.nested_cv(panel(spark, sf_dir, name), experiment(name))
-        write_cv_results(forecasts.withColumn("dataset", F.lit(name)), f"{path}/{name}")
+        N.resume(panel(spark, sf_dir, name), experiment(name), name, f"{path}/{name}")
 
     with ThreadPoolExecutor(len(names)) as pool:
         list(pool.map(run, names))
@@ -46,21 +45,27 @@ def _once(spark: SparkSession, sf_dir: str, what: str, build):
     return _written[key]
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored table: reports read what the experiments wrote."""
+def folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the experiments' results are stored."""
     def build() -> str:
         path = shared_folder(spark, "results")
         run_experiments(spark, sf_dir, path)
         return path
 
-    path = _once(spark, sf_dir, "results", build)
+    return _once(spark, sf_dir, "results", build)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table: reports read what the experiments wrote."""
+    path = folder(spark, sf_dir)
     return reduce(DataFrame.unionByName, [
         read_cv_results(spark, f"{path}/{name}") for name in DATASETS])
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored forecasts with plain model names."""
-    return stored(spark, sf_dir).withColumn("model", strip_model_prefix(F.col("model")))
+    """Stored forecasts of complete runs, with plain model names."""
+    listing = stored_partitions(spark, folder(spark, sf_dir))
+    return only_complete(stored(spark, sf_dir), listing).withColumn("model", strip_model_prefix(F.col("model")))
 
 
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:

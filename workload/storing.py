@@ -10,7 +10,7 @@ from panelfold.sources import results as R
 from .nestedsql import stacked_results
 from .panels import table
 from .sqltext import ctes
-from .stored import DATASETS, stored
+from .stored import DATASETS, folder, stored
 
 QUERIES, SQL = {}, {}
 
@@ -102,15 +102,21 @@ SQL["strip_model_prefix"] = ctes(results=stacked_results(DATASETS)) + """
 SELECT stage, model, CASE WHEN starts_with(model, 'Auto') THEN substr(model, 5) ELSE model END
        AS name, count(*) AS n_rows FROM results GROUP BY ALL"""
 
-QUERIES["discover_seeds"] = lambda spark, sf: R.discover_seeds(
-    stored(spark, sf))
+
+
+def _listing(spark, sf):
+    """Partitions of the stored results, from the listing of files."""
+    return R.stored_partitions(spark, folder(spark, sf))
+
+
+QUERIES["discover_seeds"] = lambda spark, sf: R.discover_seeds(_listing(spark, sf))
 SQL["discover_seeds"] = ctes(results=stacked_results(DATASETS)) + """
 SELECT DISTINCT seed, 'seed_' || seed AS label FROM results"""
 
 
 def _half_finished(spark, sf):
-    """Stored results in which one method has lost its outer stage."""
-    return stored(spark, sf).filter(
+    """The listing as if one method had lost its outer stage."""
+    return _listing(spark, sf).filter(
         ~((F.col("method") == "KFold") & (F.col("stage") == "outer")
           & (F.col("dataset") == "user_day")))
 
@@ -124,7 +130,7 @@ QUERIES["complete_pairs"] = lambda spark, sf: R.complete_pairs(_half_finished(sp
 SQL["complete_pairs"] = ctes(results=HALF_SQL) + COMPLETE_SQL
 
 QUERIES["pending_tasks"] = lambda spark, sf: R.pending_tasks(
-    stored(spark, sf).select("seed", "dataset", "method").distinct(),
+    _listing(spark, sf).select("seed", "dataset", "method").distinct(),
     _half_finished(spark, sf))
 SQL["pending_tasks"] = ctes(everything=stacked_results(DATASETS), results=HALF_SQL) + f"""
 SELECT DISTINCT seed, dataset, method FROM everything EXCEPT ({COMPLETE_SQL})"""
