@@ -212,10 +212,10 @@ def predict(inputs: DataFrame, coefs: DataFrame, widths: DataFrame, stage: str,
     """Apply coefficients to forecast inputs; adds ``yhat``.
 
     ``coefs`` has one row per (``on``, features, scaler, lead): a number of rows
-    set by folds, feature sets and leads, not by the data, and so broadcast.
+    set by folds, feature sets and leads; Spark broadcasts it if it is small.
     ``widths`` has one row per series and undoes the standard scaler of ``stage``.
     """
-    rows = inputs.join(F.broadcast(coefs), [*on, "features", "lead"])
+    rows = inputs.join(coefs, [*on, "features", "lead"])
     rows = rows.join(widths.select(ID, F.col(f"width_{stage}").alias("width")), ID)
     yhat = "base + a * if(scaler = 'none', 1D, width) + b1 * x1 + b2 * x2"
     return rows.withColumn("yhat", F.expr(yhat)).drop(

@@ -1,8 +1,8 @@
 """A global ridge regression on several lags, for the remaining learned slots.
 
-Cross products come from batches of windows: each task turns an Arrow batch
-into small matrices per fold, Spark sums them, and the solve touches one matrix
-per (fold, lead). There is one pass over the data for all folds and leads.
+Cross products come from batches of windows: each task turns an Arrow batch into one
+small matrix per (series, lead), whatever the number of folds. A fold's matrix is the sum
+over its training series, and the solve touches one matrix per (fold, lead).
 """
 
 from collections.abc import Iterator
@@ -15,7 +15,7 @@ from ..schema import ID, TARGET
 from .linear import training_windows
 from .origins import GRID, at, origins, with_leads
 
-_PARTIAL = "method string, fold int, lead int, cell int, value double"
+_PARTIAL = f"{ID} string, lead int, cells array<double>"
 
 
 def _windows(positioned: DataFrame, horizon: int, lags: int, hold: int,
@@ -30,16 +30,18 @@ def _windows(positioned: DataFrame, horizon: int, lags: int, hold: int,
 
 
 def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of [x 1]'[x 1 z] per fold and lead of one batch."""
+    """Partial sums of [x 1]'[x 1 z] per series and lead of one batch, as one array each."""
     for batch in batches:
-        parts = []
-        for (method, fold, lead), group in batch.groupby(["method", "fold", "lead"]):
-            x = np.column_stack([np.stack(group["x"].to_numpy()), np.ones(len(group))])
-            cells = (x.T @ np.column_stack([x, group["z"].to_numpy()])).ravel()
-            parts.append(pd.DataFrame({"method": method, "fold": fold, "lead": lead,
-                                       "cell": np.arange(cells.size), "value": cells}))
-        if parts:
-            yield pd.concat(parts)
+        if batch.empty:
+            continue
+        key, names = pd.MultiIndex.from_frame(batch[[ID, "lead"]]).factorize()
+        order = np.argsort(key, kind="stable")
+        x = np.column_stack([np.stack(batch["x"].to_numpy()), np.ones(len(batch))])[order]
+        wide = np.column_stack([x, batch["z"].to_numpy()[order]])
+        products = (x[:, :, None] * wide[:, None, :]).reshape(len(batch), -1)
+        sums = np.add.reduceat(products, np.searchsorted(key[order], np.arange(len(names))))
+        yield pd.DataFrame({ID: names.get_level_values(0), "lead": names.get_level_values(1),
+                            "cells": list(sums)})
 
 
 def _solver(lags: int, penalty: float):
@@ -60,11 +62,11 @@ def _solver(lags: int, penalty: float):
 def ridge_coefficients(positioned: DataFrame, train: DataFrame, horizon: int, lags: int,
                        penalty: float, hold: int, freq: str | None = None) -> DataFrame:
     """``beta`` (one per older lag, then the intercept) per (method, fold, lead)."""
-    windows = _windows(positioned, horizon, lags, hold, freq).join(
-        train.select("method", "fold", ID), ID)
-    partial = windows.select("method", "fold", "lead", "x", "z").mapInPandas(
-        _cross_products, _PARTIAL)
-    cells = partial.groupBy("method", "fold", "lead", "cell").agg(F.sum("value").alias("value"))
+    windows = _windows(positioned, horizon, lags, hold, freq)
+    partial = windows.select(ID, "lead", "x", "z").mapInPandas(_cross_products, _PARTIAL)
+    cells = (partial.join(train.select("method", "fold", ID), ID)
+             .select("method", "fold", "lead", F.posexplode("cells").alias("cell", "value"))
+             .groupBy("method", "fold", "lead", "cell").agg(F.sum("value").alias("value")))
     # lags * (lags + 1) cells per group.
     return cells.groupBy("method", "fold", "lead").applyInPandas(
         _solver(lags, penalty), "method string, fold int, lead int, beta array<double>")

@@ -147,17 +147,21 @@ def _fill_gaps(regular: DataFrame, step: str, id_col: str, time_col: str,
                target_col: str) -> DataFrame:
     """Insert the missing steps between neighbours as rows with a null target.
 
-    Needs one window and no join: every row also emits the gap that follows it.
-    The calendar bounds a series (213,700 days or 5.2 million hours), and the
-    window reads ahead by one row only.
+    Needs one window and no join: every row also emits the gap that follows it, year
+    by year, so one stray time makes no array of millions of steps. The window reads
+    ahead by one row only.
     """
     series = Window.partitionBy(id_col).orderBy(time_col)
     here = F.col(time_col)
+    kind = regular.schema[time_col].dataType.simpleString()
     unit = F.expr(f"INTERVAL '1' {step}")
     upto = F.coalesce(F.lead(time_col).over(series) - unit, here)
+    first = F.greatest(here, F.expr(f"cast(make_date(_year, 1, 1) as {kind})"))
+    last = F.least(F.col("_upto"), F.expr(f"cast(make_date(_year + 1, 1, 1) as {kind})") - unit)
     return (
         regular.withColumn("_upto", upto)
-        .withColumn("_time", F.explode(F.sequence(here, F.col("_upto"), unit)))
+        .withColumn("_year", F.explode(F.sequence(F.year(here), F.year("_upto"))))
+        .withColumn("_time", F.explode(F.when(first <= last, F.sequence(first, last, unit))))
         .select(id_col, F.col("_time").alias(time_col),
                 F.when(F.col("_time") == here, F.col(target_col)).alias(target_col)))
 

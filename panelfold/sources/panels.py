@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.exprs import clean
 from ..operators.positions import series_sizes
-from ..operators.shape import filter_series
+from ..operators.shape import filter_series, resample_daily, resample_hourly
 from ..schema import ID, SIZE, TARGET, TIME
-from .params import FREQUENCY, LONG_HORIZON
+from .params import (FREQUENCY, KEPT_AS_IS, LONG_HORIZON, RESAMPLED, dataset_params,
+                     long_horizon_params)
 
 # Column names of the nested source layout.
 SOURCE_COLUMNS = {"id": ID, "timestamp": TIME, "target": TARGET}
@@ -37,19 +38,33 @@ def load_panel(source: DataFrame, id_col: str, time_col: str, target_col: str,
 
 def read_panel(spark: SparkSession, path: str, group: str, time_type: T.DataType | None = None,
                min_n_instances: int | None = None,
-               sample_n_uid: int | None = None) -> DataFrame:
+               sample_n_uid: int | None = None, resample_to: str | None = None) -> DataFrame:
     """Read the panel of a known dataset from ``<path>/<group>`` (parquet).
 
-    The scan declares its schema and reads the three panel columns only.
+    The scan declares its schema and reads the three panel columns only. With
+    ``resample_to`` ("D" or "H", long-horizon datasets only) it becomes a daily or hourly
+    panel of means, unless it is no finer than that; ``panel_params`` has the
+    parameters that go with it.
     """
     if group not in FREQUENCY and group not in LONG_HORIZON:
         raise ValueError(f"unknown dataset {group!r}")
+    if resample_to is not None and (resample_to not in RESAMPLED or group not in LONG_HORIZON):
+        raise ValueError(f"cannot resample {group!r} to {resample_to!r}")
     schema = T.StructType([
         T.StructField(ID, T.StringType()),
         T.StructField(TIME, time_type or T.TimestampNTZType()),
         T.StructField(TARGET, T.DoubleType())])
     rows = spark.read.schema(schema).parquet(f"{path}/{group}")
-    return load_panel(rows, ID, TIME, TARGET, min_n_instances, sample_n_uid)
+    panel = load_panel(rows, ID, TIME, TARGET, min_n_instances, sample_n_uid)
+    if resample_to is None or group in KEPT_AS_IS[resample_to]:
+        return panel
+    return resample_daily(panel) if resample_to == "D" else resample_hourly(panel)
+
+
+def panel_params(spark: SparkSession, group: str, resample_to: str | None = None) -> DataFrame:
+    """The one row ``dataset, freq, horizon, n_lags, season`` of what ``read_panel`` reads."""
+    known = long_horizon_params(spark, resample_to) if group in LONG_HORIZON else dataset_params(spark)
+    return known.filter(F.col("dataset") == group)
 
 
 def explode_nested(nested: DataFrame, sequences: list[str] | None = None) -> DataFrame:

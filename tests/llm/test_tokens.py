@@ -55,6 +55,21 @@ def test_cached_units_equal_whole_texts():
     assert len(ids) == 0 and len(counts) == 0
 
 
+def test_a_small_cache_forgets_without_harm(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    whole = Tokenizer.from_file(tokens.byte_bpe())
+    coder = tokens.CachedTokenizer(tokens.byte_bpe())
+    for k in range(30):
+        texts = [" ".join(f"w{(k * i * 7) % 97} common the," for i in range(20)), "x" * k]
+        ids, counts = coder.encode(texts)
+        wanted = [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(w) for w in wanted]
+        assert len(coder.known) <= 200
+    assert "common" in coder.known
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 10)
+    assert coder.encode(["plain text"])[0].tolist() == whole.encode("plain text").ids + [2]
+
+
 def brute(rows):
     whole, start, out = Tokenizer.from_file(tokens.byte_bpe()), 0, []
     for doc_id, text in rows:

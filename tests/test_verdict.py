@@ -11,7 +11,8 @@ from panelfold.operators import reports as R
 from panelfold.operators.positions import with_positions
 from panelfold.plans import nested_cv as N
 from panelfold.sources import results as S
-from panelfold.sources.panels import parse_timestamps
+from panelfold.operators.shape import resample_daily
+from panelfold.sources.panels import panel_params, parse_timestamps, read_panel
 from workload.panels import panel
 from workload.stored import experiment
 
@@ -90,3 +91,29 @@ def test_a_second_run_writes_nothing(spark, tmp_path):
         f: t for f, t in first.items() if "_SUCCESS" not in f}
     plan = S.complete_pairs(S.stored_partitions(spark, path))._jdf.queryExecution().toString()
     assert "binaryFile" in plan and "yhat" not in plan
+
+
+def test_resampled_reading(spark, tmp_path):
+    hours = [("a", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=6 * i), float(i)) for i in range(12)]
+    for group in ("Exchange", "TrafficL", "ETTm1"):
+        spark.createDataFrame(hours, "unique_id string, ds timestamp_ntz, y double").write.parquet(f"{tmp_path}/{group}")
+
+    def read(group, to):
+        return read_panel(spark, str(tmp_path), group, resample_to=to)
+    assert read("Exchange", "D").count() == read("TrafficL", "H").count() == 12
+    assert [r["y"] for r in read("TrafficL", "D").orderBy("ds").collect()] == [1.5, 5.5, 9.5]
+    assert read("ETTm1", "H").count() == 67
+    params = {(g, t): tuple(panel_params(spark, g, t).first()) for g in ("ECL", "ETTm1") for t in (None, "D", "H")}
+    assert params["ECL", "H"] == params["ECL", None] == ("ECL", "H", 96, 120, 24)
+    assert params["ETTm1", "D"] == ("ETTm1", "D", 14, 17, 365) and params["ETTm1", "H"] == ("ETTm1", "H", 48, 60, 24)
+    for group, to in (("ETTm1", "W"), ("monash_hospital", "D")):
+        with pytest.raises(ValueError):
+            read(group, to)
+
+
+def test_gaps_of_centuries(spark):
+    rows = [("a", datetime.datetime(1700, 6, 1, 5), 1.0), ("a", datetime.datetime(1950, 1, 1), 2.0)]
+    daily = resample_daily(spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double"))
+    days = (datetime.date(1950, 1, 1) - datetime.date(1700, 6, 1)).days + 1
+    assert daily.count() == daily.select("ds").distinct().count() == days
+    assert daily.filter("y is not null").count() == 2

@@ -7,6 +7,7 @@ from panelfold.operators.baseline import seasonal_naive
 from panelfold.operators.positions import with_positions
 from panelfold.schema import BASELINE, ID, POS, SIZE, TARGET, TIME
 from panelfold.session import materialize, shared_folder
+from panelfold.sources.fits import load_fit, save_fit
 
 from .panels import PANELS, panel
 from .sqltext import PANEL, POSITIONS, UIDS, ctes
@@ -254,12 +255,11 @@ def _stored_fit(spark, sf):
         linear.series_widths(rows, stages), stages, ("none",))
     everyone = rows.select(ID).distinct().withColumn("run", F.lit("fitted"))
     folder = shared_folder(spark, "coefficients")
-    linear.fit(sums, everyone, ["run"]).write.parquet(folder)
+    save_fit(linear.fit(sums, everyone, ["run"]), folder, {"run": "string"})
     other = materialize(trended(spark, sf, "nation_month"), "panel")
     inputs = linear.forecast_inputs(other, 6, 12, 6, features=("season1",)).withColumn(
         "run", F.lit("fitted"))
-    stored = spark.read.parquet(folder).select(
-        "run", "features", "scaler", "lead", "a", "b1", "b2")
+    stored = load_fit(spark, folder, {"run": "string"}, "final")
     widths = linear.series_widths(other, {"final": 6})
     scored = linear.predict(inputs, stored, widths, "final", ["run"])
     return scored.select(ID, "cutoff", TIME, "lead", F.round("yhat", 1).alias("yhat"))
@@ -288,6 +288,38 @@ def _ridge(spark, sf):
 
 QUERIES["ridge_lags_forecast"] = _ridge
 
+
+def _ridge_short(spark, sf):
+    """Three lags: two differences and the intercept, which SQL can solve in closed form."""
+    rows, assigned = _prepared(positioned(spark, sf, "brand_month"))
+    out = ridge.ridge_lags_forecast(rows, assigned, 6, lags=3, penalty=1.0, freq="MS")
+    return out.select("method", "fold", ID, "cutoff", TIME, "lead", F.round("yhat", 1).alias("yhat"))
+
+
+QUERIES["ridge_short_forecast"] = _ridge_short
+SQL["ridge_short_forecast"] = base(
+    "brand_month", assigned=ASSIGNED,
+    steps="""SELECT unique_id, ds, pos, n, y, lag(y, 2) OVER w - y AS x1, lag(y, 1) OVER w - y AS x2
+FROM pos WINDOW w AS (PARTITION BY unique_id ORDER BY pos)""",
+    train="SELECT method, fold, unique_id FROM assigned WHERE role = 'train'",
+    test="SELECT method, fold, unique_id FROM assigned WHERE role = 'test'",
+    sums="""SELECT method, fold, f.pos - c.pos AS lead, avg(x1) AS m1, avg(x2) AS m2, avg(f.y - c.y) AS mz,
+  count(*) * var_pop(x1) + 1.0 AS c11, count(*) * var_pop(x2) + 1.0 AS c22,
+  count(*) * covar_pop(x1, x2) AS c12, count(*) * covar_pop(x1, f.y - c.y) AS c1z,
+  count(*) * covar_pop(x2, f.y - c.y) AS c2z
+FROM steps c JOIN pos f ON f.unique_id = c.unique_id AND f.pos BETWEEN c.pos + 1 AND c.pos + 6
+JOIN train t ON t.unique_id = c.unique_id
+WHERE c.pos >= 3 AND f.pos <= c.n - 6 AND f.y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL
+GROUP BY ALL""",
+    betas="""SELECT method, fold, lead, b1, b2, mz - b1 * m1 - b2 * m2 AS a FROM (
+  SELECT *, (c22 * c1z - c12 * c2z) / (c11 * c22 - c12 * c12) AS b1,
+            (c11 * c2z - c12 * c1z) / (c11 * c22 - c12 * c12) AS b2 FROM sums)""") + """
+SELECT method, fold, c.unique_id, c.ds AS cutoff, f.ds, CAST(lead AS INTEGER) AS lead,
+       round(c.y + a + b1 * x1 + b2 * x2, 1) AS yhat
+FROM steps c JOIN test USING (unique_id) JOIN betas USING (method, fold)
+JOIN pos f ON f.unique_id = c.unique_id AND f.pos = c.pos + lead
+WHERE c.pos = c.n - 6"""
+
 # -- errors on the baseline -----------------------------------------------------------
 
 
