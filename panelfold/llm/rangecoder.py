@@ -20,8 +20,7 @@ BLOCK, LANES = 1024, 2048
 SLOTS = 512            # entries of each lane's order-1 and order-2 tables
 SINGLE, SHIFT = 256, 6  # frequent ids have a class of their own, others share one of 64
 PRECISION = 12         # bits of the order-0 frequencies
-REBUILD, GAIN = 128, 24  # ids between two order-0 updates, weight of each id
-SURE = 7               # highest confidence; 0: no prediction yet
+REBUILD, GAIN = 256, 24  # ids between two order-0 updates, weight of each id
 MIX = 12               # bits of the mixing weights
 SCALE = PRECISION + SHIFT + MIX
 
@@ -43,6 +42,11 @@ _EDGE2, _SIZE1 = _Q2 << (SCALE - MIX), _Q1 << (SCALE - MIX)
 _EDGE1, _UNIT = _EDGE2 + _SIZE1, 4096 - _Q2 - _Q1
 
 
+# Change of confidence (0 to 7) after a miss and after a hit; _NEW: forget the prediction.
+_NEW = 99
+_STEP = np.array([_NEW] * 3 + [-2] * 5 + [1] * 7 + [0], np.int32)
+
+
 class _Model:
     """State of all lanes: both tables and the order-0 frequencies."""
 
@@ -51,8 +55,8 @@ class _Model:
         self.classes = min(symbols, SINGLE) + max(0, -(-(symbols - SINGLE) // (1 << SHIFT)))
         self.base = self.lanes * SLOTS
         # Prediction << 3 | confidence.
-        self.two = np.full(lanes * SLOTS, -8, np.int64)
-        self.one = np.full(lanes * SLOTS, -8, np.int64)
+        self.two = np.full(lanes * SLOTS, -8, np.int32)
+        self.one = np.full(lanes * SLOTS, -8, np.int32)
         self.h1 = np.zeros(lanes, np.int64)
         self.h2 = np.zeros(lanes, np.int64)
         place = np.arange(self.classes)
@@ -88,17 +92,18 @@ class _Model:
         """Both predictions, and the place of their weights."""
         self.i2, self.i1 = self.h2 + self.base, self.h1 + self.base
         self.e2, self.e1 = self.two.take(self.i2), self.one.take(self.i1)
+        self.c2, self.c1 = self.e2 & 7, self.e1 & 7
         p2, p1 = self.e2 >> 3, self.e1 >> 3
         # Where both agree order 2 speaks for them.
-        return p2, p1, ((self.e2 & 7) << 3) + (self.e1 & 7) * (p1 != p2)
+        return p2, p1, (self.c2 << 3) + self.c1 * (p1 != p2)
 
     def update(self, symbol, same2, same1, at):
-        fresh = (symbol << 3) | 1
-        for table, index, e, same in ((self.two, self.i2, self.e2, same2),
-                                      (self.one, self.i1, self.e1, same1)):
-            kept = np.where((e & 7) > 2, e - 2, fresh)
-            table[index] = np.where(same, np.minimum(e + 1, e | SURE), kept)
-        self.counts[at] += GAIN
+        fresh = ((symbol << 3) | 1).astype(np.int32)
+        for table, index, e, sure, same in ((self.two, self.i2, self.e2, self.c2, same2),
+                                            (self.one, self.i1, self.e1, self.c1, same1)):
+            step = _STEP.take(sure + (same << 3))
+            table[index] = np.where(step == _NEW, fresh, e + step)
+        self.counts[at] = self.counts.take(at) + GAIN
         mixed = symbol * 0x9E3B
         self.h2 = (mixed + self.h1 * 0x35) & (SLOTS - 1)
         self.h1 = (mixed >> 4) & (SLOTS - 1)
@@ -130,13 +135,22 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     ids = np.asarray(ids, np.uint32)
     if not len(ids):
         return MAGIC + struct.pack("<III", 0, block, 0)
-    values, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))  # frequent ids first
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    if ids.max() < 1 << 20:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        order = np.lexsort((values, -counts[values]))  # frequent ids first
+        rank = np.zeros(len(counts), np.int32)
+        rank[values[order]] = np.arange(len(order))
+        symbols = rank[ids]
+    else:
+        values, found, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.lexsort((values, -counts))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        symbols = rank[found]
     lanes = -(-len(ids) // block)
-    grid = np.zeros(lanes * block, np.int64)
-    grid[:len(ids)] = rank[symbols]
+    grid = np.zeros(lanes * block, np.int32)
+    grid[:len(ids)] = symbols
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     model = _Model(lanes, len(values))
     low, width = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
@@ -145,17 +159,17 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     pitch = digits.shape[1]
     flat = digits.ravel()
     # The last block may be shorter; it codes padding, which decoding drops.
-    kinds, inners, shifts = _class(grid)
     for step in range(min(block, len(ids))):
-        symbol = grid[step]
+        symbol = grid[step].astype(np.int64)
+        kind, inner, shift = _class(symbol)
         p2, p1, state = model.look()
         same2, same1 = p2 == symbol, p1 == symbol
-        at = model.row + kinds[step]
+        at = model.row + kind
         packed = model.packed.take(at)
         freq = packed & 0xFFFF
         unit = _UNIT.take(state)
-        start = (((packed >> 16) << SHIFT) + inners[step] * freq) * unit + _EDGE1.take(state)
-        size = (freq << shifts[step]) * unit
+        start = (((packed >> 16) << SHIFT) + inner * freq) * unit + _EDGE1.take(state)
+        size = (freq << shift) * unit
         either = np.flatnonzero(same2 | same1)
         if len(either):
             some, two = state[either], same2[either]
@@ -212,7 +226,7 @@ def decode(data: bytes) -> np.ndarray:
         next_word += 1
     width = np.full(lanes, 1 << 48, _U)
     model = _Model(lanes, symbols)
-    grid = np.zeros((block, lanes), np.int64)
+    grid = np.zeros((block, lanes), np.int32)
     offset = model.lanes << PRECISION
     for step in range(min(block, count)):
         p2, p1, state = model.look()

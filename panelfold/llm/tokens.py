@@ -16,8 +16,8 @@ END = 2
 SEGMENT = ("part int, segment int, documents array<bigint>, n_tokens array<bigint>, "
            "tokens bigint, data binary")
 READ = "part int, segment int, place int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"
-# The cache of word ids is emptied beyond these bounds.
-CACHE_WORDS, CACHE_CHARS = 1 << 20, 1 << 26
+# Beyond these bounds the cache of word ids keeps the units used most, half as many.
+CACHE_WORDS, CACHE_CHARS = 1 << 19, 1 << 25
 
 
 class _Known(dict):
@@ -60,10 +60,32 @@ class CachedTokenizer:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.offset = np.zeros(1 << 12, np.int64)
         self.filled = 0
+        self.uses = np.zeros(1 << 12, np.int64)
         self.known["\0end"] = 0
         self.known.size = 1
         self._add(np.array([self.end], np.uint32), np.array([1]), 0)
 
+    def _shrink(self):
+        """Keep the units used most; none if their texts are too long in total."""
+        names, uses = list(self.known), self.uses[:self.known.size]
+        if self.chars > CACHE_CHARS:
+            self._clear()
+            return
+        edge = np.partition(uses, -CACHE_WORDS // 2)[-CACHE_WORDS // 2]
+        kept = np.flatnonzero(uses > edge)
+        kept = kept[kept > 0]
+        begin, size = self.offset[kept], self.offset[kept + 1] - self.offset[kept]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ids, used = self.flat[np.repeat(begin, size) + step], uses[kept] // 2
+        self._clear()
+        for i in kept.tolist():
+            self.known[names[i]]  # numbers the unit
+        self.chars = sum(map(len, self.known.pending))
+        self.known.pending = []
+        self._add(ids, size, 1)
+        self.uses = np.zeros(len(self.offset), np.int64)
+        self.uses[1:len(kept) + 1] = used
+
     def _add(self, ids, size, first):
         total = self.filled + len(ids)
         while total > len(self.flat):
@@ -103,7 +125,7 @@ class CachedTokenizer:
     def encode(self, texts: list[str]):
         """Joined ids of the texts, each with the end id, and how many each has."""
         if self.known.size > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._clear()
+            self._shrink()
         known, parts, counts = self.known, [], []
         first = known.size
         for text in texts:
@@ -122,6 +144,9 @@ class CachedTokenizer:
         if known.pending:
             self._learn(known.pending, first)
             known.pending = []
+        if len(self.uses) < known.size:
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.offset) - len(self.uses), np.int64)])
+        self.uses[:known.size] += np.bincount(index, minlength=known.size)
         begin = self.offset[index]
         size = self.offset[index + 1] - begin
         ends = np.cumsum(size)
@@ -196,6 +221,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
     stored = spark.read.schema(SEGMENT).parquet(folder)
 
     def run(batches):
+        _TOKENIZERS.clear()  # this worker may have written before
         for batch in batches:
             for row in batch.to_pylist():
                 found = decode(row["data"])
