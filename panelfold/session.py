@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "16g") -> SparkSession:
     """Session for tests and benchmarks on one machine.
 
-    On a cluster the session comes from the cluster; nothing in the library
-    needs settings beyond Spark's own defaults (adaptive execution on).
+    On a cluster the session comes from the cluster, with adaptive execution on (the
+    default) and ``spark.checkpoint.dir`` set to a folder that all executors share.
     """
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("panelfold")
