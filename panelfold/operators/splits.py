@@ -129,9 +129,15 @@ def _ranked_roles(uids: DataFrame, shares: dict[str, Shares], folds: dict[str, F
     drawn = uids.select("seed", ID, inline_rows(draws, ["shuffle", "repeat"]))
     digest = hash_text(F.col("seed"), F.col("shuffle"), F.col("repeat"), F.col(ID))
     ranked = hash_rank(drawn, digest, ["seed", "shuffle", "repeat"])
-    names = ["method", "_shuffle", "_repeats", "train", "test", "k"]
-    each = ranked.select("*", inline_rows(specs, names)).filter(
-        (F.col("_shuffle") == F.col("shuffle")) & (F.col("repeat") < F.col("_repeats")))
+    # A draw meets its own schemes only.
+    def scheme(method, train, test, k):
+        return F.struct(F.lit(method).alias("method"), F.lit(float(train)).alias("train"),
+                        F.lit(float(test)).alias("test"), F.lit(int(k)).alias("k"))
+
+    own = F.create_map(*[c for shuffle, r in draws for c in (F.lit(f"{shuffle}|{r}"), F.array(*[
+        scheme(m, train, test, k) for m, of, repeats, train, test, k in specs
+        if of == shuffle and r < repeats]))])
+    each = ranked.select("*", F.inline(F.element_at(own, F.concat_ws("|", "shuffle", "repeat"))))
     rank, k = F.col("rank"), F.col("k")
     trained = _share_size(F.col("train"))
     # A test share of 1 stands for all the others.
