@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelfold.llm.components import components
 from panelfold.llm.rows import narrow, widen
-from panelfold.llm.textscan import as_bytes, pieces
+from panelfold.llm.textscan import as_bytes, mix, pieces
 from panelfold.session import materialize
 
 RADIUS = 3
@@ -18,6 +18,11 @@ SPREAD = 4
 # Bits fixed after each routing level, out of 64: every level cuts what is left
 # into four segments, of which two close fingerprints share at least one.
 LEVELS = 5
+# Near copies as ``keep_one`` has them: words of a shingle, least Jaccard, odds that
+# routing parts a pair just there, fingerprints of a group, and the bits that may
+# differ in the routed fingerprint and in both (three deviations above such a pair's mean).
+COPY_WIDTH, COPY_JACCARD, COPY_MISS, COPY_GROUP = 5, 0.8, 0.005, 512
+COPY_RADIUS, COPY_BOTH = 19, 32
 
 
 # ---- fingerprints ---------------------------------------------------------
@@ -300,24 +305,188 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each near-duplicate component, with all their columns.
+# ---- near copies by exact Jaccard -------------------------------------------
 
-    The row with the smallest doc_id stays, of rows that repeat it the one with
-    the smallest digest of all columns, and of equal rows one. A row without doc_id
-    stays only where its component has no id at all.
+def shingle_codes(text: bytes, width: int = COPY_WIDTH, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, sorted; words as in ``simhash``."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) \
+        if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64))
+
+
+def _majority(codes: np.ndarray, block: int = 1 << 16) -> int:
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(codes), block):
+        part = codes[start:start + block]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
+                              bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(codes), bitorder="little").view(np.int64)[0])
+
+
+def set_prints(docs: DataFrame, keep=("doc_id",), text: str = "text", width: int = COPY_WIDTH) -> DataFrame:
+    """``keep`` columns, ``set`` (a digest of the distinct shingles) and two independent
+    fingerprints ``a`` and ``b`` of them."""
+    keep = list(keep)
+    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_simhash_text"))
+    schema = docs.select(*keep).withColumns({c: F.lit(0).cast("bigint") for c in ("set", "a", "b")}).schema
+
+    def run(batches):
+        for batch in pieces(batches, "_simhash_text"):
+            rows = np.zeros((3, len(batch)), np.int64)
+            for i, each in enumerate(as_bytes(batch.column(len(keep)))):
+                codes = shingle_codes(each, width)
+                digest = np.uint64(xxhash.xxh64_intdigest(codes.tobytes())).view(np.int64)
+                rows[:, i] = digest, _majority(codes), _majority(mix(codes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(keep))] + [pa.array(r) for r in rows],
+                names=[*keep, "set", "a", "b"])
+
+    return source.mapInArrow(run, schema)
+
+
+def route_masks(count: int, threshold: float = COPY_JACCARD, miss: float = COPY_MISS) -> list[int]:
+    """Random bit masks that route ``count`` fingerprints to groups of some hundreds.
+
+    Two sets of Jaccard J have fingerprints that differ in a share acos(2J / (1 + J)) / pi
+    of the bits. There are so many masks that all of them part two sets at the
+    threshold with odds of ``miss`` at most; nearer sets are parted less.
+    """
+    bits = min(24, max(6, int(np.ceil(np.log2(max(count, 1) / COPY_GROUP)))))
+    differ = np.arccos(2 * threshold / (1 + threshold)) / np.pi
+    masks = int(np.ceil(np.log(miss) / np.log1p(-(1 - differ) ** bits)))
+    rng = np.random.default_rng(7)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(masks)]
+
+
+def copy_pairs(groups, codes, others, labels, forest: bool, work: int = 1 << 20):
+    """Positions (i, j) of one group, with different labels and near in both fingerprints.
+
+    With ``forest`` a pair also joins its labels, so only pairs that connect come out.
+    """
+    index = GrayIndex(groups, codes)
+    others, labels = others[index.order], np.unique(labels[index.order], return_inverse=True)[1]
+    parent = np.arange(labels.max() + 1 if index.n else 0)
+    queries = np.flatnonzero(index.group_size > 1)
+    cost = np.cumsum(index.group_size[queries])
+    at = 0
+    while at < len(queries):
+        end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + work, "right")))
+        i, j = index.links(_roots(parent)[labels], queries[at:end], COPY_RADIUS)
+        far = np.bitwise_count(index.codes[i] ^ index.codes[j]) + np.bitwise_count(others[i] ^ others[j])
+        i, j = i[far <= COPY_BOTH], j[far <= COPY_BOTH]
+        if forest and len(i):
+            used = []
+            for k, (x, y) in enumerate(zip(labels[i].tolist(), labels[j].tolist())):
+                x, y = _find(parent, x), _find(parent, y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    used.append(k)
+            i, j = i[used], j[used]
+        if len(i):
+            yield index.order[i], index.order[j]
+        at = end
+
+
+def _candidates(nodes: DataFrame, masks: list[int], forest: bool) -> DataFrame:
+    """``(u, v)``: pairs of sets of nodes (set, a, b, label) that may be near copies."""
+    def key(k, mask, code, other):
+        part = F.col(code).bitwiseAND(F.lit(_signed(mask)))
+        return F.struct(F.xxhash64(F.lit(k), part).alias("key"), F.col(code).alias("code"),
+                        F.col(other).alias("other"))
+
+    keys = F.array(*[key(k, m, *(("a", "b") if k % 2 else ("b", "a"))) for k, m in enumerate(masks)])
+    routed = (nodes.select("set", "label", F.explode(keys).alias("r"))
+              .select("r.key", "r.code", "r.other", "set", "label"))
+
+    def pairs(rows):
+        key, code, other, name, label = rows
+        group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        for i, j in copy_pairs(group, code.view(np.uint64), other.view(np.uint64), label, forest):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.maximum(name[i], name[j])), pa.array(np.minimum(name[i], name[j]))],
+                names=["u", "v"])
+
+    def search(batches):
+        held = None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            held = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
+            if len(held[0]) < 1 << 16:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            if cut:
+                yield from pairs([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    return (routed.repartition("key").sortWithinPartitions("key")
+            .mapInArrow(search, "u bigint, v bigint").distinct())
+
+
+def _verified(found: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs whose texts in ``rows`` have at least ``threshold`` Jaccard of shingles."""
+    ends = found.select(F.col("u").alias("set")).unionAll(found.select(F.col("v").alias("set"))).distinct()
+    wanted = materialize(nodes.select("set", "_digest").join(ends, "set", "left_semi"), "copy_ends")
+    texts = rows.select("_digest", "text").join(wanted, "_digest").dropDuplicates(["set"]).select("set", "text")
+
+    def run(batches):
+        for batch in pieces(batches):
+            codes = [shingle_codes(t, width).view(np.int64) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["set", "codes"])
+
+    codes = materialize(texts.mapInArrow(run, "set bigint, codes array<bigint>"), "copy_codes")
+    x = codes.select(F.col("set").alias("u"), F.col("codes").alias("x"))
+    y = codes.select(F.col("set").alias("v"), F.col("codes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return (found.join(x, "u").join(y, "v")
+            .where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9).select("u", "v"))
+
+
+def copy_components(prints: DataFrame, rows: DataFrame, width: int = COPY_WIDTH,
+                    threshold: float = COPY_JACCARD) -> DataFrame:
+    """``(set, component)`` of every distinct set of shingles in ``prints``.
+
+    Two rounds: links that connect each group of near fingerprints, verified; then every
+    pair that is near and still apart. So a large group of copies costs about its
+    size, and a false link in the first round hides no pair.
+    """
+    nodes = materialize(prints.groupBy("set").agg(F.first("a").alias("a"), F.first("b").alias("b"),
+                                                  F.min("_digest").alias("_digest")), "copy_nodes")
+    masks = route_masks(nodes.count(), threshold)
+    labels = nodes.withColumn("label", F.col("set"))
+    links, found = None, None
+    for forest in (True, False):
+        near = materialize(_candidates(labels, masks, forest), "copy_pairs")
+        sure = materialize(_verified(near, nodes, rows, width, threshold), "copy_links")
+        links = sure if links is None else links.unionAll(sure)
+        found = materialize(components(links), "copy_components")
+        labels = (nodes.join(found.withColumnRenamed("node", "set"), "set", "left")
+                  .withColumn("label", F.coalesce("component", "set")))
+    return labels.select("set", F.col("label").alias("component"))
+
+
+def keep_one(docs: DataFrame, width: int = COPY_WIDTH, threshold: float = COPY_JACCARD) -> DataFrame:
+    """The documents, one of each group of near copies, with all their columns.
+
+    Near copies share at least ``threshold`` (Jaccard) of their distinct shingles of ``width``
+    words, exactly verified; groups are connected. Candidates come from fingerprints
+    (``route_masks``), so a pair just at the threshold can be missed. The row with the
+    smallest doc_id stays, of rows that repeat it the one with the smallest digest
+    of all columns, and of equal rows one. A row without doc_id stays only where its
+    group has no id at all.
     """
     columns = docs.columns
     rows = narrow(docs, "doc_id", "text")
     rows = rows.withColumn("_digest", F.xxhash64("doc_id", "text", "_rest"))
-    prints = materialize(fingerprints(rows, keep=("doc_id", "_digest")), "simhash")
-    nodes = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")), "nodes")
-    named = materialize(_named(nodes, radius), "named")
+    prints = materialize(set_prints(rows, keep=("doc_id", "_digest"), width=width), "copy_prints")
+    named = materialize(copy_components(prints, rows, width, threshold), "named")
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_digest")
-    kept = (prints.join(named, "simhash")
-            .groupBy(F.coalesce("component_id", "simhash").alias("c"),
-                     F.col("component_id").isNull().alias("d"))
-            .agg(F.min(first).alias("k")))
+    kept = prints.join(named, "set").groupBy("component").agg(F.min(first).alias("k"))
     kept = materialize(kept.select(F.col("k.doc_id").alias("kept_id"),
                                    F.col("k._digest").alias("kept_digest")), "kept")
     same = (rows._digest == F.col("kept_digest")) & rows.doc_id.eqNullSafe(F.col("kept_id"))

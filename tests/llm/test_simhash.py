@@ -121,3 +121,48 @@ def test_query_against_brute_force(spark):
     expected = sorted(zip([i for i, _ in rows], [f"{int(c):016x}" for c in codes],
                           brute_groups(codes, [i for i, _ in rows])))
     assert sorted(map(tuple, QUERIES["op1_simhash"](spark, sf).collect())) == expected
+
+
+def brute_sets(texts):
+    out = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        out.append({" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def jaccard(x, y):
+    return 1.0 if x == y else len(x & y) / len(x | y)
+
+
+def test_keep_one_finds_near_copies_with_changed_words(spark):
+    rng = np.random.default_rng(3)
+    rows, pairs = [], 0
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(40, 400))]
+        rows.append((1000 + 2 * k, " ".join(words)))
+        copy = list(words)
+        for place in rng.choice(len(words), 1 + int(rng.random() * len(words) / 35), replace=False):
+            copy[place] = f"x{rng.integers(0, 5000)}"
+        rows.append((1001 + 2 * k, " ".join(copy)))
+    sets = brute_sets([t for _, t in rows])
+    near = {rows[i + 1][0] for i in range(0, len(rows), 2) if jaccard(sets[i], sets[i + 1]) >= 0.8}
+    kept = {r["doc_id"] for r in simhash.keep_one(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert 100 < len(near) < 250
+    assert gone <= near  # no text goes without a copy that stays
+    assert len(gone) >= 0.97 * len(near)
+
+
+def test_keep_one_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    sets = brute_sets([t for _, t in rows])
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [rows[i][0] for i in sorted(set(root))]
