@@ -16,8 +16,8 @@ HEX = r"[0-9a-f]{16,}"
 IDENTIFIER = (r"(?i)(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account_?id|access_?id|uid)"
               r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}")
 ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|s3)://[^\s\"'<>]{4,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
-SCOPE = 200  # code points between the starts of parts that belong together
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+SCOPE = 200  # code points from the end of a part to the start of one that belongs to it
 
 # Which parts make up a credential: identifier, secret, endpoint.
 ROLES = {"access": "identifier", "identifier": "identifier", "assign": "secret", "hex": "secret",
@@ -37,24 +37,30 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Rows of ``parts`` (key, kind, role, start, end, weak) that are weak and complemented.
 
     An identifier needs a secret within ``scope`` and a candidate secret an
-    identifier or an endpoint; an endpoint needs both. A semi-join on slices of the text
-    (each complementary part lies in three) keeps it to the neighbourhood: no pair
-    of parts is ever a row, and a slice holds at most ``scope`` parts of a kind.
+    identifier or an endpoint; an endpoint needs both. The distance is the gap between
+    the two intervals. A semi-join on slices of the text (a part lies in all that it
+    covers, a complementary part also in those within ``scope``) keeps it to the
+    neighbourhood: no pair of parts is ever a row.
     """
-    slice_ = F.floor(F.col("start") / scope).cast("int")
-    near = (parts.select(F.col("key").alias("k"), F.col("role").alias("r"), F.col("start").alias("at"),
-                         F.explode(F.array(slice_ - 1, slice_, slice_ + 1)).alias("slice")))
-    weak = parts.where("weak").withColumn("slice", slice_)
+    def slices(first, last):
+        return F.explode(F.sequence(F.floor(first / scope).cast("int"), F.floor(last / scope).cast("int")))
+
+    start, end = F.col("start"), F.col("end")
+    near = parts.select(F.col("key").alias("k"), F.col("role").alias("r"), start.alias("from"), end.alias("to"),
+                        slices(start - scope, end + scope).alias("s"))
+    weak = parts.where("weak")
 
     def beside(rows, roles):
-        other = near.where(F.col("r").isin(roles)).withColumnRenamed("slice", "s")
-        return rows.join(other, (F.col("key") == F.col("k")) & (F.col("slice") == F.col("s"))
-                         & (F.abs(F.col("start") - F.col("at")) <= scope), "left_semi")
+        other = near.where(F.col("r").isin(roles))
+        return (rows.withColumn("slice", slices(start, end))
+                .join(other, (F.col("key") == F.col("k")) & (F.col("slice") == F.col("s"))
+                      & (start - F.col("to") <= scope) & (F.col("from") - end <= scope), "left_semi")
+                .drop("slice").distinct())
 
     identifiers = beside(weak.where("role = 'identifier'"), ["secret"])
     secrets = beside(weak.where("role = 'secret'"), ["identifier", "endpoint"])
     endpoints = beside(beside(weak.where("role = 'endpoint'"), ["secret"]), ["identifier"])
-    return identifiers.unionAll(secrets).unionAll(endpoints).drop("slice")
+    return identifiers.unionAll(secrets).unionAll(endpoints)
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

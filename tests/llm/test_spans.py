@@ -108,6 +108,19 @@ def test_weak_parts_need_their_complement(spark):
     assert rows[0] == f"identifier:0:16,candidate:{start}:{start + len(secret)}"
 
 
+def test_long_parts_are_whole_and_linked_by_their_gap(spark):
+    long, secret = "Zx81kPq09LmNw72RtYbV55Qa" * 40, "Zx81kPq09LmNw72RtYbV55Qa"
+    url = "jdbc:mysql://db.example.com/x?" + "opt=1&" * 60
+    texts = [f"client_id=app-77 {long}", f"{url} {secret}", f"{url} {'x y ' * 50} {secret}",
+             f"{long} client_id=app-77", f"client_id=app-77{' ' * 200}{secret}", f"client_id=app-77{' ' * 201}{secret}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    rows = {r["doc_id"]: r["s"] for r in credentials.secret_spans(docs).select(
+        "doc_id", spans.listed(F.col("spans"), credentials.KINDS).alias("s")).collect()}
+    n, at = len(long), len(url) + 1
+    assert rows == {0: f"identifier:0:16,candidate:17:{17 + n}", 1: f"candidate:{at}:{at + 24}", 2: "",
+                    3: f"candidate:0:{n},identifier:{n + 1}:{n + 17}", 4: "identifier:0:16,candidate:216:240", 5: ""}
+
+
 def test_no_python_in_native_plans(spark, capsys):
     docs = spark.createDataFrame([(1, "x", "s")], "doc_id bigint, text string, source string")
     from panelfold.llm import mixing
