@@ -1,9 +1,9 @@
-"""The registered queries of this subpackage: op1 to op10 and the pipeline."""
+"""The registered queries of this subpackage: op1 to op13 and the pipeline."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from panelfold.llm import (containment, credentials, mixing, neighbours, pagetext, passages, pii, simhash,
+from panelfold.llm import (containment, credentials, divergence, mixing, neighbours, pagetext, passages, pii, simhash,
                            spans, tokens, urlrules)
 
 
@@ -73,6 +73,10 @@ def op10_pii(spark, sf_dir):
                         spans.listed(F.col("spans"), pii.KINDS).alias("spans"))
 
 
+def op11_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -82,5 +86,6 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
            "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
            "op9_pagetext": op9_pagetext, "op10_pii": op10_pii,
+           "op11_divergence": op11_divergence,
            "pipeline": pipeline}
-SQL = {"op8_mix": mixing.SQL}
+SQL = {"op8_mix": mixing.SQL, "op11_divergence": divergence.SQL}
