@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from panelfold.llm import (containment, credentials, divergence, mixing, neighbours, pagetext, passages, pii, simhash,
-                           spans, tokens, urlrules)
+from panelfold.llm import (containment, credentials, divergence, mixing, neighbours, pagetext, passages, phrases, pii,
+                           simhash, spans, tokens, urlrules)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_divergence(spark, sf_dir):
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,6 +90,7 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
            "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
            "op9_pagetext": op9_pagetext, "op10_pii": op10_pii,
-           "op11_divergence": op11_divergence,
+           "op11_divergence": op11_divergence, "op12_phrases": op12_phrases,
            "pipeline": pipeline}
-SQL = {"op8_mix": mixing.SQL, "op11_divergence": divergence.SQL}
+SQL = {"op8_mix": mixing.SQL, "op11_divergence": divergence.SQL,
+       "op12_phrases": phrases.SQL}
