@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from panelfold.llm import (containment, credentials, divergence, mixing, neighbours, pagetext, passages, phrases, pii,
-                           simhash, spans, tokens, urlrules)
+from panelfold.llm import (containment, credentials, divergence, mixing, neighbours, ngramjoin, pagetext, passages,
+                           phrases, pii, simhash, spans, tokens, urlrules)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op12_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_ngramjoin(spark, sf_dir):
+    return ngramjoin.join_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,6 +95,7 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours,
            "op7_decontaminate": op7_decontaminate, "op8_mix": op8_mix,
            "op9_pagetext": op9_pagetext, "op10_pii": op10_pii,
            "op11_divergence": op11_divergence, "op12_phrases": op12_phrases,
+           "op13_ngramjoin": op13_ngramjoin,
            "pipeline": pipeline}
 SQL = {"op8_mix": mixing.SQL, "op11_divergence": divergence.SQL,
        "op12_phrases": phrases.SQL}
