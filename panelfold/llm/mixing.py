@@ -1,5 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelfold.llm.rows import narrow, widen
@@ -70,16 +72,76 @@ def _odds(p: Column) -> Column:
     return p / (F.lit(1.0) - p)
 
 
+def _order(draw: Column, doc_id: Column, size: Column, chance: Column) -> Column:
+    """Place in a source's ranking: random odds over inclusion odds, then id and size."""
+    return F.struct((_odds(draw) / _odds(chance)).alias("odds"), draw.alias("draw"), doc_id.alias("doc_id"),
+                    size.alias("size"))
+
+
+def units(sized: DataFrame) -> DataFrame:
+    """Rows that are taken together (one id, text and source): ``words`` of them all."""
+    return sized.groupBy("source", "draw", "doc_id", "size").agg((F.col("size") * F.count("*")).alias("words"))
+
+
+def _edge(rows: DataFrame, room: DataFrame, cut: Column) -> DataFrame:
+    """Per source the slice of the ranking in which the words run out: ``s, edge, before``.
+
+    ``rows`` has s, words and what ``cut`` needs; ``room`` has s and left. Sources
+    whose rows all fit have no such slice.
+    """
+    sums = rows.groupBy("s", cut.alias("edge")).agg(F.sum("words").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("s").orderBy("edge"))
+    return (sums.withColumn("upto", upto).join(room.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")))
+            .where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
+            .select("s", "edge", (F.col("upto") - F.col("words")).alias("before")))
+
+
+def _walk(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """How far down the ranking ``rows`` (s, draw, doc_id, size, words) fit into ``room``
+    (s, left, chance): ``s, limit, last, left``.
+
+    ``last`` is the place of the last row that fits before the first that doesn't; it is null
+    where all rows fit. Word sums over slices of the draw, cut twice, lead to the
+    few rows that are sorted in one task.
+    """
+    by = lambda frame, name: frame.withColumnRenamed("s", name)
+    same = lambda name: F.col("s").eqNullSafe(F.col(name))
+    coarse, fine = F.floor(F.col("draw") * CUTS), F.floor(F.col("draw") * (CUTS * CUTS))
+    all_words = rows.groupBy("s").agg(F.sum("words").alias("words"))
+    outer = materialize(_edge(rows, room, coarse), "coarse_edges")
+    part = rows.join(by(outer, "o"), same("o") & (coarse == F.col("edge"))).drop("o", "edge", "before")
+    left = (room.join(by(outer, "o"), same("o")).select("s", (F.col("left") - F.col("before")).alias("left"),
+                                                          F.col("left").alias("limit"), "chance"))
+    inner = materialize(_edge(part, left, fine).join(by(left, "o"), same("o"))
+                        .select("s", "edge", (F.col("left") - F.col("before")).alias("left"), "limit", "chance"),
+                        "fine_edges")
+    order = _order(F.col("draw"), F.col("doc_id"), F.col("size"), F.col("chance"))
+    here = part.join(by(inner, "o"), same("o") & (fine == F.col("edge"))).withColumn("order", order)
+    upto = F.sum("words").over(Window.partitionBy("s").orderBy("order"))
+    fits = (here.withColumn("upto", upto).where(F.col("upto") <= F.col("left"))
+            .groupBy("s").agg(F.max("order").alias("last"), F.max("upto").alias("words")))
+    none = _order(F.col("edge") / F.lit(float(CUTS * CUTS)), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"),
+                  F.col("chance"))
+    stopped = (inner.join(by(fits, "o"), same("o"), "left")
+               .select("s", F.col("limit"), F.coalesce("last", none).alias("last"),
+                       (F.col("left") - F.coalesce("words", F.lit(0))).alias("left")))
+    through = (all_words.join(by(room, "o"), same("o")).where(F.col("words") <= F.col("left"))
+               .select("s", F.col("left").alias("limit"), F.lit(None).cast(stopped.schema["last"].dataType).alias("last"),
+                       (F.col("left") - F.col("words")).alias("left")))
+    return stopped.unionAll(through)
+
+
 def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """One row per source: whole copies of every document, and where the sample ends.
+    """One row per source: whole copies of every document, and which are sampled.
 
     ``sized`` has source, size, doc_id and draw. A source's documents are to be
     taken ``target / source_size`` times: the whole part is certain, the rest is the
     inclusion probability of a Pareto order sample (rank by odds of the draw over
-    inclusion odds). The sample goes down the ranking while its words fit in what
-    is left; then the one document of the rest that closes the gap best is
-    added, if it brings the sum nearer. Ranks come from word sums over ``CUTS``
-    slices of the draw, so only one slice of a source is ever sorted in a task.
+    inclusion odds). The sample goes down the ranking and takes every document whose words
+    still fit in what is left; ``walks`` says how far each walk came and what fitted
+    into it. Each walk ends at a document that doesn't fit, the next one goes on
+    behind it, until none fits. Then the one document of the rest that closes the
+    gap best is added, if it brings the sum nearer.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     split = materialize(
@@ -90,62 +152,60 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame
         .withColumn("chance", F.col("rate") - F.col("whole"))
         .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
         .select("source", "source_size", "target", "whole", "chance", "left"), "split")
-    cut = F.floor(F.col("draw") * CUTS).cast("int")
-    sums = sized.groupBy("source", cut.alias("cut")).agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(
-        Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))
-    sums = materialize(sums.withColumn("before", before), "cuts")
-    same = F.col("source").eqNullSafe(F.col("s"))
     named = split.withColumnRenamed("source", "s")
-    # The slice in which the words run out; none where all documents fit.
-    edge = materialize(
-        sums.join(named.select("s", "left", "chance"), same)
-        .where((F.col("before") <= F.col("left"))
-               & (F.col("before") + F.col("words") > F.col("left")) & (F.col("chance") > 0))
-        .select("s", "cut", "before", "left", "chance"), "edge")
-    order = F.struct(F.col("odds"), F.col("draw"), F.col("doc_id"), F.col("size"))
-    here = (sized.withColumn("cut", cut).join(edge.withColumnRenamed("cut", "edge"),
-                                              same & (F.col("cut") == F.col("edge")))
-            .withColumn("odds", _odds(F.col("draw")) / _odds(F.col("chance")))
-            .select("s", "before", "left", "draw", "doc_id", "size", "odds"))
-    running = F.sum("size").over(Window.partitionBy("s").orderBy("odds", "draw", "doc_id", "size"))
-    last = (here.withColumn("sum", F.col("before") + running).where(F.col("sum") <= F.col("left"))
-            .groupBy("s").agg(F.max(order).alias("last"), F.max("sum").alias("taken")))
-    ends = materialize(
-        edge.select("s", "cut", "left", "before", "chance")
-        .join(last.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left")
-        .select("s", "cut", "chance", "last",
-                (F.col("left") - F.coalesce("taken", "before")).alias("gap")), "ends")
-    rest = (sized.withColumn("at", cut).join(ends, same)
-            .withColumn("odds", _odds(F.col("draw")) / _odds(F.col("chance")))
-            .where((F.col("at") > F.col("cut")) | (F.col("at") == F.col("cut"))
-                   & (F.col("last").isNull() | (order > F.col("last"))))
-            .where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))))
-    closing = (rest.groupBy("s").agg(F.min(F.struct(
-        F.abs(F.col("size") - F.col("gap")).alias("off"), "odds", "draw", "doc_id", "size"))
-        .alias("closing")).withColumnRenamed("s", "t"))
-    ends = (ends.join(closing, F.col("s").eqNullSafe(F.col("t")), "left")
-            .select(F.col("s").alias("u"), F.col("cut").alias("edge"), "last", "closing"))
+    room = named.where("chance > 0").select("s", "left", "chance")
+    rows = materialize(units(sized).where("words > 0").withColumnRenamed("source", "s"), "units")
+    rest, walks, gaps = rows, [], room
+    while True:
+        found = materialize(_walk(rest, room).withColumn("walk", F.lit(len(walks))), "walk")
+        if found.isEmpty():
+            break
+        walks.append(found.select("s", "walk", "limit", "last"))
+        after = found.select(F.col("s").alias("o"), F.col("left").alias("now"), "last")
+        same = F.col("s").eqNullSafe(F.col("o"))
+        gaps = materialize(gaps.join(after, same, "left")
+                           .select("s", F.coalesce("now", "left").alias("left"), "chance"), "gaps")
+        behind = after.where("last is not null")
+        room = materialize(gaps.join(behind.select("o"), same, "left_semi"), "room")
+        order = _order(F.col("draw"), F.col("doc_id"), F.col("size"), F.col("chance"))
+        rest = materialize(
+            rest.join(behind.join(room.withColumnRenamed("s", "p").drop("left"), F.col("o").eqNullSafe(F.col("p"))),
+                      same)
+            .where((F.col("words") <= F.col("now")) & (order > F.col("last"))).select(*rows.columns), "rest")
+    if walks:
+        steps = (reduce(DataFrame.unionAll, walks).groupBy("s")
+                 .agg(F.sort_array(F.collect_list(F.struct("walk", "limit", "last"))).alias("walks")))
+        steps = materialize(steps.withColumnRenamed("s", "o"), "walks")
+    else:
+        kind = _order(F.lit(0.5), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0.5))
+        steps = room.limit(0).select(F.col("s").alias("o"), F.array(F.struct(
+            F.lit(0).alias("walk"), F.col("left").alias("limit"), kind.alias("last"))).alias("walks"))
+    known = (named.drop("left").join(steps, F.col("s").eqNullSafe(F.col("o")), "left").drop("o")
+             .join(gaps.select(F.col("s").alias("o"), F.col("left").alias("gap")),
+                   F.col("s").eqNullSafe(F.col("o")), "left").drop("o"))
+    known = materialize(known, "walked")
+    off = F.abs(F.col("words") - F.col("gap"))
+    unused = (rows.join(known.withColumnRenamed("s", "o"), F.col("s").eqNullSafe(F.col("o")))
+              .where((F.col("chance") > 0) & (F.col("words") < 2 * F.col("gap")) & ~_sampled("words"))
+              .groupBy("s").agg(F.min(F.struct(off.alias("off"), _order(
+                  F.col("draw"), F.col("doc_id"), F.col("size"), F.col("chance")).alias("order"))).alias("c")))
     return materialize(
-        named.join(ends, F.col("s").eqNullSafe(F.col("u")), "left")
-        .select("s", "source_size", "target", "whole", "chance", "edge", "last", "closing"), "plan")
+        known.join(unused.select(F.col("s").alias("o"), F.col("c.order").alias("closing")),
+                   F.col("s").eqNullSafe(F.col("o")), "left").drop("o", "gap"), "plan")
+
 
+def _sampled(words: str, at: str = "", draw="draw", doc_id="doc_id", size="size") -> Column:
+    """Whether a row joined to its source's plan fits into the walk that meets it."""
+    order = _order(F.col(draw), F.col(doc_id), F.col(size), F.col(f"{at}chance"))
+    met = F.filter(F.col(f"{at}walks"), lambda w: w["last"].isNull() | (order <= w["last"]))
+    return F.coalesce(F.get(met, F.lit(0))["limit"] >= F.col(words), F.lit(False))
 
-def _copies(cut: Column, at: str = "", draw=None, doc_id=None, size=None) -> Column:
+
+def _copies(words: str, at: str = "", draw="draw", doc_id="doc_id", size="size") -> Column:
     """Copies of a row joined to its source's plan, whose columns begin with ``at``."""
-    draw, doc_id, size = (draw if draw is not None else F.col("draw"),
-                          doc_id if doc_id is not None else F.col("doc_id"),
-                          size if size is not None else F.col("size"))
-    chance, edge, closing = F.col(f"{at}chance"), F.col(f"{at}edge"), F.col(f"{at}closing")
-    order = F.struct((_odds(draw) / _odds(chance)).alias("odds"), draw.alias("draw"),
-                     doc_id.alias("doc_id"), size.alias("size"))
-    closes = (draw.eqNullSafe(closing["draw"]) & doc_id.eqNullSafe(closing["doc_id"])
-              & (size == closing["size"]))
-    taken = (F.when(chance <= 0, False).when(edge.isNull(), True)
-             .otherwise((cut < edge)
-                        | ((cut == edge) & F.coalesce(order <= F.col(f"{at}last"), F.lit(False)))
-                        | F.coalesce(closes, F.lit(False))))
+    order = _order(F.col(draw), F.col(doc_id), F.col(size), F.col(f"{at}chance"))
+    taken = (F.col(f"{at}chance") > 0) & (_sampled(words, at, draw, doc_id, size)
+                                          | F.coalesce(order.eqNullSafe(F.col(f"{at}closing")), F.lit(False)))
     return F.col(f"{at}whole") + F.when(taken, 1).otherwise(0)
 
 
@@ -159,34 +219,44 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every document.
 
     Null texts have size 0; null is a source of its own, the last. Rows without an
-    id take part. Rows with equal id and text draw the same number and are taken
-    together. A source without words has target 0. An empty table gives no rows.
+    id take part. Rows with equal id, text and source are taken together; those
+    without words only in whole copies. A source without words has target 0. An empty table gives
+    no rows.
     """
     sized = materialize(sizes(docs), "sized")
-    cut = F.floor(F.col("draw") * CUTS).cast("int")
-    return (sized.join(plan(sized, weights, share, most), F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("copies", _copies(cut))
+    rows = units(sized).withColumn("times", F.when(F.col("size") > 0, F.col("words") / F.col("size")))
+    # Without words a unit's number isn't in its words.
+    bare = sized.where("size = 0").select("source", "draw", "doc_id", "size", F.lit(0).cast("bigint").alias("words"))
+    full = rows.where("size > 0").select("source", "draw", "doc_id", "size", "words", F.explode(
+        F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("col")
+    return (full.unionAll(bare).join(plan(sized, weights, share, most), F.col("source").eqNullSafe(F.col("s")))
+            .withColumn("copies", F.when(F.col("size") > 0, _copies("words")).otherwise(F.col("whole")))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    found = plan(materialize(sizes(docs), "sized"), weights, share, most).select(F.struct("*").alias("_plan"))
+    sized = materialize(sizes(docs), "sized")
+    found = plan(sized, weights, share, most).select(F.struct("*").alias("_plan"))
+    again = materialize(units(sized).where("words > size").select(F.struct("*").alias("_unit")), "repeated")
     own = ("doc_id", "text", "source")
     rows = (narrow(docs, *own)
             .withColumns({"_id": F.col("doc_id").cast("bigint"), "_size": words("text"),
                           "_draw": draw("doc_id", "text")})
-            .join(found, F.col("source").cast("string").eqNullSafe(F.col("_plan.s"))))
-    cut = F.floor(F.col("_draw") * CUTS).cast("int")
-    copies = _copies(cut, "_plan.", F.col("_draw"), F.col("_id"), F.col("_size")).cast("int")
-    again = (rows.withColumn("_copies", copies).where("_copies > 0")
+            .join(found, F.col("source").cast("string").eqNullSafe(F.col("_plan.s")))
+            .join(again, (F.col("_draw") == F.col("_unit.draw")) & F.col("_id").eqNullSafe(F.col("_unit.doc_id"))
+                  & F.col("source").cast("string").eqNullSafe(F.col("_unit.source")), "left")
+            .withColumn("_words", F.coalesce("_unit.words", "_size")))
+    copies = F.when(F.col("_size") > 0, _copies("_words", "_plan.", "_draw", "_id", "_size")).otherwise(
+        F.col("_plan.whole")).cast("int")
+    taken = (rows.withColumn("_copies", copies).where("_copies > 0")
              .select(*own, "_rest", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))))
-    return widen(again, docs.columns, *own)
+    return widen(taken, docs.columns, *own)
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 13))::BIGINT + 0.5::DOUBLE)
@@ -212,23 +282,32 @@ t AS (
 p AS (
   SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS chance,
          target - floor(rate)::BIGINT * source_size AS room FROM t),
+u AS (
+  SELECT source, doc_id, size, draw, (size * count(*))::BIGINT AS words FROM d
+  WHERE size > 0 GROUP BY source, doc_id, size, draw),
 o AS (
-  SELECT d.doc_id, d.size, d.draw, p.*,
-         CASE WHEN chance > 0 THEN (draw / (1 - draw)) / (chance / (1 - chance)) END AS odds
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, draw, doc_id, size) AS running FROM o),
-g AS (
-  SELECT source, max(room) - coalesce(max(running) FILTER (running <= room), 0) AS gap
-  FROM c WHERE chance > 0 GROUP BY source),
+  SELECT u.*, p.room, row_number() OVER (
+           PARTITION BY u.source ORDER BY (draw / (1 - draw)) / (chance / (1 - chance)), draw,
+           doc_id NULLS FIRST, size) AS n
+  FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source WHERE chance > 0),
+walk AS (
+  SELECT source, 0::BIGINT AS n, room AS gap, false AS taken FROM p WHERE chance > 0
+  UNION ALL
+  SELECT o.source, o.n, CASE WHEN o.words <= w.gap THEN w.gap - o.words ELSE w.gap END, o.words <= w.gap
+  FROM walk w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.n = w.n + 1),
+g AS (SELECT source, min(gap) AS gap FROM walk GROUP BY source),
+w AS (
+  SELECT o.*, walk.taken, g.gap FROM o JOIN walk ON o.source IS NOT DISTINCT FROM walk.source AND o.n = walk.n
+  JOIN g ON o.source IS NOT DISTINCT FROM g.source),
 e AS (
-  SELECT source, doc_id AS closing FROM (
-    SELECT c.source, c.doc_id, row_number() OVER (
-             PARTITION BY c.source ORDER BY abs(size - gap), odds, draw, doc_id) AS n
-    FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
-    WHERE chance > 0 AND running > room AND size > 0 AND size < 2 * gap) WHERE n = 1)
-SELECT c.doc_id, c.size, c.source_size, c.target,
-       ((c.whole + CASE WHEN c.chance > 0 AND (c.running <= c.room OR c.doc_id = e.closing)
-                        THEN 1 ELSE 0 END) * c.size)::BIGINT AS taken
-FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.source
+  SELECT source, n FROM w WHERE NOT taken AND words < 2 * gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - gap), n) = 1),
+x AS (
+  SELECT w.source, w.draw, w.doc_id, w.size, w.taken OR e.n IS NOT NULL AS taken
+  FROM w LEFT JOIN e ON w.source IS NOT DISTINCT FROM e.source AND w.n = e.n)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       ((p.whole + CASE WHEN x.taken THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.draw = x.draw AND d.size = x.size
+           AND d.doc_id IS NOT DISTINCT FROM x.doc_id
 """

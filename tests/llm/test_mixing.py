@@ -1,5 +1,6 @@
 """The mix against its SQL, targets, odd rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def test_sources_come_near_their_targets(spark):
             .collect())
     for r in rows:
         assert r["size"] == r["whole"] and not r["over"] and r["target"] <= 2 * r["whole"]
-        assert abs(r["taken"] - r["target"]) <= 0.02 * r["target"] + 30  # whole documents only
+        assert abs(r["taken"] - r["target"]) <= 0.01 * r["target"]  # whole documents only
     total = sum(r["whole"] for r in rows)
     assert abs(sum(r["target"] for r in rows) - 1.5 * total) < 1e-6 * total
 
@@ -50,3 +51,27 @@ def test_odd_rows(spark):
         expected[key] = expected.get(key, 0) + r["copies"]
     assert count == {k: n for k, n in expected.items() if n}
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_one_long_document_does_not_end_the_sample(spark, tmp_path):
+    # A quarter of each source is left to take; the long document mostly doesn't fit.
+    rows = [(100 * s + k, " ".join([f"d{s}_{k}"] * (20000 if k == 0 else 200 + k * 37 % 200)), f"s{s:02}")
+            for s in range(12) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.mix(docs, weights=(1,), share=0.25).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(found) == 12 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in found)
+
+
+def test_odd_rows_against_sql(spark, tmp_path):
+    import duckdb
+    rng = np.random.default_rng(6)
+    rows = [(int(k) if k % 7 else None, "w " * int(rng.integers(0, 60)), [None, "", "a", "b"][k % 4]) for k in range(300)]
+    rows += [(5, "same text " * 4, "a")] * 5 + [(5, "same text " * 4, "b")] + [(9, "x " * 900, "b"), (None, None, "c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    mine = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, mine), key=key) == sorted(con.execute(mixing.SQL).fetchall(), key=key)
