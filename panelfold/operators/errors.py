@@ -30,6 +30,16 @@ def mase_scale(positioned: DataFrame, season: int, freq: str | None = None,
     return steps.groupBy(ID).agg(zero_to_null(F.avg("_change")).alias("scale"))
 
 
+def mase_scale_by_season(positioned: DataFrame, id_col: str = ID) -> DataFrame:
+    """``mase_scale`` where every row brings its own ``season``, such as that of its dataset.
+
+    The value a season back is looked up by position, a key that no series makes hot.
+    """
+    back = positioned.select(id_col, (F.col(POS) + F.col("season")).alias(POS), F.col(TARGET).alias("_back"))
+    return (positioned.join(back, [id_col, POS])
+            .groupBy(id_col).agg(zero_to_null(F.avg(F.abs(F.col(TARGET) - F.col("_back")))).alias("scale")))
+
+
 def scaled_errors(errors: DataFrame, scales: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Divide each series' error by its scale; series without one drop out of means."""
     on = [*(keys or []), ID]

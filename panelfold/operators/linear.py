@@ -56,26 +56,41 @@ def lag_features(positioned: DataFrame, lags: int, freq: str | None = None) -> D
     return rows.filter(F.size("lags") == lags)
 
 
+def _looked_up(season: int, features: tuple[str, ...]) -> list[str]:
+    """The values behind all feature sets, looked up once per (origin, lead)."""
+    return [f"{at('c', TARGET)} as _last",
+            *[f"{at(season_position(season, j), TARGET)} as _back{j}" for j in (1, 2)],
+            *[f"{at('c', name.replace('trend', 'tr'))} as _{name}"
+              for name in features if name in TREND_FEATURES]]
+
+
+def _regressors(name: str) -> dict[str, str]:
+    """``x1``, ``x2`` and ``z`` (target less base) of a feature set, and its ``base``."""
+    if name == "season1":
+        x1, x2, base = "_back1 - _last", "0D", "_last"
+    elif name == "season2":
+        x1, x2, base = "(_back1 + _back2) / 2 - _last", "0D", "_last"
+    else:
+        x1, x2, base = f"_last - _{name}", f"_back1 - _{name}", f"_{name}"
+    return {"x1": x1, "x2": x2, "z": f"target - {base}", "base": base}
+
+
+def _products(name: str) -> dict[str, str]:
+    """The sums that a feature set needs; those with its missing second regressor are zero."""
+    products = {"cnt": "if({f}_z is null, null, 1D)", "s1": "{f}_x1", "sz": "{f}_z", "s11": "{f}_x1 * {f}_x1",
+                "s1z": "{f}_x1 * {f}_z", "s2": "{f}_x2", "s12": "{f}_x1 * {f}_x2",
+                "s22": "{f}_x2 * {f}_x2", "s2z": "{f}_x2 * {f}_z"}
+    return {k: v for k, v in products.items() if name in TREND_FEATURES or "2" not in k}
+
+
 def _with_features(rows: DataFrame, season: int, features: tuple[str, ...],
                    keep: list[str]) -> DataFrame:
-    """Regressors ``x1``, ``x2`` and ``base`` of every feature set at each lead.
-
-    The values are looked up once per row, before the feature sets multiply it.
-    """
-    values = rows.selectExpr(
-        *keep, f"{at('c', TARGET)} as _last",
-        *[f"{at(season_position(season, j), TARGET)} as _back{j}" for j in (1, 2)],
-        *[f"{at('c', name.replace('trend', 'tr'))} as _{name}"
-          for name in features if name in TREND_FEATURES])
+    """Regressors ``x1``, ``x2`` and ``base`` of every feature set at each lead."""
+    values = rows.selectExpr(*keep, *_looked_up(season, features))
 
     def row(name: str) -> str:
-        if name == "season1":
-            x1, x2, base = "_back1 - _last", "0D", "_last"
-        elif name == "season2":
-            x1, x2, base = "(_back1 + _back2) / 2 - _last", "0D", "_last"
-        else:
-            x1, x2, base = f"_last - _{name}", f"_back1 - _{name}", f"_{name}"
-        return f"named_struct('features', '{name}', 'x1', {x1}, 'x2', {x2}, 'base', {base})"
+        parts = ", ".join(f"'{k}', {v}" for k, v in _regressors(name).items() if k != "z")
+        return f"named_struct('features', '{name}', {parts})"
 
     names = [c.rsplit(" as ", 1)[-1] for c in keep]
     return values.selectExpr(*names, f"inline(array({', '.join(row(n) for n in features)}))")
@@ -109,25 +124,37 @@ def training_sums(trended: DataFrame, horizon: int, season: int, stages: dict[st
     """Sums of products per (series, features, lead, stage).
 
     ``stages`` names how many final rows of each series a fit must not see: a
-    window counts for a stage only if its target lies before them. All stages
-    are summed in the same pass.
+    window counts for a stage only if its target lies before them. The bounds cut
+    a series into disjoint slices; a window adds to the sums of its slice only, with
+    the products of all feature sets side by side, and a stage is the sum of the
+    slices before its bound.
     """
     rows = training_windows(trended, horizon, 2 * season, min(stages.values()), freq,
                             [f"tr{w}" for w in TREND_WINDOWS])
-    keep = [ID, f"{SIZE} - c - lead as unseen", "lead", "target"]
-    windows = (
-        _with_features(rows, season, features, keep)
-        .selectExpr(ID, "unseen", "lead", "features", "x1", "x2", "target - base as z")
-        .filter("x1 is not null and x2 is not null and z is not null"))
-    products = {"cnt": "1D", "s1": "x1", "s2": "x2", "sz": "z", "s11": "x1 * x1",
-                "s12": "x1 * x2", "s22": "x2 * x2", "s1z": "x1 * z", "s2z": "x2 * z"}
-    wide = windows.groupBy(ID, "features", "lead").agg(*[
-        F.expr(f"sum(if(unseen >= {hold}, {product}, null)) as {stage}_{name}")
-        for stage, hold in stages.items() for name, product in products.items()])
-    per_stage = ", ".join(
-        f"named_struct('stage', '{stage}', "
-        + ", ".join(f"'{name}', {stage}_{name}" for name in SUMS) + ")" for stage in stages)
-    return wide.selectExpr(ID, "features", "lead", f"inline(array({per_stage}))").filter("cnt > 0")
+    slices = sorted(set(stages.values()))
+    unseen = f"{SIZE} - c - lead"
+    slice_of = "case " + " ".join(f"when {unseen} >= {hold} then {k}" for k, hold in
+                                  sorted(enumerate(slices), reverse=True)) + " end"
+    values = rows.selectExpr(ID, "lead", f"{slice_of} as slice", "target", *_looked_up(season, features))
+    wide = values.selectExpr(ID, "lead", "slice", *[
+        f"{part} as {name}_{column}" for name in features for column, part in _regressors(name).items()])
+    whole = wide.selectExpr(ID, "lead", "slice", *[
+        f"if({name}_x1 + {name}_x2 + {name}_z is null, null, {name}_{x}) as {name}_{x}"
+        for name in features for x in ("x1", "x2", "z")])
+    sums = whole.groupBy(ID, "lead", "slice").agg(*[
+        F.expr(f"sum({product.format(f=name)}) as {name}_{total}")
+        for name in features for total, product in _products(name).items()])
+    # A slice's sums go to the stages that see it: a few rows per series and lead.
+    seen = "case slice " + " ".join(
+        f"when {k} then array({', '.join(repr(stage) for stage, bound in stages.items() if bound <= hold)})"
+        for k, hold in enumerate(slices)) + " end"
+    per_feature = ", ".join(
+        f"named_struct('features', '{name}', " + ", ".join(
+            f"'{total}', " + (f"{name}_{total}" if total in _products(name) else "0D") for total in SUMS) + ")"
+        for name in features)
+    rows = sums.selectExpr(ID, "lead", f"{seen} as _stages", f"inline(array({per_feature}))")
+    return (rows.filter("cnt > 0").withColumn("stage", F.explode("_stages"))
+            .groupBy(ID, "features", "lead", "stage").agg(*[F.sum(total).alias(total) for total in SUMS]))
 
 
 def series_widths(positioned: DataFrame, stages: dict[str, int]) -> DataFrame:
@@ -177,6 +204,38 @@ def fit(sums: DataFrame, train: DataFrame, groups: list[str],
     return coefficients(pooled, keys)
 
 
+def fit_folds(sums: DataFrame, assigned: DataFrame, draw: list[str], fold: list[str]) -> DataFrame:
+    """Coefficients of every fold of a draw: totals of the draw less what a fold leaves out.
+
+    ``assigned`` has the roles of the series in every fold (``draw`` and ``fold`` columns,
+    id, role); train and test series of a fold differ, but in folds over all series. Sums of the whole draw are taken once. A fold that trains on all of them
+    needs no more; one that trains on all but its test series subtracts those; only
+    where that is not so, or would not be fewer rows, its training series are listed.
+    """
+    groups = [*draw, *fold]
+    members = assigned.select(*draw, ID).distinct()
+    train = F.sum(F.when(F.col("role") == "train", 1).otherwise(0))
+    folds = (assigned.groupBy(*groups).agg(train.alias("trained"), (F.count("*") - train).alias("tested"))
+             .join(members.groupBy(*draw).agg(F.count("*").alias("all")), draw))
+    way = (F.when(F.col("trained") == F.col("all"), "all")
+           .when((F.col("trained") + F.col("tested") == F.col("all"))
+                 & (F.col("tested") < F.col("trained")), "rest").otherwise("listed"))
+    folds = folds.select(*groups, way.alias("way"))
+    sign = (F.when((F.col("way") == "listed") & (F.col("role") == "train"), 1)
+            .when((F.col("way") == "rest") & (F.col("role") == "test"), -1))
+    listed = (assigned.join(folds, groups).withColumn("_sign", sign).filter("_sign is not null")
+              .select(*groups, ID, "_sign"))
+    keys = ["features", "scaler", "stage", "lead"]
+    totals = sums.join(members, ID).groupBy(*draw, *keys).agg(*[F.sum(n).alias(n) for n in SUMS])
+    whole = (folds.filter("way <> 'listed'").join(totals, draw).select(*groups, *keys, *SUMS))
+    parts = (sums.join(listed, ID).groupBy(*groups, *keys)
+             .agg(*[F.expr(f"sum({n} * _sign) as {n}") for n in SUMS]).select(*groups, *keys, *SUMS))
+    # What is left of a subtraction by rounding alone is nothing: no variation must stay none.
+    pooled = whole.unionByName(parts).groupBy(*groups, *keys).agg(*[
+        F.expr(f"if(abs(sum({n})) <= 1e-12 * sum(abs({n})), 0D, sum({n})) as {n}") for n in SUMS])
+    return coefficients(pooled.filter("cnt > 0"), [*groups, *keys])
+
+
 def coefficients(pooled: DataFrame, keys: list[str]) -> DataFrame:
     """Solve the normal equations: ``b1``, ``b2`` and intercept ``a``.
 

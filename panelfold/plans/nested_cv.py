@@ -100,14 +100,17 @@ def prepare(panel: DataFrame, run: Experiment) -> tuple[DataFrame, DataFrame]:
 
 
 def fold_coefficients(trended: DataFrame, assigned: DataFrame, run: Experiment) -> DataFrame:
-    """Coefficients of every fold before validation and test, and of the final fit."""
-    train = assigned.filter(F.col("role") == "train").select(*FOLD, ID)
-    everyone = trended.filter(F.col(POS) == 1).select(
-        *[F.lit(v).alias(k) for k, v in FINAL.items()], ID)
-    groups = train.unionByName(everyone).withColumn(
-        "stages", F.when(F.col("method") == FINAL["method"], F.array(F.lit("final")))
-        .otherwise(F.array(F.lit("val"), F.lit("inner"))))
-    return L.fit(T.stage_sums(trended, run.windows, run.freq), groups, FOLD)
+    """Coefficients of every fold before validation and test, and of the final fit.
+
+    The sums per series are written: totals of every seed, what the folds leave out and
+    the final fit all read them.
+    """
+    sums = materialize(T.stage_sums(trended, run.windows, run.freq), "sums")
+    folds = L.fit_folds(sums.filter("stage <> 'final'"), assigned, ["seed"], ["method", "fold"])
+    keys = ["features", "scaler", "stage", "lead"]
+    final = (sums.filter("stage = 'final'").groupBy(*keys).agg(*[F.sum(n).alias(n) for n in L.SUMS])
+             .select(*[F.lit(v).alias(k) for k, v in FINAL.items()], *keys, *L.SUMS))
+    return folds.unionByName(L.coefficients(final, [*FOLD, *keys]))
 
 
 def fit_folds(panel: DataFrame, run: Experiment) -> Fitted:

@@ -67,17 +67,19 @@ def _lookup(spark: SparkSession, values: dict, key: str, value: str,
     return small_table(spark, {key: ("string", list(values)), value: (kind, list(values.values()))})
 
 
-def dataset_params(spark: SparkSession, frequencies: dict[str, str] | None = None,
+def dataset_params(spark: SparkSession, frequencies: dict[str, str] | DataFrame | None = None,
                    horizons: dict[str, int] | None = None,
                    seasons: dict[str, int] | None = None) -> DataFrame:
     """One row per dataset: ``dataset, freq, horizon, n_lags, season``.
 
-    The horizon is the dataset's own if it has one, else the competition's for
-    M4 names, else the default of the frequency. Every table here has one row
-    per known dataset or frequency, so Spark broadcasts the joins by size.
+    ``frequencies`` are fixed by name, or a table of dataset and freq as
+    ``frequency.infer_frequency`` takes it from the data. The horizon is the dataset's own
+    if it has one, else the competition's for M4 names, else the default of the
+    frequency. Every table here has one row per known dataset or frequency, so Spark
+    broadcasts the joins by size.
     """
-    names = _lookup(spark, frequencies if frequencies is not None else FREQUENCY,
-                    "dataset", "freq", "string")
+    names = frequencies if isinstance(frequencies, DataFrame) else _lookup(
+        spark, frequencies if frequencies is not None else FREQUENCY, "dataset", "freq", "string")
     own = _lookup(spark, {**SPECIAL_HORIZON, **(horizons or {})}, "dataset", "own_h")
     own_season = _lookup(spark, seasons or {}, "dataset", "own_m")
     joined = (

@@ -1,11 +1,16 @@
 """Queries over panel shaping: filters, samples, time splits, resampling, scaling."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from panelfold.operators import shape
+from panelfold.operators.errors import mase_scale_by_season
 from panelfold.operators.positions import with_positions
 from panelfold.schema import ID, TARGET, TIME
-from panelfold.sources.params import SEASON_OVERRIDES, dataset_params, override_seasonality
+from panelfold.sources.frequency import infer_frequency
+from panelfold.sources.params import (HORIZON, M4_HORIZON, SEASON, SEASON_OVERRIDES, dataset_params,
+                                      override_seasonality)
 
 from .panels import BUILDERS, PANELS, panel, stacked, table, user_raw
 from .sqltext import PANEL, POSITIONS, RAW, UIDS, ctes, resampled, sampled
@@ -143,26 +148,94 @@ SELECT dataset, horizon, n_lags AS input_size, count(*) AS n_obs,
 FROM panels JOIN params USING (dataset) GROUP BY 1, 2, 3"""
 
 
-def _params_in_use(spark, sf):
-    names = stacked(spark, sf, NAMES).select("dataset").distinct()
-    return dataset_params_for(names, params(spark))
-
-
-def dataset_params_for(names, known):
-    return known.join(names, "dataset", "left_semi")
-
-
-QUERIES["dataset_params"] = _params_in_use
-SQL["dataset_params"] = ctes(panels=sqltext.stacked(NAMES), params=PARAMS_SQL) + """
-SELECT dataset, freq, horizon, n_lags, season FROM params
-WHERE dataset IN (SELECT dataset FROM panels)"""
-
-QUERIES["override_seasonality"] = lambda spark, sf: override_seasonality(
-    _params_in_use(spark, sf), {"user_day": 1, **SEASON_OVERRIDES["estimation"]})
-SQL["override_seasonality"] = ctes(panels=sqltext.stacked(NAMES), params=PARAMS_SQL) + """
-SELECT dataset, freq, horizon, n_lags,
-       CASE WHEN dataset = 'user_day' THEN CAST(1 AS INTEGER) ELSE season END AS season FROM params
-WHERE dataset IN (SELECT dataset FROM panels)"""
+# Panels under the names by which parameters are looked up: one with a horizon of its own, one by
+# the competition's name, two with the defaults of their frequency.
+LOOKED_UP = {"brand_month": "brand_month", "m4_daily": "user_day", "nation_month": "nation_month",
+             "type_hour": "type_hour"}
+OWN_HORIZONS = {"brand_month": PANELS["brand_month"]["horizon"]}
+SHORT_SEASONS = {"m4_daily": 7, **SEASON_OVERRIDES["estimation"]}
+
+
+def _looked_up(spark, sf):
+    return reduce(DataFrame.unionByName, [
+        panel(spark, sf, name).select(F.lit(called).alias("dataset"), ID, F.col(TIME).cast("timestamp_ntz").alias(TIME),
+                                      TARGET) for called, name in LOOKED_UP.items()])
+
+
+def _params_of(panels):
+    return dataset_params(panels.sparkSession, infer_frequency(panels), OWN_HORIZONS)
+
+
+def params_from_data(spark, sf):
+    """Parameters of every panel, by the frequency that its times have."""
+    return _params_of(_looked_up(spark, sf))
+
+
+def _scales(spark, sf):
+    """Parameters with the shorter season, and what that season makes of the error scales."""
+    panels = _looked_up(spark, sf)
+    params = override_seasonality(_params_of(panels), SHORT_SEASONS)
+    series = F.concat_ws("|", "dataset", ID)
+    rows = panels.join(params.select("dataset", "season"), "dataset").withColumn("series", series)
+    scales = mase_scale_by_season(with_positions(rows, None, "series"), "series")
+    named = scales.withColumn("dataset", F.substring_index("series", "|", 1))
+    means = named.groupBy("dataset").agg(F.count("scale").alias("n_scales"),
+                                         F.round(F.avg("scale"), 4).alias("mean_scale"))
+    return params.join(means, "dataset", "left")
+
+
+LOOKED_UP_SQL = " UNION ALL ".join(
+    f"SELECT '{called}' AS dataset, unique_id, CAST(ds AS TIMESTAMP) AS ds, y FROM ({sqltext.PANEL[name]})"
+    for called, name in LOOKED_UP.items())
+INFERRED = {
+    "panels": LOOKED_UP_SQL,
+    "steps": """
+SELECT dataset, ds, later, datediff('month', ds, later) AS months,
+       ds::TIME = later::TIME AND (day(ds) = day(later)
+         OR (last_day(ds) = ds::DATE AND last_day(later) = later::DATE)) AS same
+FROM (SELECT *, lead(ds) OVER (PARTITION BY dataset, unique_id ORDER BY ds) AS later
+      FROM (SELECT DISTINCT dataset, unique_id, ds FROM panels WHERE ds IS NOT NULL)) WHERE later IS NOT NULL""",
+    "counted": """
+SELECT dataset, months > 0 AND same AS monthly,
+       CASE WHEN months > 0 AND same THEN months ELSE datediff('second', ds, later) END AS k, count(*) AS times
+FROM steps GROUP BY ALL""",
+    "best": """
+SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY times DESC,
+  CASE WHEN monthly THEN 2629746 * k ELSE k END) = 1""",
+    "coded": """
+SELECT dataset, CASE WHEN monthly THEN CASE
+         WHEN k % 12 = 0 THEN CASE WHEN k = 12 THEN '' ELSE (k // 12)::VARCHAR END || 'Y'
+         WHEN k % 3 = 0 THEN CASE WHEN k = 3 THEN '' ELSE (k // 3)::VARCHAR END || 'Q'
+         ELSE CASE WHEN k = 1 THEN '' ELSE k::VARCHAR END || CASE WHEN starts THEN 'MS' WHEN ends THEN 'ME' ELSE 'M' END END
+       WHEN k % 604800 = 0 THEN CASE WHEN k = 604800 THEN '' ELSE (k // 604800)::VARCHAR END || 'W'
+       WHEN k % 86400 = 0 THEN CASE WHEN k = 86400 THEN '' ELSE (k // 86400)::VARCHAR END || 'D'
+       WHEN k % 3600 = 0 THEN CASE WHEN k = 3600 THEN '' ELSE (k // 3600)::VARCHAR END || 'H'
+       WHEN k % 60 = 0 THEN CASE WHEN k = 60 THEN '' ELSE (k // 60)::VARCHAR END || 'T'
+       ELSE CASE WHEN k = 1 THEN '' ELSE k::VARCHAR END || 'S' END AS freq
+FROM (SELECT dataset, bool_and(day(ds) = 1) AS starts, bool_and(last_day(ds) = ds::DATE) AS ends
+      FROM panels GROUP BY 1) LEFT JOIN best USING (dataset)""",
+    "params": f"""
+SELECT dataset, freq, horizon::INTEGER AS horizon, floor(horizon * 1.25)::INTEGER AS n_lags, season::INTEGER AS season
+FROM (SELECT *, CASE WHEN dataset = 'brand_month' THEN {OWN_HORIZONS['brand_month']}
+                     WHEN dataset LIKE 'm4%' THEN map({list(M4_HORIZON)}, {list(M4_HORIZON.values())})[freq]
+                     ELSE map({list(HORIZON)}, {list(HORIZON.values())})[freq] END AS horizon,
+             map({list(SEASON)}, {list(SEASON.values())})[freq] AS season FROM coded)"""}
+
+QUERIES["dataset_params"] = params_from_data
+SQL["dataset_params"] = ctes(**INFERRED) + "SELECT dataset, freq, horizon, n_lags, season FROM params"
+
+QUERIES["infer_frequency"] = lambda spark, sf: infer_frequency(_looked_up(spark, sf))
+SQL["infer_frequency"] = ctes(**{k: v for k, v in INFERRED.items() if k != "params"}) + "SELECT dataset, freq FROM coded"
+
+QUERIES["override_seasonality"] = _scales
+SQL["override_seasonality"] = ctes(**INFERRED, changed=f"""
+SELECT * REPLACE (coalesce(map({list(SHORT_SEASONS)}, {list(SHORT_SEASONS.values())})[dataset], season)::INTEGER AS season)
+FROM params""", scales="""
+SELECT dataset, unique_id, nullif(avg(abs(y - back)), 0) AS scale FROM (
+  SELECT dataset, unique_id, y, lag(y, season) OVER (PARTITION BY dataset, unique_id ORDER BY ds) AS back
+  FROM panels JOIN changed USING (dataset)) GROUP BY 1, 2""", means="""
+SELECT dataset, count(scale) AS n_scales, round(avg(scale), 4) AS mean_scale FROM scales GROUP BY 1""") + """
+SELECT dataset, freq, horizon, n_lags, season, n_scales, mean_scale FROM changed LEFT JOIN means USING (dataset)"""
 
 # -- scaling ------------------------------------------------------------------
 

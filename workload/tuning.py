@@ -11,7 +11,7 @@ from panelfold.schema import BASELINE, ID, TARGET, TIME
 
 from . import nestedsql, shaping, sqltext
 from .nestedsql import ACROSS, SEEDS, SINGLE, draws_sql, fold_steps, forecast_steps, space_sql
-from .panels import panel, stacked
+from .panels import panel
 from .sqltext import ctes
 from .stored import experiment
 
@@ -29,39 +29,31 @@ ALL_FAMILIES = list(C.SPACE)
 
 
 def _configs(spark, sf):
-    """Every family's draws for each dataset that has data."""
-    known = shaping.dataset_params_for(
-        stacked(spark, sf, ["user_day", "type_hour"]).select("dataset").distinct(),
-        shaping.params(spark))
-    each = known.select("*", inline_rows([(f,) for f in ALL_FAMILIES], ["family"]))
+    """Every family's draws for each dataset, whose frequency, horizon and input size come
+    from its times."""
+    each = shaping.params_from_data(spark, sf).select("*", inline_rows([(f,) for f in ALL_FAMILIES], ["family"]))
     return each.join(C.sample_configs(C.config_space(spark)), "family")
 
 
 def _entries(frame):
     """One row per parameter, so that maps compare as plain columns."""
-    return frame.select("dataset", "family", "config_idx",
+    return frame.select("dataset", "freq", "n_lags", "family", "config_idx",
                         F.explode("config").alias("param", "value"))
 
 
 QUERIES["sample_configs"] = lambda spark, sf: _entries(_configs(spark, sf))
-SQL["sample_configs"] = ctes(
-    panels=sqltext.stacked(["user_day", "type_hour"]), space=space_sql(ALL_FAMILIES),
-    draws=draws_sql()) + """
-SELECT dataset, family, config_idx, param, value
-FROM draws CROSS JOIN (SELECT DISTINCT dataset FROM panels)"""
+SQL["sample_configs"] = ctes(**shaping.INFERRED, space=space_sql(ALL_FAMILIES), draws=draws_sql()) + """
+SELECT dataset, freq, n_lags, family, config_idx, param, value FROM draws CROSS JOIN params"""
 
 QUERIES["expand_variants"] = lambda spark, sf: C.expand_variants(
     _configs(spark, sf), F.col("horizon"), F.col("n_lags")).select(
     "dataset", "variant", F.explode("config").alias("param", "value"))
-SQL["expand_variants"] = ctes(
-    panels=sqltext.stacked(["user_day", "type_hour"]), space=space_sql(ALL_FAMILIES),
-    params=shaping.PARAMS_SQL, draws=draws_sql(),
-    used="SELECT * FROM params WHERE dataset IN (SELECT dataset FROM panels)") + """
+SQL["expand_variants"] = ctes(**shaping.INFERRED, space=space_sql(ALL_FAMILIES), draws=draws_sql()) + """
 SELECT dataset, family || '_' || config_idx AS variant, param,
        CASE WHEN param = 'h' THEN CAST(horizon AS VARCHAR)
             WHEN param = 'input_size_multiplier' THEN CAST(n_lags AS VARCHAR)
             WHEN param = 'scaler_type' AND value = 'robust' THEN 'standard' ELSE value END AS value
-FROM (SELECT * FROM draws CROSS JOIN used WHERE param <> 'loss')""".replace(
+FROM (SELECT * FROM draws CROSS JOIN params WHERE param <> 'loss')""".replace(
     "variant, param,", "variant, CASE WHEN param = 'input_size_multiplier' THEN 'input_size' "
     "ELSE param END AS param,")
 
@@ -172,9 +164,10 @@ def _attach(spark, sf):
 
 
 QUERIES["attach_baseline"] = _attach
+# One pass over the forecasts: the model rows of a point see the baseline row beside them.
 SQL["attach_baseline"] = ctes(**_steps, o=f"""
-SELECT {ROUNDED} FROM results WHERE stage = 'outer'""") + """
-SELECT f.seed, f.method, f.stage, f.fold, f.unique_id, f.cutoff, f.ds, f.lead, f.model, f.yhat, f.y,
-       b.yhat AS "SeasonalNaive"
-FROM o f JOIN o b USING (unique_id, cutoff, ds, seed, method)
-WHERE f.model <> 'SeasonalNaive' AND b.model = 'SeasonalNaive'"""
+SELECT {ROUNDED}, max(round(yhat, 1)) FILTER (WHERE model = 'SeasonalNaive')
+         OVER (PARTITION BY seed, method, unique_id, cutoff, ds) AS "SeasonalNaive"
+FROM results WHERE stage = 'outer'""") + """
+SELECT seed, method, stage, fold, unique_id, cutoff, ds, lead, model, yhat, y, "SeasonalNaive"
+FROM o WHERE model <> 'SeasonalNaive'"""
