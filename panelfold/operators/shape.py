@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.calendar import next_time, truncate_hour
 from ..functions.exprs import clean, hash_text, inline_rows
 from ..schema import ID, OUT_SET_MULTIPLIER, POS, SEED, SIZE, TARGET, TIME
+from ..session import materialize
+from .medians import medians
 from .positions import neighbours, series_sizes, with_positions
 from .ranks import hash_rank
 
@@ -225,8 +227,8 @@ def scale_statistics(positioned: DataFrame, kind: str, holdout: int,
     """Centre and width per series over all rows but the last ``holdout``.
 
     The scope of the scaler is a choice of this library: the train part of each
-    series. ``robust`` needs exact medians, which hold the distinct values of a
-    series; experiments map it to standard.
+    series. ``robust`` takes the exact median and the exact median deviation from it, by
+    selection (``medians``); experiments map it to standard.
     """
     train = positioned.filter(F.col(POS) <= F.col(SIZE) - holdout)
     if kind == "standard":
@@ -235,12 +237,11 @@ def scale_statistics(positioned: DataFrame, kind: str, holdout: int,
             F.nullif(F.stddev_pop(target_col), F.lit(0.0)).alias("width"))
     if kind != "robust":
         raise ValueError(f"unknown scaler {kind!r}")
-    centre = train.groupBy(id_col).agg(F.percentile(target_col, F.lit(0.5)).alias("centre"))
-    return (train.join(centre, id_col)
-            .groupBy(id_col).agg(
-                F.first("centre").alias("centre"),
-                F.nullif(F.percentile(F.abs(F.col(target_col) - F.col("centre")), F.lit(0.5)),
-                         F.lit(0.0)).alias("width")))
+    values = materialize(train.select(id_col, F.col(target_col).alias("_y")), "values")
+    centre = materialize(medians(values, id_col, "_y").withColumnRenamed("median", "centre"), "centres")
+    away = values.join(centre, id_col).select(id_col, F.abs(F.col("_y") - F.col("centre")).alias("_away"))
+    return centre.join(medians(away, id_col, "_away"), id_col).select(
+        id_col, "centre", F.nullif("median", F.lit(0.0)).alias("width"))
 
 
 def scale_series(positioned: DataFrame, statistics: DataFrame, id_col: str = ID,

@@ -4,23 +4,38 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import TUNED_PREFIX, result_schema
+from ..session import materialize
 
 PARTITIONS = ["seed", "dataset", "method", "stage"]
 STAGES = ["inner", "outer"]
+# Folder of the commit records beside the partitions; readers of tables skip names with "_".
+COMMITS = "_commits"
 
 
 def write_cv_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write forecasts; partitions present in ``results`` replace older ones.
 
     Rebalancing gathers each partition into few files and still splits one that
-    holds most rows over several tasks.
+    holds most rows over several tasks. Once all files are in place, one small record per
+    partition is written beside them (``COMMITS``), with the number of its files; readers of the
+    listing trust a partition only if all of them are there. Where files are moved one
+    by one, as on object stores, a partition half moved is so never taken for complete.
     """
+    spark = results.sparkSession
+    known = _listing(spark, path)
+    before = None if known is None else materialize(known, "listing")
     rows = results.select([F.col(f.name).cast(f.dataType) for f in result_schema().fields])
     writer = (rows.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy(*PARTITIONS))
     if fmt == "csv":
         writer = writer.option("header", True).option("nullValue", "")
     writer.format(fmt).save(path)
+    # File names are never used twice: partitions with a new one are those of these results.
+    after = materialize(_listing(spark, path), "listing")
+    fresh = after if before is None else after.join(before, "path", "left_anti")
+    records = (after.join(fresh.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").groupBy(*PARTITIONS)
+               .agg(F.count(F.lit(1)).alias("files")).withColumn("at", F.unix_micros(F.current_timestamp())))
+    records.coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/{COMMITS}")
 
 
 def read_cv_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -39,24 +54,44 @@ def strip_model_prefix(model: Column) -> Column:
     return F.regexp_replace(model, f"^{TUNED_PREFIX}", "")
 
 
-def stored_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """(seed, dataset, method, stage) of all result files below ``path``.
-
-    From the file listing alone: no result file is opened. Nothing stored, no rows.
-    """
+def _listing(spark: SparkSession, path: str) -> DataFrame | None:
+    """Path and (seed, dataset, method, stage) of every result file, from the listing alone;
+    None where there is no such folder."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "seed int, dataset string, method string, stage string")
+        return None
 
     def value(name):
         escaped = F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
         return F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
 
-    return files.select(value("seed").cast("int").alias("seed"),
-                        *[value(n).alias(n) for n in PARTITIONS[1:]]).distinct()
+    return files.filter(F.col("path").contains("/stage=")).select(
+        "path", value("seed").cast("int").alias("seed"), *[value(n).alias(n) for n in PARTITIONS[1:]])
+
+
+def stored_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(seed, dataset, method, stage) that are stored in full below ``path``.
+
+    A partition counts if its last commit record names as many files as the listing has: no
+    result file is opened. Nothing stored, or nothing committed, no rows.
+    """
+    schema = "seed int, dataset string, method string, stage string"
+    files = _listing(spark, path)
+    try:
+        records = spark.read.schema(f"{schema}, files bigint, at bigint").json(f"{path.rstrip('/')}/{COMMITS}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        records = None
+    if files is None or records is None:
+        return spark.createDataFrame([], schema)
+    files = files.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("found"))
+    last = records.groupBy(*PARTITIONS).agg(F.max(F.struct("at", "files")).alias("last"))
+    return (files.join(last, PARTITIONS).filter(F.col("found") == F.col("last.files"))
+            .select(*PARTITIONS))
 
 
 def discover_seeds(results: DataFrame) -> DataFrame:

@@ -87,8 +87,10 @@ def test_a_second_run_writes_nothing(spark, tmp_path):
     assert found == {(1, "n+m %x", m, s) for m in ("KFold", "Holdout") for s in ("inner", "outer")}
     more = N.replace(run, only=((1, "KFold"), (1, "MonteCarlo")))
     assert N.resume(rows, more, "n+m %x", path) == 1
-    assert {f: t for f, t in files().items() if "MonteCarlo" not in f and "_SUCCESS" not in f} == {
+    # New are the files of the new method, and the record of them; all others stay as they were.
+    assert {f: t for f, t in files().items() if f in first and "_SUCCESS" not in f} == {
         f: t for f, t in first.items() if "_SUCCESS" not in f}
+    assert all("MonteCarlo" in f or "_commits" in f for f in files().keys() - first.keys())
     plan = S.complete_pairs(S.stored_partitions(spark, path))._jdf.queryExecution().toString()
     assert "binaryFile" in plan and "yhat" not in plan
 

@@ -161,7 +161,10 @@ def scored_steps(names, seeds=SEEDS, inner_part="dev"):
     """Results, their errors per series, and ``errors`` with inner and outer means."""
     return {
         "results": stacked_results(names, seeds), "scales": stacked_scales(names),
-        "named": "SELECT * REPLACE (regexp_replace(model, '^Auto', '') AS model) FROM results",
+        # Runs with both stages only: small panels have methods without any inner test series.
+        "named": "SELECT * REPLACE (regexp_replace(model, '^Auto', '') AS model) FROM results "
+                 "SEMI JOIN (SELECT seed, dataset, method FROM results GROUP BY ALL "
+                 "HAVING count(DISTINCT stage) = 2) USING (seed, dataset, method)",
         "folds": "SELECT seed, dataset, method, fold, unique_id, model, avg(abs(y - yhat)) AS err "
                  "FROM named WHERE stage = 'inner' GROUP BY ALL",
         "inner_series": f"""

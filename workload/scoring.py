@@ -280,7 +280,7 @@ QUERIES["label_names"] = lambda spark, sf: results(spark, sf).select("dataset",
     R.label(F.col("dataset"), R.DATASET_NAMES).alias("dataset"),
     R.label(F.col("method"), R.METHOD_NAMES).alias("method"), "n_rows")
 SQL["label_names"] = _steps + f"""
-SELECT dataset, {METHOD_SQL} AS method, count(*) AS n_rows FROM results GROUP BY ALL"""
+SELECT dataset, {METHOD_SQL} AS method, count(*) AS n_rows FROM named GROUP BY ALL"""
 
 QUERIES["round_report"] = lambda spark, sf: R.round_report(
     model_means(spark, sf), VALUES)

@@ -257,8 +257,9 @@ SQL["scale_series"] = ctes(panel=PANEL["brand_month"], pos=POSITIONS, stats="""
 SELECT unique_id, ds, round((y - c) / w, 6) AS scaled, round((y - c) / w * w + c, 4) AS restored
 FROM pos JOIN stats USING (unique_id)"""
 
-QUERIES["scale_series_robust"] = _scale("robust", "user_day")
-SQL["scale_series_robust"] = ctes(panel=PANEL["user_day"], pos=POSITIONS, centre="""
+for _key, _name in (("scale_series_robust", "user_day"), ("scale_series_robust_hourly", "type_hour")):
+    QUERIES[_key] = _scale("robust", _name)
+    SQL[_key] = ctes(panel=PANEL[_name], pos=POSITIONS, centre="""
   SELECT unique_id, median(y) AS c FROM pos WHERE pos <= n - 6 GROUP BY 1""", stats="""
   SELECT unique_id, any_value(c) AS c, nullif(median(abs(y - c)), 0) AS w
   FROM pos JOIN centre USING (unique_id) WHERE pos <= n - 6 GROUP BY 1""") + """

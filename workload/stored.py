@@ -14,7 +14,7 @@ from panelfold.sources.results import only_complete, read_cv_results, stored_par
 from .nestedsql import SEEDS
 from .panels import PANELS, panel
 
-DATASETS = ["brand_month", "nation_month", "user_day"]
+DATASETS = ["brand_month", "nation_month", "user_day", "type_hour"]
 
 
 def experiment(name: str, seeds=SEEDS) -> N.Experiment:
@@ -62,10 +62,15 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_cv_results(spark, f"{path}/{name}") for name in DATASETS])
 
 
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions that are stored in full, from the listing of files and their records."""
+    path = folder(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [stored_partitions(spark, f"{path}/{name}") for name in DATASETS])
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored forecasts of complete runs, with plain model names."""
-    listing = stored_partitions(spark, folder(spark, sf_dir))
-    return only_complete(stored(spark, sf_dir), listing).withColumn("model", strip_model_prefix(F.col("model")))
+    return only_complete(stored(spark, sf_dir), listing(spark, sf_dir)).withColumn("model", strip_model_prefix(F.col("model")))
 
 
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:

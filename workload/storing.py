@@ -10,7 +10,7 @@ from panelfold.sources import results as R
 from .nestedsql import stacked_results
 from .panels import table
 from .sqltext import ctes
-from .stored import DATASETS, folder, stored
+from .stored import DATASETS, listing, stored
 
 QUERIES, SQL = {}, {}
 
@@ -106,7 +106,7 @@ SELECT stage, model, CASE WHEN starts_with(model, 'Auto') THEN substr(model, 5)
 
 def _listing(spark, sf):
     """Partitions of the stored results, from the listing of files."""
-    return R.stored_partitions(spark, folder(spark, sf))
+    return listing(spark, sf)
 
 
 QUERIES["discover_seeds"] = lambda spark, sf: R.discover_seeds(_listing(spark, sf))
