@@ -13,7 +13,7 @@ from panelfold.session import materialize
 
 # Sets compared with one copy of their partner; bits of a parity map; pairs looked at in one step;
 # rows of one key that a task holds, rows that it takes together.
-PARTNERS, LEAST_WIDTH, MOST_WIDTH, WORK, TILE_ROWS, HELD = 64, 64, 8192, 1 << 19, 1024, 1 << 13
+PARTNERS, LEAST_WIDTH, MOST_WIDTH, WORK, TILE_ROWS, HELD = 64, 64, 2048, 1 << 19, 1024, 1 << 13
 
 
 def least_shared(total, percent: int):

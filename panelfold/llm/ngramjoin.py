@@ -15,8 +15,8 @@ from panelfold.session import materialize
 WIDTH, PERCENT = 5, 80
 TABLE = byte_table(b"\x20\x09\x0A\x0B\x0C\x0D")
 # A shingle of more documents comes last in the order; per cent of a set that is looked at
-# beyond its prefix; sets of one unit.
-COMMON, BEYOND, UNIT_SETS = 256, 10, 8
+# beyond its prefix; sets of one unit; bytes of text taken at once.
+COMMON, BEYOND, UNIT_SETS, PIECE = 256, 10, 8, 1 << 19
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH):
@@ -56,25 +56,25 @@ def looked_at(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + 1 + n * BEYOND // 100)
 
 
-def _digests(codes, ends) -> np.ndarray:
+def digests(codes, ends) -> np.ndarray:
     data = codes.tobytes()
     return np.array([xxhash.xxh64_intdigest(data[8 * i:8 * j]) for i, j in zip(ends[:-1], ends[1:])],
                     np.uint64).view(np.int64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
     values = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def _prints(rows: DataFrame, width: int) -> DataFrame:
+def prints(rows: DataFrame, width: int) -> DataFrame:
     """``doc_id, row_key, set, n`` of every row; ``set`` is a digest of its shingles."""
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             codes, ends = shingle_sets(as_bytes(batch.column(2)), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(_digests(codes, ends)), pa.array(np.diff(ends))],
+                [batch.column(0), batch.column(1), pa.array(digests(codes, ends)), pa.array(np.diff(ends))],
                 names=["doc_id", "row_key", "set", "n"])
 
     return rows.mapInArrow(run, "doc_id bigint, row_key bigint, set bigint, n bigint")
@@ -83,15 +83,15 @@ def _prints(rows: DataFrame, width: int) -> DataFrame:
 def _first_shingles(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """``set, token``: the smallest hashes of every set."""
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             codes, ends = shingle_sets(as_bytes(batch.column(2)), width)
             low = [codes[i:i + looked_at(j - i, percent)] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(_digests(codes, ends)), _lists(low)], names=["set", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests(codes, ends)), lists(low)], names=["set", "low"])
 
     return rows.mapInArrow(run, "set bigint, low array<bigint>").select("set", F.explode("low").alias("token"))
 
 
-def open_sets(prints: DataFrame, rows: DataFrame, width: int, percent: int):
+def open_sets(printed: DataFrame, rows: DataFrame, width: int, percent: int):
     """Sets that may have a near set, and the shingles of over ``COMMON`` rows.
 
     A near set shares all but ``n - needed(n)`` shingles of a set, so a set with more
@@ -105,7 +105,7 @@ def open_sets(prints: DataFrame, rows: DataFrame, width: int, percent: int):
         tokens.where(own | (F.col("c") > COMMON))
         .select(own.alias("own"), F.when(own, F.col("a")).otherwise(F.col("token")).alias("value"))
         .groupBy("own", "value").count(), "shingles")
-    sets = (prints.where("n > 0").groupBy("set")
+    sets = (printed.where("n > 0").groupBy("set")
             .agg(F.max("n").alias("n"),
                  F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("first")))
     lonely = told.where("own").select(F.col("value").alias("set"), F.col("count").alias("own"))
@@ -115,6 +115,22 @@ def open_sets(prints: DataFrame, rows: DataFrame, width: int, percent: int):
     return materialize(may, "open_sets"), told.where("not own").select(F.col("value").alias("hash"))
 
 
+def sets_of(batches, chosen: BitFilter, width: int):
+    """Pieces of (doc_id, row_key, text) whose key the filter lets through, with their shingle sets."""
+    for batch in batches:
+        wanted = chosen(batch.column(1).to_numpy(zero_copy_only=False))
+        for part in pieces([batch.filter(pa.array(wanted))], limit=PIECE):
+            yield part, *shingle_sets(as_bytes(part.column(2)), width)
+
+
+def one_each(found: DataFrame, may: DataFrame) -> DataFrame:
+    """The rows of ``found`` that ``may`` (set, row_key) names, one per set, written."""
+    nodes = materialize(found.join(may, ["set", "row_key"], "left_semi").drop("row_key"), "nodes")
+    if nodes.groupBy("set").count().where("count > 1").isEmpty():
+        return nodes
+    return materialize(nodes.dropDuplicates(["set"]), "nodes")  # rows repeat an id and a text
+
+
 def _nodes(rows: DataFrame, may: DataFrame, common: BitFilter, width: int, percent: int) -> DataFrame:
     """``set, n, group, codes, prefix, bits`` of the open sets, one row each.
 
@@ -124,79 +140,71 @@ def _nodes(rows: DataFrame, may: DataFrame, common: BitFilter, width: int, perce
     chosen = BitFilter(may.select(F.col("row_key").alias("hash")))
 
     def run(batches):
-        for batch in batches:
-            wanted = chosen(batch.column(1).to_numpy(zero_copy_only=False))
-            for part in pieces([batch.filter(pa.array(wanted))]):
-                codes, ends = shingle_sets(as_bytes(part.column(2)), width)
-                late = common(codes)
-                sets, prefixes, groups, bits = [], [], [], []
-                for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    own, last = codes[i:j], late[i:j]
-                    take = j - i - needed(j - i, percent) + 1 if j > i else 0
-                    prefix = own[~last][:take]
-                    prefix = np.concatenate([prefix, own[last][:take - len(prefix)]])
-                    sets.append(own)
-                    prefixes.append(prefix)
-                    groups.append(xxhash.xxh64_intdigest(prefix.tobytes(), j - i))
-                    bits.append(parity(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array(_digests(codes, ends)), pa.array(np.diff(ends)),
-                     pa.array(np.array(groups, np.uint64).view(np.int64)), _lists(sets), _lists(prefixes),
-                     pa.array(bits, pa.binary())],
-                    names=["row_key", "set", "n", "group", "codes", "prefix", "bits"])
-
-    found = rows.mapInArrow(run, "row_key bigint, set bigint, n bigint, `group` bigint, codes array<bigint>, "
-                                 "prefix array<bigint>, bits binary")
-    nodes = materialize(found.join(may, ["set", "row_key"], "left_semi").drop("row_key"), "nodes")
-    if nodes.groupBy("set").count().where("count > 1").isEmpty():
-        return nodes
-    return materialize(nodes.dropDuplicates(["set"]), "nodes")  # rows repeat an id and a text
+        for part, codes, ends in sets_of(batches, chosen, width):
+            late = common(codes)
+            own_sets, prefixes, groups, bits = [], [], [], []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                own, last = codes[i:j], late[i:j]
+                take = j - i - needed(j - i, percent) + 1 if j > i else 0
+                prefix = own[~last][:take]
+                prefix = np.concatenate([prefix, own[last][:take - len(prefix)]])
+                own_sets.append(own)
+                prefixes.append(prefix)
+                groups.append(xxhash.xxh64_intdigest(prefix.tobytes(), j - i))
+                bits.append(parity(own))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(1), pa.array(digests(codes, ends)), pa.array(np.diff(ends)),
+                 pa.array(np.array(groups, np.uint64).view(np.int64)), lists(own_sets), lists(prefixes),
+                 pa.array(bits, pa.binary())],
+                names=["row_key", "set", "n", "group", "codes", "prefix", "bits"])
+
+    return one_each(rows.mapInArrow(run, "row_key bigint, set bigint, n bigint, `group` bigint, "
+                                         "codes array<bigint>, prefix array<bigint>, bits binary"), may)
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """``u, v``: every set with its group's first, every group's first with that of the group
-    which heads most of its prefix lists."""
-    first = materialize(nodes.groupBy("group").agg(F.min("set").alias("rep")), "groups")
-    inside = nodes.select("group", "set").join(first, "group").where("set <> rep").select(
-        F.col("rep").alias("u"), F.col("set").alias("v"))
-    lists = materialize(nodes.select("set", "prefix").join(first.select(F.col("rep").alias("set")), "set")
-                        .select("set", F.explode("prefix").alias("token")), "lists")
-    heads = (lists.groupBy("token").agg(F.min("set").alias("u"), F.max("set").alias("last"))
-             .where("u < last").select("token", "u"))
-    votes = lists.join(heads, "token").where("set <> u").groupBy("set", "u").count()
-    best = votes.groupBy("set").agg(F.max(F.struct("count", "u")).alias("best"))
-    return inside.unionAll(best.select("best.u", F.col("set").alias("v"))).distinct()
+def group_pairs(nodes: DataFrame) -> DataFrame:
+    """``u, v``: every set of a group with the group's first."""
+    first = nodes.groupBy("group").agg(F.min("set").alias("u"), F.count("*").alias("sets")).where("sets > 1")
+    return (nodes.select("group", F.col("set").alias("v")).join(first, "group").where("u <> v")
+            .select("u", "v"))
 
 
 def open_pairs(nodes: DataFrame, labels: DataFrame, forest: bool, percent: int) -> DataFrame:
     """``u, v``: pairs of sets with different labels that may be near.
 
     Units (sets of one group and label) meet in the lists of their prefix shingles; lists
-    of one label are left out, long ones are cut into tiles. Unit pairs go by size and
-    place, then their sets by parity maps; all bounds are exact. With ``forest`` a task
-    sends only pairs that bring labels together.
+    of one label are left out. Unit pairs go by size and place, then their sets by parity
+    maps; all bounds are exact. With ``forest`` a task sends only pairs that bring labels
+    together, and long lists are cut; else they are cut into tiles, so that every two
+    units of a list meet.
     """
     known = nodes.select("set", "n", "group", "prefix", "bits").join(labels, "set")
-    lists = (known.select("label", F.explode("prefix").alias("token")).groupBy("token")
-             .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-             .where("low < high")
-             .select("token", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("tiles")))
-    lists = materialize(lists, "mixed_lists")
-    parts = (known.groupBy("group", "label").agg(F.ceil(F.count("*") / UNIT_SETS).alias("parts"))
-             .where("parts > 1"))
+    parts = (nodes.select("set", "group").join(labels, "set").groupBy("group", "label")
+             .agg(F.ceil(F.count("*") / UNIT_SETS).alias("parts")).where("parts > 1"))
     part = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
-    units = (known.join(parts, ["group", "label"], "left").withColumn("part", part)
-             .groupBy("group", "label", "part")
-             .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.collect_list("set").alias("sets"),
-                  F.collect_list("bits").alias("maps")))
-    block = F.pmod(F.xxhash64("group", "label", "part"), F.col("tiles").cast("bigint")).cast("int")
-    rows = (units.select("group", "label", "part", "n", "sets", "maps",
-                         F.posexplode("prefix").alias("place", "token"))
-            .join(lists, "token").withColumn("block", block)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
-                    (F.col("block") != F.col("other")).alias("cross"), "block", "label", "n", "place", "sets",
-                    "maps"))
+    units = materialize(
+        known.join(parts, ["group", "label"], "left").groupBy("group", "label", part.alias("part"))
+        .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.collect_list("set").alias("sets"),
+             F.collect_list("bits").alias("maps"))
+        .select(F.xxhash64("group", "label", "part").alias("unit"), "label", "n", "prefix", "sets", "maps"), "units")
+    places = units.select("unit", "label", F.posexplode("prefix").alias("place", "token"))
+    mixed = materialize(
+        places.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                    F.count("*").alias("size"))
+        .where("low < high").select("token", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("tiles")), "mixed_lists")
+    block = F.pmod(F.col("unit"), F.col("tiles").cast("bigint")).cast("int")
+    met = places.drop("label").join(mixed, "token").withColumn("block", block)
+    if forest:
+        met = met.select("unit", "place", F.xxhash64("token", "block").alias("key"), F.lit(0).alias("block"),
+                         F.lit(False).alias("cross"))
+    else:
+        met = (met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+               .select("unit", "place", F.xxhash64("token", F.least("block", "other"),
+                                                   F.greatest("block", "other")).alias("key"),
+                       "block", (F.col("block") != F.col("other")).alias("cross")))
+    # The lists are light until here; sets and maps join what is left of them.
+    rows = (met.join(units.drop("prefix"), "unit")
+            .select("key", "cross", "block", "label", "n", "place", "sets", "maps"))
 
     def run(batches):
         for table in whole_keys(batches):
@@ -233,26 +241,23 @@ def open_pairs(nodes: DataFrame, labels: DataFrame, forest: bool, percent: int)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def set_components(nodes: DataFrame, percent: int) -> DataFrame:
-    """``set, component`` of every open set: classes by verified links.
+def set_components(nodes: DataFrame, steps, percent: int) -> DataFrame:
+    """``set, component`` of every node (set, codes): classes by verified links.
 
-    First stars, which connect large groups of copies at the price of their size; then
-    pairs that would connect what is apart; then every pair still apart whose bounds
-    allow a link, but for those that failed. So no link that matters is lost, and
-    no group of copies is written as all its pairs.
+    Every step gives candidate pairs (u, v) for the labels reached so far; pairs that
+    were compared before are not compared again.
     """
     codes = nodes.select("set", "codes")
     labels = nodes.select("set", F.col("set").alias("label"))
     links = tried = None
-    for step in ("stars", "forest", "all"):
-        pairs = star_pairs(nodes) if step == "stars" else open_pairs(nodes, labels, step == "forest", percent)
-        if step == "all":
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+    for step in steps:
+        pairs = step(labels)
+        if tried is not None:
+            ordered = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+            pairs = pairs.join(ordered, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         sure = materialize(verified(pairs, codes, percent), "links")
-        links = sure if links is None else links.unionAll(sure)
-        tried = (pairs if tried is None else tried.unionAll(pairs)).select(
-            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        links, tried = (sure, pairs) if links is None else (links.unionAll(sure), tried.unionAll(pairs))
         found = materialize(components(links), "components")
         labels = materialize(
             nodes.select("set").join(found.withColumnRenamed("node", "set"), "set", "left")
@@ -260,6 +265,16 @@ def set_components(nodes: DataFrame, percent: int) -> DataFrame:
     return labels.select("set", F.col("label").alias("component"))
 
 
+def _classes(nodes: DataFrame, percent: int) -> DataFrame:
+    """First the sets of one group; then pairs that would connect what is apart, which joins
+    large groups of copies at about the price of their size; then every pair still apart
+    whose bounds allow a link. So no link that matters is lost, and no group of copies
+    is written as all its pairs."""
+    return set_components(nodes, [lambda labels: group_pairs(nodes),
+                                  lambda labels: open_pairs(nodes, labels, True, percent),
+                                  lambda labels: open_pairs(nodes, labels, False, percent)], percent)
+
+
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -274,16 +289,16 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row_key"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = materialize(_prints(rows, width), "prints")
-    may, common = open_sets(prints, rows, width, percent)
+    printed = materialize(prints(rows, width), "prints")
+    may, common = open_sets(printed, rows, width, percent)
     nodes = _nodes(rows, may, BitFilter(common), width, percent)
-    classes = set_components(nodes, percent)
+    classes = _classes(nodes, percent)
     named = materialize(
-        prints.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least")).join(classes, "set", "left")
+        printed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least")).join(classes, "set", "left")
         .withColumn("component", F.coalesce("component", "set")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     names = materialize(named.join(least, "component").select("set", "component_id"), "component_ids")
-    full = prints.where("n > 0").join(names, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    bare = prints.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
+    full = printed.where("n > 0").join(names, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    bare = printed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
                                         F.col("doc_id").alias("component_id"))
     return full.unionAll(bare)

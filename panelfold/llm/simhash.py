@@ -8,6 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelfold.llm.components import components
+from panelfold.llm.copies import BitFilter, Forest, ParityMaps, least_shared, parity, whole_keys
+from panelfold.llm.ngramjoin import digests, lists, one_each, open_sets, prints as set_prints, set_components, sets_of
 from panelfold.llm.rows import narrow, widen
 from panelfold.llm.textscan import as_bytes, mix, pieces
 from panelfold.session import materialize
@@ -18,11 +20,13 @@ SPREAD = 4
 # Bits fixed after each routing level, out of 64: every level cuts what is left
 # into four segments, of which two close fingerprints share at least one.
 LEVELS = 5
-# Near copies as ``keep_one`` has them: words of a shingle, least Jaccard, odds that
+# Near copies as ``keep_one`` has them: words of a shingle, least Jaccard in per cent, odds that
 # routing parts a pair just there, fingerprints of a group, and the bits that may
 # differ in the routed fingerprint and in both (three deviations above such a pair's mean).
-COPY_WIDTH, COPY_JACCARD, COPY_MISS, COPY_GROUP = 5, 0.8, 0.005, 512
+COPY_WIDTH, COPY_PERCENT, COPY_MISS, COPY_GROUP = 5, 80, 0.005, 512
 COPY_RADIUS, COPY_BOTH = 19, 32
+# Rows of a group that meet in one task, rows that a task takes together, pairs of one search.
+COPY_TILE, HELD_NODES, INDEX_WORK = 4096, 1 << 14, 1 << 20
 
 
 # ---- fingerprints ---------------------------------------------------------
@@ -307,47 +311,38 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # ---- near copies by exact Jaccard -------------------------------------------
 
-def shingle_codes(text: bytes, width: int = COPY_WIDTH, seed: int = 42) -> np.ndarray:
-    """Distinct hashes of a text's word shingles, sorted; words as in ``simhash``."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) \
-        if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64))
-
-
-def _majority(codes: np.ndarray, block: int = 1 << 16) -> int:
-    ones = np.zeros(64, np.int64)
+def majorities(codes: np.ndarray, ends: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """The fingerprint of each set ``codes[ends[k]:ends[k + 1]]``."""
+    ones = np.zeros((len(ends) - 1, 64), np.int64)
+    rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     for start in range(0, len(codes), block):
-        part = codes[start:start + block]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
-                              bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(codes), bitorder="little").view(np.int64)[0])
+        part, row = codes[start:start + block], rows[start:start + block]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        ones[row[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > np.diff(ends)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def set_prints(docs: DataFrame, keep=("doc_id",), text: str = "text", width: int = COPY_WIDTH) -> DataFrame:
-    """``keep`` columns, ``set`` (a digest of the distinct shingles) and two independent
-    fingerprints ``a`` and ``b`` of them."""
-    keep = list(keep)
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_simhash_text"))
-    schema = docs.select(*keep).withColumns({c: F.lit(0).cast("bigint") for c in ("set", "a", "b")}).schema
+def _copy_nodes(rows: DataFrame, may: DataFrame, width: int) -> DataFrame:
+    """``set, n, codes, bits, a, b`` of the open sets: shingles, their parity map and two
+    independent fingerprints."""
+    chosen = BitFilter(may.select(F.col("row_key").alias("hash")))
 
     def run(batches):
-        for batch in pieces(batches, "_simhash_text"):
-            rows = np.zeros((3, len(batch)), np.int64)
-            for i, each in enumerate(as_bytes(batch.column(len(keep)))):
-                codes = shingle_codes(each, width)
-                digest = np.uint64(xxhash.xxh64_intdigest(codes.tobytes())).view(np.int64)
-                rows[:, i] = digest, _majority(codes), _majority(mix(codes))
+        for part, codes, ends in sets_of(batches, chosen, width):
+            own = [codes[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [pa.array(r) for r in rows],
-                names=[*keep, "set", "a", "b"])
+                [part.column(1), pa.array(digests(codes, ends)), pa.array(np.diff(ends)), lists(own),
+                 pa.array([parity(s) for s in own], pa.binary()),
+                 pa.array(majorities(codes, ends).view(np.int64)),
+                 pa.array(majorities(mix(codes), ends).view(np.int64))],
+                names=["row_key", "set", "n", "codes", "bits", "a", "b"])
 
-    return source.mapInArrow(run, schema)
+    return one_each(rows.mapInArrow(run, "row_key bigint, set bigint, n bigint, codes array<bigint>, bits binary, "
+                                         "a bigint, b bigint"), may)
 
 
-def route_masks(count: int, threshold: float = COPY_JACCARD, miss: float = COPY_MISS) -> list[int]:
+def route_masks(count: int, threshold: float, miss: float = COPY_MISS) -> list[int]:
     """Random bit masks that route ``count`` fingerprints to groups of some hundreds.
 
     Two sets of Jaccard J have fingerprints that differ in a share acos(2J / (1 + J)) / pi
@@ -361,139 +356,110 @@ def route_masks(count: int, threshold: float = COPY_JACCARD, miss: float = COPY_
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(masks)]
 
 
-def copy_pairs(groups, codes, others, labels, forest: bool, work: int = 1 << 20):
-    """Positions (i, j) of one group, with different labels and near in both fingerprints.
+def copy_pairs(nodes: DataFrame, labels: DataFrame, masks: list[int], forest: bool, percent: int) -> DataFrame:
+    """``u, v``: pairs of nodes with different labels that may be near.
 
-    With ``forest`` a pair also joins its labels, so only pairs that connect come out.
+    Masks route fingerprints to groups; groups of one label are left out. A task searches
+    its groups through the Gray-order index; what is near in both fingerprints must also
+    pass the bound of the parity maps, which is exact. With ``forest`` a task sends only pairs
+    that bring labels together, and crowded groups are cut by bits of the other
+    fingerprint; else they are cut into tiles, so that every pair of a group meets.
     """
-    index = GrayIndex(groups, codes)
-    others, labels = others[index.order], np.unique(labels[index.order], return_inverse=True)[1]
-    parent = np.arange(labels.max() + 1 if index.n else 0)
-    queries = np.flatnonzero(index.group_size > 1)
-    cost = np.cumsum(index.group_size[queries])
-    at = 0
-    while at < len(queries):
-        end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + work, "right")))
-        i, j = index.links(_roots(parent)[labels], queries[at:end], COPY_RADIUS)
-        far = np.bitwise_count(index.codes[i] ^ index.codes[j]) + np.bitwise_count(others[i] ^ others[j])
-        i, j = i[far <= COPY_BOTH], j[far <= COPY_BOTH]
-        if forest and len(i):
-            used = []
-            for k, (x, y) in enumerate(zip(labels[i].tolist(), labels[j].tolist())):
-                x, y = _find(parent, x), _find(parent, y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    used.append(k)
-            i, j = i[used], j[used]
-        if len(i):
-            yield index.order[i], index.order[j]
-        at = end
-
-
-def _candidates(nodes: DataFrame, masks: list[int], forest: bool) -> DataFrame:
-    """``(u, v)``: pairs of sets of nodes (set, a, b, label) that may be near copies."""
-    def key(k, mask, code, other):
-        part = F.col(code).bitwiseAND(F.lit(_signed(mask)))
-        return F.struct(F.xxhash64(F.lit(k), part).alias("key"), F.col(code).alias("code"),
-                        F.col(other).alias("other"))
-
-    keys = F.array(*[key(k, m, *(("a", "b") if k % 2 else ("b", "a"))) for k, m in enumerate(masks)])
-    routed = (nodes.select("set", "label", F.explode(keys).alias("r"))
-              .select("r.key", "r.code", "r.other", "set", "label"))
-
-    def pairs(rows):
-        key, code, other, name, label = rows
-        group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-        for i, j in copy_pairs(group, code.view(np.uint64), other.view(np.uint64), label, forest):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(name[i], name[j])), pa.array(np.minimum(name[i], name[j]))],
-                names=["u", "v"])
-
-    def search(batches):
-        held = None
-        for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            held = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
-            if len(held[0]) < 1 << 16:
-                continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
-            if cut:
-                yield from pairs([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield from pairs(held)
-
-    return (routed.repartition("key").sortWithinPartitions("key")
-            .mapInArrow(search, "u bigint, v bigint").distinct())
-
-
-def _verified(found: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs whose texts in ``rows`` have at least ``threshold`` Jaccard of shingles."""
-    ends = found.select(F.col("u").alias("set")).unionAll(found.select(F.col("v").alias("set"))).distinct()
-    wanted = materialize(nodes.select("set", "_digest").join(ends, "set", "left_semi"), "copy_ends")
-    texts = rows.select("_digest", "text").join(wanted, "_digest").dropDuplicates(["set"]).select("set", "text")
+    def key(k, mask):
+        code, other = ("a", "b") if k % 2 else ("b", "a")
+        return F.struct(F.xxhash64(F.lit(k), F.col(code).bitwiseAND(F.lit(_signed(mask)))).alias("key"),
+                        F.lit(k).alias("k"))
+
+    routed = (nodes.select("set", "a", "b").join(labels, "set")
+              .withColumn("r", F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])))
+              .select("set", "label", "b", "r.key", (F.col("r.k") % 2 == 1).alias("odd")))
+    mixed = materialize(
+        routed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                  F.count("*").alias("size"))
+        .where("low < high").select("key", F.ceil(F.col("size") / COPY_TILE).cast("int").alias("tiles")), "mixed_groups")
+    met = routed.join(mixed, "key")
+    if forest:
+        cut = F.pmod(F.xxhash64(F.col("b").bitwiseAND(F.lit(0xFF))), F.col("tiles").cast("bigint"))
+        met = met.select("set", "odd", F.xxhash64("key", cut).alias("key"), F.lit(0).alias("block"),
+                         F.lit(False).alias("cross"))
+    else:
+        block = F.pmod(F.xxhash64("set"), F.col("tiles").cast("bigint")).cast("int")
+        met = (met.withColumn("block", block).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+               .select("set", "odd", F.xxhash64("key", F.least("block", "tile"), F.greatest("block", "tile")).alias("key"),
+                       "block", (F.col("block") != F.col("tile")).alias("cross")))
+    # The groups are light until here; fingerprints and maps join what is left of them.
+    rows = (met.join(nodes.select("set", "n", "bits", "a", "b").join(labels, "set"), "set")
+            .withColumns({"code": F.when(F.col("odd"), F.col("a")).otherwise(F.col("b")),
+                          "other": F.when(F.col("odd"), F.col("b")).otherwise(F.col("a"))}))
+    rows = rows.select("key", "code", "other", "set", "label", "n", "block", "cross", "bits")
 
     def run(batches):
-        for batch in pieces(batches):
-            codes = [shingle_codes(t, width).view(np.int64) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["set", "codes"])
-
-    codes = materialize(texts.mapInArrow(run, "set bigint, codes array<bigint>"), "copy_codes")
-    x = codes.select(F.col("set").alias("u"), F.col("codes").alias("x"))
-    y = codes.select(F.col("set").alias("v"), F.col("codes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return (found.join(x, "u").join(y, "v")
-            .where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9).select("u", "v"))
-
-
-def copy_components(prints: DataFrame, rows: DataFrame, width: int = COPY_WIDTH,
-                    threshold: float = COPY_JACCARD) -> DataFrame:
-    """``(set, component)`` of every distinct set of shingles in ``prints``.
-
-    Two rounds: links that connect each group of near fingerprints, verified; then every
-    pair that is near and still apart. So a large group of copies costs about its
-    size, and a false link in the first round hides no pair.
-    """
-    nodes = materialize(prints.groupBy("set").agg(F.first("a").alias("a"), F.first("b").alias("b"),
-                                                  F.min("_digest").alias("_digest")), "copy_nodes")
-    masks = route_masks(nodes.count(), threshold)
-    labels = nodes.withColumn("label", F.col("set"))
-    links, found = None, None
-    for forest in (True, False):
-        near = materialize(_candidates(labels, masks, forest), "copy_pairs")
-        sure = materialize(_verified(near, nodes, rows, width, threshold), "copy_links")
-        links = sure if links is None else links.unionAll(sure)
-        found = materialize(components(links), "copy_components")
-        labels = (nodes.join(found.withColumnRenamed("node", "set"), "set", "left")
-                  .withColumn("label", F.coalesce("component", "set")))
-    return labels.select("set", F.col("label").alias("component"))
-
-
-def keep_one(docs: DataFrame, width: int = COPY_WIDTH, threshold: float = COPY_JACCARD) -> DataFrame:
+        for table in whole_keys(batches, HELD_NODES):
+            keys, code, other, name, label, n, block, cross = (table.column(i).to_numpy() for i in range(8))
+            group = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
+            index = GrayIndex(group, code.view(np.uint64))
+            o = index.order
+            other, name, label, n, block, cross = (x[o] for x in (other, name, label, n, block, cross))
+            bits = table.column(8).to_pylist()
+            maps, trees = ParityMaps([bits[k] for k in o.tolist()]), Forest(label)
+            queries = np.flatnonzero(index.group_size > 1)
+            cost = np.cumsum(index.group_size[queries])
+            at = 0
+            while at < len(queries):
+                end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + INDEX_WORK, "right")))
+                i, j = index.links(trees.roots() if forest else trees.of, queries[at:end], COPY_RADIUS)
+                at = end
+                far = (np.bitwise_count(index.codes[i] ^ index.codes[j])
+                       + np.bitwise_count(other[i].view(np.uint64) ^ other[j].view(np.uint64)))
+                keep = ((far <= COPY_BOTH) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+                        & (~cross[i] | (block[i] != block[j])))
+                i, j = i[keep], j[keep]
+                total = n[i] + n[j]
+                near = maps.differ(i, j) <= total - 2 * least_shared(total, percent)
+                i, j = i[near], j[near]
+                if forest:
+                    used = trees.join(i, j)
+                    i, j = i[used], j[used]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j]))],
+                        names=["u", "v"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def keep_one(docs: DataFrame, width: int = COPY_WIDTH, percent: int = COPY_PERCENT) -> DataFrame:
     """The documents, one of each group of near copies, with all their columns.
 
-    Near copies share at least ``threshold`` (Jaccard) of their distinct shingles of ``width``
-    words, exactly verified; groups are connected. Candidates come from fingerprints
-    (``route_masks``), so a pair just at the threshold can be missed. The row with the
-    smallest doc_id stays, of rows that repeat it the one with the smallest digest
-    of all columns, and of equal rows one. A row without doc_id stays only where its
-    group has no id at all.
+    Near copies share at least ``percent`` of a hundred (Jaccard) of their distinct shingles of
+    ``width`` words, exactly verified; groups are connected. Only sets that share enough
+    shingles with others at all are looked at (``ngramjoin.open_sets``, no near copy is
+    lost there); candidates come from fingerprints (``route_masks``), so a pair just at
+    the threshold can be missed. The row with the smallest doc_id stays, of rows that
+    repeat it the one with the smallest digest of all columns, and of equal rows one. A
+    row without doc_id stays only where its group has no id at all. Texts without words
+    are one group.
     """
     columns = docs.columns
     rows = narrow(docs, "doc_id", "text")
     rows = rows.withColumn("_digest", F.xxhash64("doc_id", "text", "_rest"))
-    prints = materialize(set_prints(rows, keep=("doc_id", "_digest"), width=width), "copy_prints")
-    named = materialize(copy_components(prints, rows, width, threshold), "named")
-    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_digest")
-    kept = prints.join(named, "set").groupBy("component").agg(F.min(first).alias("k"))
-    kept = materialize(kept.select(F.col("k.doc_id").alias("kept_id"),
-                                   F.col("k._digest").alias("kept_digest")), "kept")
-    same = (rows._digest == F.col("kept_digest")) & rows.doc_id.eqNullSafe(F.col("kept_id"))
+    texts = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_digest").alias("row_key"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    prints = materialize(set_prints(texts, width), "copy_prints")
+    may, _ = open_sets(prints, texts, width, percent)
+    nodes = _copy_nodes(texts, may, width)
+    masks = route_masks(nodes.count(), percent / 100)
+    # Links that connect groups of copies first; then every pair that is near and still apart.
+    named = set_components(nodes, [lambda labels: copy_pairs(nodes, labels, masks, True, percent),
+                                   lambda labels: copy_pairs(nodes, labels, masks, False, percent)], percent)
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")
+    leading = prints.groupBy("set").agg(F.min(first).alias("k")).join(named, "set", "left")
+    kept = leading.groupBy(F.coalesce("component", "set")).agg(F.min("k").alias("k"))
+    kept = materialize(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.row_key").alias("kept_digest")), "kept")
+    same = (rows._digest == F.col("kept_digest")) & rows.doc_id.cast("bigint").eqNullSafe(F.col("kept_id"))
     out = rows.join(kept, same, "left_semi")
-    again = materialize(prints.groupBy("doc_id", "_digest").count().where("count > 1")
-                        .select(F.col("doc_id").alias("kept_id"),
-                                F.col("_digest").alias("kept_digest")), "again")
+    again = materialize(prints.groupBy("doc_id", "row_key").count().where("count > 1")
+                        .select(F.col("doc_id").alias("kept_id"), F.col("row_key").alias("kept_digest")), "again")
     if not again.isEmpty():
         once = out.join(again, same, "left_anti")
         out = once.unionAll(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))

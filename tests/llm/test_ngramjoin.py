@@ -102,8 +102,7 @@ def test_texts_of_one_wording_below_the_threshold_send_few_pairs(spark):
                for a, b in combinations([shingles(t) for _, t in rows[:60]], 2))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row_key", F.xxhash64("doc_id", "text"))
     rows_ = docs.select("doc_id", "row_key", "text")
-    prints = ngramjoin._prints(rows_, 5)
-    may, common = ngramjoin.open_sets(prints, rows_, 5, 80)
+    may, common = ngramjoin.open_sets(ngramjoin.prints(rows_, 5), rows_, 5, 80)
     nodes = ngramjoin._nodes(rows_, may, copies.BitFilter(common), 5, 80)
     labels = nodes.select("set", F.col("set").alias("label"))
     sent = ngramjoin.open_pairs(nodes, labels, False, 80).count()

@@ -7,7 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from panelfold.llm import mixing, passages
-from tests.llm import test_containment, test_simhash, test_tokens
+from tests.llm import test_containment, test_ngramjoin, test_tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,9 +36,10 @@ def test_stages(spark, tmp_path):
     judged = [quality[r["doc_id"]] == (r["doc_id"] in kept) for r in whole if r["doc_id"] in quality]
     assert np.mean(judged) > 0.95
 
-    codes = np.array([test_simhash.brute_print(r["text"]) for r in frames[0]], np.uint64)
-    groups = test_simhash.brute_groups(codes, [r["doc_id"] for r in frames[0]])
-    assert sorted(r["doc_id"] for r in frames[1]) == sorted(set(groups))
+    groups = test_ngramjoin.brute([(r["doc_id"], r["text"]) for r in frames[0]])
+    assert sorted(r["doc_id"] for r in frames[1]) == sorted({least for _, n, least in groups if n}
+                                                            | set([min(i for i, n, _ in groups if not n)] if any(
+                                                                not n for _, n, _ in groups) else []))
 
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
     bad = {d for d, *_ in test_containment.brute([(r["doc_id"], r["text"]) for r in frames[1]], items)}
