@@ -65,7 +65,8 @@ def parse(page: str) -> list[Node]:
     """
     root = Node("#page", None)
     nodes, here = [root], root
-    inline: list[str] = []
+    inline: Counter[str] = Counter()
+    inside: Counter[str] = Counter()  # names of the open elements
     parts: list[str] = []
     linked = at = 0
 
@@ -85,21 +86,28 @@ def parse(page: str) -> list[Node]:
     def pop_to(names, fences=()):
         """Close the innermost open element of ``names`` unless a fence lies before it."""
         nonlocal here
+        if not any(inside[name] for name in names):
+            return
         node = here
         while node.parent is not None and node.tag not in names:
             if node.tag in fences:
                 return
             node = node.parent
         if node.parent is not None:
-            here = node.parent
+            while here is not node.parent:
+                inside[here.tag] -= 1
+                here = here.parent
 
-    end = len(page)
+    end, last = len(page), page.rfind(">")
     while at < end:
-        found = _TAG.search(page, at)
+        # Behind the last ">" no tag ends: only a comment may still begin.
+        found = _TAG.search(page, at) if at <= last else None
         stop = found.start() if found else end
+        if not found and (comment := page.find("<!--", at)) >= 0:
+            stop = comment
         if stop > at:
             parts.append(page[at:stop])
-            if "a" in inline:
+            if inline["a"]:
                 linked += stop - at
         if not found:
             break
@@ -111,11 +119,9 @@ def parse(page: str) -> list[Node]:
         closing, attributes = found.group(1) or found.group(4), found.group(3) or found.group(6) or ""
         if name in INLINE:
             if not closing and not attributes.endswith("/"):
-                inline.append(name)
-            elif closing and name in inline:
-                inline.reverse()
-                inline.remove(name)
-                inline.reverse()
+                inline[name] += 1
+            elif closing and inline[name]:
+                inline[name] -= 1
             continue
         close_block()
         if closing:
@@ -141,6 +147,7 @@ def parse(page: str) -> list[Node]:
             at = closed.end() if closed else end
         elif not attributes.endswith("/"):
             here = node
+            inside[name] += 1
     close_block()
     return nodes
 
@@ -150,11 +157,11 @@ def features(node: Node) -> list[str]:
         known = [f"word:{w}" for w in node.words if w in ASIDE_WORDS or w in TEXT_WORDS]
         other = [f"class:{sum(map(ord, w)) * 31 % 509}" for w in node.words
                  if w not in ASIDE_WORDS and w not in TEXT_WORDS]
-        return [f"tag:{node.tag}"[:40], *known, *other[:8]]
+        return [f"tag:{node.tag}"[:40], *known, *other]
     text = node.text
     words = text.count(" ") + 1
     return [f"in:{node.parent.tag}"[:40], f"words:{min(6, words.bit_length())}", f"links:{round(3 * node.linked)}",
-            f"stop:{text[-1] in '.!?:'}", f"mark:{'©' in text or '|' in text[:80]}"]
+            f"stop:{text[-1] in '.!?:'}", f"mark:{'©' in text or '|' in text}"]
 
 
 def label(nodes: list[Node], known: str) -> None:

@@ -90,3 +90,18 @@ def test_odd_pages(spark, model):
     assert pagetext.extract(pages.limit(0), model).count() == 0
     none = pagetext.train(pages.limit(0).select("html", F.lit("x").alias("text")))
     assert none.text(PAGE) == WANTED
+
+
+def test_damaged_pages_take_linear_time():
+    import time
+    for page in ("<a " * 350_000, "<div>" * 100_000 + "</zz>" * 100_000, "<b>x" * 250_000,
+                 "<p>shown</p>" + "<a " * 300_000 + "<!-- hidden"):
+        start = time.perf_counter()
+        nodes = pagetext.parse(page)
+        assert time.perf_counter() - start < 15
+        assert not any(n.text and "hidden" in n.text for n in nodes)
+
+
+def test_all_class_names_of_an_element_count():
+    node = pagetext.Node("div", None, tuple(f"name{chr(97 + k)}" for k in range(20)))
+    assert sum(f.startswith("class:") for f in pagetext.features(node)) == 20
