@@ -1,6 +1,8 @@
 """Phrases that occur together more often than their parts, counted with double-array tries."""
 
+import pickle
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,8 @@ from panelfold.session import materialize
 LONGEST, LEAST, TOP = 5, 100, 2000
 TABLE = byte_table(b"\x20\x09", b".,;:!?\x0A\x0B\x0C\x0D")
 # Entries a task holds before it sends them on; keys of one broadcast; candidates of one trie;
-# tries and key lists that a task holds at once; word pairs counted before they are sent.
-HELD, KEYS, CANDIDATES, AT_ONCE, PAIRS = 1 << 17, 1 << 20, 1 << 17, 4, 1 << 21
+# tries that a task holds at once; word pairs counted before they are sent.
+HELD, KEYS, CANDIDATES, AT_ONCE, PAIRS = 1 << 17, 1 << 20, 1 << 16, 16, 1 << 21
 # A slice of the pair buckets, and words of the corpus per bucket.
 SLICE_BITS, WORDS_PER_BUCKET = 16, 8
 
@@ -113,19 +115,42 @@ class KeySet:
 
 # ---- word pairs: an upper bound of their counts ---------------------------------
 
-def _pairs(words: Words, keys: np.ndarray, bits: int):
-    """Where a word joins the next one, and the bucket of such a pair."""
+def _pairs(words: Words, keys: np.ndarray):
+    """Where a word joins the next one, and the hash of such a pair."""
     at = np.flatnonzero(words.joins)
-    both = mix(keys[at] * np.uint64(3) + keys[at + 1]) if len(at) else keys[:0]
-    return at, both >> np.uint64(64 - bits)
+    return at, mix(keys[at] * np.uint64(3) + keys[at + 1]) if len(at) else keys[:0]
 
 
-def frequent_buckets(docs: DataFrame, frequent: KeySet, bits: int, least: int) -> DataFrame:
-    """``key``: buckets in which pairs of frequent words occur at least ``least`` times.
+def _bucket(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return pairs >> np.uint64(64 - bits)
 
-    A pair counts at most as often as its bucket (Park, Chen and Yu 1995). Tasks count
-    buckets themselves and send compact slices; their number grows with the corpus, so
-    that a slice stays bounded. Counts stop at 255, which is beyond any ``least`` allowed.
+
+def _likely(words: Words, keys: np.ndarray, frequent: KeySet, buckets: KeySet, bits: int):
+    """Places and hashes of the pairs of frequent words that lie in a frequent bucket."""
+    at, pairs = _pairs(words, keys)
+    likely = buckets(_bucket(pairs, bits))
+    at, pairs = at[likely], pairs[likely]
+    often = frequent(np.r_[keys[at], keys[at + 1]]) if len(at) else np.zeros(0, bool)
+    often = often[:len(at)] & often[len(at):]
+    return at[often], pairs[often]
+
+
+def _triples(keys: np.ndarray, at: np.ndarray, pairs: np.ndarray):
+    """Where one likely pair follows another, and the hash of the three words."""
+    good = np.zeros(len(keys) + 2, bool)
+    good[at] = True
+    on = good[at + 1]
+    at, pairs = at[on], pairs[on]
+    return at, mix(pairs * np.uint64(5) + keys[at + 2]) if len(at) else pairs
+
+
+def frequent_buckets(docs: DataFrame, hashes, bits: int, least: int) -> DataFrame:
+    """``key``: buckets into which at least ``least`` of the hashes fall.
+
+    ``hashes`` gives the hashes of a piece's word groups (words, keys). A group occurs at most as
+    often as its bucket (Park, Chen and Yu 1995). Tasks count buckets themselves and
+    send compact slices; their number grows with the corpus, so that a slice stays
+    bounded. Counts stop at 255, which is beyond any ``least`` allowed.
     """
     if least > 255:
         raise ValueError("local counts stop at 255")
@@ -148,9 +173,7 @@ def frequent_buckets(docs: DataFrame, frequent: KeySet, bits: int, least: int) -
     def run(batches):
         held, size = [], 0
         for words, keys, _ in _read(batches):
-            at, bucket = _pairs(words, keys, bits)
-            often = frequent(keys)
-            bucket = bucket[often[at] & often[at + 1]] if len(at) else bucket
+            bucket = _bucket(hashes(words, keys), bits)
             if len(bucket):
                 held.append(bucket)
                 size += len(bucket)
@@ -173,41 +196,43 @@ def frequent_buckets(docs: DataFrame, frequent: KeySet, bits: int, least: int) -
 
 # ---- candidates -----------------------------------------------------------------
 
-def candidates(docs: DataFrame, frequent: KeySet, buckets: KeySet, bits: int, longest: int) -> DataFrame:
-    """Distinct ``lang, phrase (UTF-8 bytes)`` of two and more words that may be frequent: all
-    words are, and every pair within lies in a frequent bucket."""
+def candidates(docs: DataFrame, frequent: KeySet, pairs_in: KeySet, triples_in: KeySet, bits: int,
+               longest: int) -> DataFrame:
+    """Distinct ``lang, phrase (UTF-8 bytes), pair`` of two and more words that may be frequent:
+    all words are, and every pair and triple within lies in a frequent bucket. ``pair`` is the
+    hash of the first two words."""
     def sent(held):
         for lang, phrases in held.items():
             if phrases:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(list(phrases), pa.binary())],
-                    names=["lang", "phrase"])
+                    [pa.array([lang] * len(phrases), pa.string()), pa.array(list(phrases), pa.binary()),
+                     pa.array(np.array(list(phrases.values()), np.uint64).view(np.int64))],
+                    names=["lang", "phrase", "pair"])
 
     def run(batches):
-        held = defaultdict(set)
+        held = defaultdict(dict)
         for words, keys, langs in _read(batches):
-            at, bucket = _pairs(words, keys, bits)
-            at = at[buckets(bucket)]
-            often = frequent(np.r_[keys[at], keys[at + 1]]) if len(at) else np.zeros(0, bool)
-            at = at[often[:len(at)] & often[len(at):]]
+            at, pairs = _likely(words, keys, frequent, pairs_in, bits)
+            first, triples = _triples(keys, at, pairs)
             good = np.zeros(len(keys) + longest, bool)
-            good[at] = True
+            good[first[triples_in(_bucket(triples, bits))]] = True
             for width in range(2, longest + 1):
                 if width > 2:
-                    at = at[good[at + width - 2]]
+                    at, pairs = at[good[at + width - 3]], pairs[good[at + width - 3]]
                 if not len(at):
                     break
                 code = keys[at]
                 for k in range(1, width):
                     code = mix(code * np.uint64(5) + keys[at + k])
-                for i in at[np.unique(code, return_index=True)[1]].tolist():
-                    held[langs[words.row[i]]].add(words.text(i, i + width - 1))
+                new = np.unique(code, return_index=True)[1]
+                for i, pair in zip(at[new].tolist(), pairs[new].tolist()):
+                    held[langs[words.row[i]]][words.text(i, i + width - 1)] = pair
             if sum(map(len, held.values())) > HELD:
                 yield from sent(held)
                 held.clear()
         yield from sent(held)
 
-    return _named(docs).mapInArrow(run, "lang string, phrase binary").distinct()
+    return _named(docs).mapInArrow(run, "lang string, phrase binary, pair bigint").distinct()
 
 
 class Trie:
@@ -217,6 +242,8 @@ class Trie:
     ``place`` of a state is the phrase's number, -1 where no phrase ends.
     """
 
+    PARTS = ("vocabulary", "base", "check", "place")
+
     def __init__(self, phrases: list[np.ndarray]):
         self.vocabulary = np.unique(np.concatenate(phrases)) if phrases else np.zeros(0, np.uint64)
         self.phrases = len(phrases)
@@ -236,36 +263,42 @@ class Trie:
             total += len(pairs)
         parents, words = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parents, words))
         self._lay(parents, words, total, width)
-        self.place = np.full(len(self.check), -1, np.int64)
+        self.place = np.full(len(self.check), -1, np.int32)
         self.place[self.slot[ends]] = np.arange(len(phrases))
         del self.slot
 
+    def dump(self) -> bytes:
+        return pickle.dumps((self.phrases, [getattr(self, part) for part in self.PARTS]))
+
+    @classmethod
+    def load(cls, data: bytes) -> "Trie":
+        trie = cls.__new__(cls)
+        trie.phrases, parts = pickle.loads(data)
+        for name, part in zip(cls.PARTS, parts):
+            setattr(trie, name, part)
+        return trie
+
     def _lay(self, parents, words, total, width):
-        """Give every node a slot: the root's children first, large families by first fit,
-        only children into what is free."""
+        """Give every node a slot: large families first, only children into what is free."""
         order = np.argsort(parents, kind="stable")
         parents, words, child = parents[order], words[order], order + 1
         first = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]]) if len(parents) else np.zeros(0, np.int64)
         size = np.diff(np.r_[first, len(parents)])
-        used = np.zeros(2 * (width + total), bool)
+        # Probes are random and the table is sparse, so a family needs few of them.
+        used = np.zeros(3 * (width + total), bool)
+        probe = np.random.default_rng(1)
         self.slot, base = np.zeros(total, np.int64), np.zeros(total, np.int64)
         used[0] = True
-        cursor = 1
         for k in np.argsort(-size, kind="stable"):
             if size[k] == 1:
                 break
             own = words[first[k]:first[k] + size[k]]
-            start = 0 if parents[first[k]] == 0 else cursor
-            while True:
-                if start + own[-1] >= len(used):
-                    used = np.r_[used, np.zeros(len(used), bool)]
-                if not used[start + own].any():
-                    break
-                start += 1 + int(start * 7 % 13)
+            start = 0
+            while used[start + own].any():
+                start = int(probe.integers(len(used) - width))
             used[start + own] = True
             base[parents[first[k]]] = start
             self.slot[child[first[k]:first[k] + size[k]]] = start + own
-            cursor = (start + 1) if size[k] < 64 else cursor
         single = first[size == 1]
         free = np.flatnonzero(~used)
         if len(free) < len(single):
@@ -274,37 +307,35 @@ class Trie:
         base[parents[single]] = free - words[single]
         self.slot[child[single]] = free
         top = int(max(self.slot.max(initial=0), base.max(initial=0)) + width + 1)
-        check = np.full(top, -1, np.int64)
+        check = np.full(top, -1, np.int32)
         owner = np.zeros(total, np.int64)
         owner[child] = parents
         check[self.slot[1:]] = self.slot[owner[1:]]
-        self.base = np.zeros(top, np.int64)
+        self.base = np.zeros(top, np.int32)
         self.base[self.slot] = base
         self.base[0] = base[0]
         self.check = check
 
-    def count(self, keys: np.ndarray, joins: np.ndarray) -> np.ndarray:
-        """Occurrences of every phrase in a run of words: all places advance together."""
+    def count(self, keys: np.ndarray, joins: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of every phrase that begin at places ``at`` of a run of words: all
+        places advance together, one word at a time."""
         counts = np.zeros(self.phrases, np.int64)
-        if not self.phrases or not len(keys):
+        if not self.phrases:
             return counts
-        ids = np.searchsorted(self.vocabulary, keys)
-        ids = np.where(self.vocabulary[np.minimum(ids, len(self.vocabulary) - 1)] == keys, ids + 1, 0)
-        at = np.flatnonzero(ids)
         state = np.zeros(len(at), np.int64)
-        while True:
-            following = self.base[state] + ids[at]
+        while len(at):
+            word = np.searchsorted(self.vocabulary, keys[at])
+            known = self.vocabulary[np.minimum(word, len(self.vocabulary) - 1)] == keys[at]
+            at, state, word = at[known], state[known], word[known] + 1
+            following = self.base[state] + word
             fits = (following >= 0) & (following < len(self.check))
-            fits[fits] = (self.check[following[fits]] == state[fits])
+            fits[fits] = self.check[following[fits]] == state[fits]
             at, state = at[fits], following[fits]
-            if not len(at):
-                return counts
             ended = self.place[state]
             counts += np.bincount(ended[ended >= 0], minlength=self.phrases)
             on = joins[at]
             at, state = at[on] + 1, state[on]
-            known = ids[at] > 0
-            at, state = at[known], state[known]
+        return counts
 
 
 def _phrase_keys(langs, phrases) -> list[np.ndarray]:
@@ -314,46 +345,67 @@ def _phrase_keys(langs, phrases) -> list[np.ndarray]:
     return np.split(keys, np.cumsum(np.bincount(found.row, minlength=len(langs)))[:-1])
 
 
-def phrase_counts(docs: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
+def _tries(chosen: DataFrame) -> DataFrame:
+    """``chunk, part, trie``: the tries of the chosen phrases, built where the phrases are."""
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        trie = Trie(_phrase_keys(rows["lang"], map(bytes, rows["phrase"])))
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": rows["part"].iloc[:1], "trie": [trie.dump()]})
+
+    return chosen.groupBy("chunk", "part").applyInPandas(build, "chunk int, part int, trie binary")
+
+
+def phrase_counts(docs: DataFrame, chosen: DataFrame, buckets: KeySet, bits: int, least: int) -> DataFrame:
     """``lang, phrase, a`` of the candidates that occur at least ``least`` times.
 
-    Candidates are cut into tries of about ``CANDIDATES`` phrases, so a broadcast is
-    bounded; a pass over the texts counts ``AT_ONCE`` of them. The number of passes
-    grows with the candidates.
+    Candidates are cut into tries of about ``CANDIDATES`` phrases by their first two words,
+    so a broadcast is bounded and a place in a text meets one trie (more, where over
+    twice that many phrases begin alike). A pass over the texts takes ``AT_ONCE`` tries; passes
+    grow with the candidates.
     """
     spark = docs.sparkSession
     chosen = materialize(chosen, "candidates")
     chunks = max(1, -(-chosen.count() // CANDIDATES))
-    chosen = materialize(
-        chosen.withColumn("chunk", F.pmod(F.xxhash64("lang", "phrase"), F.lit(chunks)).cast("int"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy("lang", "phrase")) - 1),
-        "chunks")
-    sums = None
-    for start in range(0, chunks, AT_ONCE):
+    chosen = materialize(chosen.withColumn(
+        "chunk", F.pmod(F.shiftrightunsigned("pair", 33), F.lit(chunks)).cast("int")), "chunks")
+    sizes = chosen.groupBy("chunk").agg(F.ceil(F.count("*") / (2 * CANDIDATES)).alias("parts"))
+    chosen = (chosen.join(sizes, "chunk")
+              .withColumn("part", F.pmod(F.xxhash64("lang", "phrase"), F.col("parts")).cast("int"))
+              .withColumn("place", F.row_number().over(
+                  Window.partitionBy("chunk", "part").orderBy("lang", "phrase")) - 1))
+    chosen = materialize(chosen.select("chunk", "part", "place", "lang", "phrase"), "numbered")
+    built = materialize(_tries(chosen), "tries")
+    names = sorted((r["chunk"], r["part"]) for r in built.select("chunk", "part").collect())
+    sums = []
+    for start in range(0, len(names), AT_ONCE):
         tries = []
-        for chunk in range(start, min(start + AT_ONCE, chunks)):
-            rows = chosen.where(F.col("chunk") == chunk).orderBy("place").select("lang", "phrase").toPandas()
-            tries.append((chunk, spark.sparkContext.broadcast(Trie(_phrase_keys(rows["lang"], map(bytes, rows["phrase"]))
-                                                                   if len(rows) else []))))
+        for chunk, part in names[start:start + AT_ONCE]:
+            row = built.where((F.col("chunk") == chunk) & (F.col("part") == part)).select("trie").first()
+            tries.append((chunk, part, spark.sparkContext.broadcast(bytes(row["trie"]))))
 
         def run(batches, tries=tries):
-            totals = [np.zeros(t.value.phrases, np.int64) for _, t in tries]
+            held = [(chunk, part, Trie.load(data.value)) for chunk, part, data in tries]
+            totals = [np.zeros(trie.phrases, np.int64) for _, _, trie in held]
             for words, keys, _ in _read(batches):
-                for total, (_, trie) in zip(totals, tries):
-                    total += trie.value.count(keys, words.joins)
-            for total, (chunk, _) in zip(totals, tries):
+                at, pairs = _pairs(words, keys)
+                likely = buckets(_bucket(pairs, bits))
+                at, chunk_of = at[likely], (pairs[likely] >> np.uint64(33)) % np.uint64(chunks)
+                for total, (chunk, _, trie) in zip(totals, held):
+                    total += trie.count(keys, words.joins, at[chunk_of == chunk])
+            for total, (chunk, part, _) in zip(totals, held):
                 found = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), chunk, np.int32)), pa.array(found.astype(np.int32)),
-                     pa.array(total[found])], names=["chunk", "place", "a"])
+                    [pa.array(np.full(len(found), chunk, np.int32)), pa.array(np.full(len(found), part, np.int32)),
+                     pa.array(found.astype(np.int32)), pa.array(total[found])], names=["chunk", "part", "place", "a"])
 
-        part = (_named(docs).mapInArrow(run, "chunk int, place int, a bigint")
-                .groupBy("chunk", "place").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
-        part = materialize(part, "phrase_counts")
-        for _, trie in tries:
-            trie.unpersist()
-        sums = part if sums is None else sums.unionAll(part)
-    return chosen.join(sums, ["chunk", "place"]).select("lang", "phrase", "a")
+        counted = (_named(docs).mapInArrow(run, "chunk int, part int, place int, a bigint")
+                   .groupBy("chunk", "part", "place").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+        sums.append(materialize(counted, "phrase_counts"))
+        for _, _, data in tries:
+            data.unpersist()
+    if not sums:
+        return chosen.select("lang", "phrase", F.lit(0).cast("bigint").alias("a"))
+    return chosen.join(reduce(DataFrame.unionAll, sums), ["chunk", "part", "place"]).select("lang", "phrase", "a")
 
 
 # ---- scores -----------------------------------------------------------------------
@@ -405,8 +457,20 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     bits = int(np.clip(np.ceil(np.log2(max(total, 1) / WORDS_PER_BUCKET)), SLICE_BITS, 48))
     often = materialize(words.where(F.col("n") >= least), "frequent_words")
     frequent = KeySet(spark, _keyed(often))
-    buckets = KeySet(spark, frequent_buckets(docs, frequent, bits, least))
-    found = materialize(phrase_counts(docs, candidates(docs, frequent, buckets, bits, longest), least), "phrases")
+
+    def pairs(words, keys):
+        at, found = _pairs(words, keys)
+        known = frequent(keys)
+        return found[known[at] & known[at + 1]] if len(at) else found
+
+    pairs_in = KeySet(spark, frequent_buckets(docs, pairs, bits, least))
+
+    def triples(words, keys):
+        return _triples(keys, *_likely(words, keys, frequent, pairs_in, bits))[1]
+
+    triples_in = KeySet(spark, frequent_buckets(docs, triples, bits, least))
+    chosen = candidates(docs, frequent, pairs_in, triples_in, bits, longest)
+    found = materialize(phrase_counts(docs, chosen, pairs_in, bits, least), "phrases")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return (scored(found, often, totals).withColumn("rank", place.cast("bigint")).where(F.col("rank") <= top)
             .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
