@@ -17,8 +17,8 @@ from panelfold.session import materialize
 LONGEST, LEAST, TOP = 5, 100, 2000
 TABLE = byte_table(b"\x20\x09", b".,;:!?\x0A\x0B\x0C\x0D")
 # Entries a task holds before it sends them on; keys of one broadcast; candidates of one trie;
-# tries that a task holds at once; word pairs counted before they are sent.
-HELD, KEYS, CANDIDATES, AT_ONCE, PAIRS = 1 << 17, 1 << 20, 1 << 16, 16, 1 << 21
+# tries that a task holds at once; word pairs, and phrases, that it counts before it sends them.
+HELD, KEYS, CANDIDATES, AT_ONCE, PAIRS, PHRASES = 1 << 17, 1 << 20, 1 << 16, 16, 1 << 21, 1 << 18
 # A slice of the pair buckets, and words of the corpus per bucket.
 SLICE_BITS, WORDS_PER_BUCKET = 16, 8
 
@@ -197,12 +197,22 @@ def frequent_buckets(docs: DataFrame, hashes, bits: int, least: int) -> DataFram
 # ---- candidates -----------------------------------------------------------------
 
 def candidates(docs: DataFrame, frequent: KeySet, pairs_in: KeySet, triples_in: KeySet, bits: int,
-               longest: int) -> DataFrame:
+               longest: int, least: int) -> DataFrame:
     """Distinct ``lang, phrase (UTF-8 bytes), pair`` of two and more words that may be frequent:
     all words are, and every pair and triple within lies in a frequent bucket. ``pair`` is the
-    hash of the first two words."""
-    def sent(held):
-        for lang, phrases in held.items():
+    hash of the first two words.
+
+    What occurs ``least`` times in all parts of the table occurs at least ``least`` over
+    the number of parts times in one of them: a task sends what it has that often (all it
+    has so far, where it must let go of its counts before its end).
+    """
+    rows = _named(docs)
+    # Twice the parts there are, in case that Spark cuts some of them again.
+    locally = -(-least // max(1, 2 * rows.rdd.getNumPartitions()))
+
+    def sent(held, least):
+        for lang, counts in held.items():
+            phrases = {phrase: pair for phrase, (pair, n) in counts.items() if n >= least}
             if phrases:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(phrases), pa.string()), pa.array(list(phrases), pa.binary()),
@@ -224,15 +234,16 @@ def candidates(docs: DataFrame, frequent: KeySet, pairs_in: KeySet, triples_in:
                 code = keys[at]
                 for k in range(1, width):
                     code = mix(code * np.uint64(5) + keys[at + k])
-                new = np.unique(code, return_index=True)[1]
-                for i, pair in zip(at[new].tolist(), pairs[new].tolist()):
-                    held[langs[words.row[i]]][words.text(i, i + width - 1)] = pair
-            if sum(map(len, held.values())) > HELD:
-                yield from sent(held)
+                _, new, times = np.unique(code, return_index=True, return_counts=True)
+                for i, pair, n in zip(at[new].tolist(), pairs[new].tolist(), times.tolist()):
+                    counts, phrase = held[langs[words.row[i]]], words.text(i, i + width - 1)
+                    counts[phrase] = (pair, n + counts[phrase][1] if phrase in counts else n)
+            if sum(map(len, held.values())) > PHRASES:
+                yield from sent(held, 1)
                 held.clear()
-        yield from sent(held)
+        yield from sent(held, locally)
 
-    return _named(docs).mapInArrow(run, "lang string, phrase binary, pair bigint").distinct()
+    return rows.mapInArrow(run, "lang string, phrase binary, pair bigint").distinct()
 
 
 class Trie:
@@ -469,7 +480,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
         return _triples(keys, *_likely(words, keys, frequent, pairs_in, bits))[1]
 
     triples_in = KeySet(spark, frequent_buckets(docs, triples, bits, least))
-    chosen = candidates(docs, frequent, pairs_in, triples_in, bits, longest)
+    chosen = candidates(docs, frequent, pairs_in, triples_in, bits, longest, least)
     found = materialize(phrase_counts(docs, chosen, pairs_in, bits, least), "phrases")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return (scored(found, often, totals).withColumn("rank", place.cast("bigint")).where(F.col("rank") <= top)

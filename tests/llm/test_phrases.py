@@ -49,7 +49,7 @@ def test_query_against_sql(spark, sf):
 
 def test_odd_rows_against_brute_force(spark, monkeypatch):
     # Small parts, so that keys, candidates and passes are cut.
-    for name, value in (("KEYS", 7), ("CANDIDATES", 40), ("AT_ONCE", 2), ("HELD", 50), ("PAIRS", 60)):
+    for name, value in (("KEYS", 7), ("CANDIDATES", 40), ("AT_ONCE", 2), ("HELD", 50), ("PAIRS", 60), ("PHRASES", 70)):
         monkeypatch.setattr(phrases, name, value)
     rng = np.random.default_rng(5)
     words = ["A", "a", "\x00", "b\x00", "Ü", "ü", "don't", "日本", "x" * 300, "\x1c", "l"]
