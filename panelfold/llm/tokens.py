@@ -1,6 +1,7 @@
 """Token ids of documents in compressed, checksummed segments, written and read by Spark."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -16,6 +17,10 @@ END = 2
 SEGMENT = ("part int, segment int, documents array<bigint>, n_tokens array<bigint>, "
            "tokens bigint, data binary")
 READ = "part int, segment int, place int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"
+# Marks of units, which never hold "\0" elsewhere: the end id, a whole text, a text's first unit.
+STOP, WHOLE, FIRST = "\0e", "\0w", "\0f"
+# A blank inside a run of white space, where the pre-tokenizer may not cut.
+INSIDE_RUN = re.compile(r" (?<=\s )\s")
 # Beyond these bounds the cache of word ids keeps the units used most, half as many.
 CACHE_WORDS, CACHE_CHARS = 1 << 19, 1 << 25
 
@@ -40,8 +45,8 @@ class CachedTokenizer:
 
     The pre-tokenizer of byte-level BPE always cuts before a single blank between
     other characters, so a text splits into units of a blank and what follows up
-    to the next one, and its ids are those of its units. Texts with two blanks in a
-    row, a blank at the end or a special token's string are encoded whole.
+    to the next one, and its ids are those of its units. Texts with a blank between white
+    space, a blank at the end or a special token's string are encoded whole.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -61,7 +66,7 @@ class CachedTokenizer:
         self.offset = np.zeros(1 << 12, np.int64)
         self.filled = 0
         self.uses = np.zeros(1 << 12, np.int64)
-        self.known["\0end"] = 0
+        self.known[STOP] = 0
         self.known.size = 1
         self._add(np.array([self.end], np.uint32), np.array([1]), 0)
 
@@ -98,21 +103,21 @@ class CachedTokenizer:
 
     def _learn(self, units, first):
         """Encode new units: those after a blank all in one text, cut at the tokens that
-        start with a blank; the others one by one."""
+        start with a blank; the others, and those with white space at an edge, one by one."""
         self.chars += sum(map(len, units))
-        single = [k for k, u in enumerate(units) if u[:1] == "\0"]
+        single = [k for k, u in enumerate(units) if u[:1] == "\0" or u[:1].isspace() or u[-1:].isspace()]
         alone = self.tokenizer.encode_batch_fast(
-            [units[k][4:] if units[k].startswith("\0all") else units[k][1:] for k in single],
+            [units[k][2:] if units[k][:1] == "\0" else " " + units[k] for k in single],
             add_special_tokens=False)
-        rest = [u for u in units if u[:1] != "\0"]
+        lone = np.zeros(len(units), bool)
+        lone[single] = True
+        rest = [u for u, apart in zip(units, lone.tolist()) if not apart]
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)] if rest else [""],
                                                         add_special_tokens=False)[0].ids, np.uint32)
         starts = np.r_[np.flatnonzero(self.blank[ids]), len(ids)]
         if len(starts) != len(rest) + 1:
             raise ValueError("the tokenizer doesn't cut before blanks")
         size = np.zeros(len(units), np.int64)
-        lone = np.zeros(len(units), bool)
-        lone[single] = True
         size[~lone] = np.diff(starts)
         size[lone] = [len(e.ids) for e in alone]
         total = np.cumsum(size)
@@ -130,14 +135,14 @@ class CachedTokenizer:
         first = known.size
         for text in texts:
             whole = "  " in text or text.endswith(" ") or "\0" in text \
-                or any(s in text for s in self.special)
+                or any(s in text for s in self.special) or INSIDE_RUN.search(text)
             if whole:
-                parts += ["\0all" + text, "\0end"]
+                parts += [WHOLE + text, STOP]
                 counts.append(2)
             else:
                 units = text.split(" ")
-                units[0] = "\0" + units[0]  # no blank before it
-                units.append("\0end")
+                units[0] = FIRST + units[0]  # no blank before it
+                units.append(STOP)
                 parts += units
                 counts.append(len(units))
         index = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))

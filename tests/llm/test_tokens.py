@@ -70,6 +70,24 @@ def test_a_small_cache_forgets_without_harm(monkeypatch):
     assert coder.encode(["plain text"])[0].tolist() == whole.encode("plain text").ids + [2]
 
 
+MARKED = ["end of file", "end", "all of it", "allow x", "all", "whole w", "first f", "e", "w w", "f", "end  x", "all "]
+LOOSE = ["a \u00a0 \u00a0 b", "a \u00a0 \u00a0\u2003x", "x\u00a0 \u00a0y", "\u00a0 \u00a0 \u00a0", "p\n \n\nq \n r", "q\n \n"]
+
+
+def test_no_text_is_taken_for_a_mark():
+    whole, coder = Tokenizer.from_file(tokens.byte_bpe()), tokens.CachedTokenizer(tokens.byte_bpe())
+    for texts in (MARKED, LOOSE, LOOSE[::-1] + MARKED):
+        for text in texts:
+            assert coder.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids + [2], repr(text)
+
+
+def test_units_with_white_space_at_their_edges_are_learned_apart():
+    whole, coder = Tokenizer.from_file(tokens.byte_bpe()), tokens.CachedTokenizer(tokens.byte_bpe())
+    texts = ["a \u00a0", "b \u00a0\u2003x", "c \u00a0\u00a0", "d \n", "e \nx"]  # their new units stand in a row
+    ids, _ = coder.encode(texts)
+    assert ids.tolist() == sum([whole.encode(t, add_special_tokens=False).ids + [2] for t in texts], [])
+
+
 def brute(rows):
     whole, start, out = Tokenizer.from_file(tokens.byte_bpe()), 0, []
     for doc_id, text in rows:
