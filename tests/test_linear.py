@@ -113,6 +113,22 @@ def test_test_series_do_not_train(rows):
     assert {r.unique_id for r in out.collect()} == tested
 
 
+def test_few_windows_left_by_a_fold_are_no_rounding(spark):
+    """Only series a has a window among those that train: no variation, no coefficient."""
+    def sums(uid, x, z):
+        return (uid, "season1", "none", "val", 1, 1.0, x, 0.0, z, x * x, 0.0, 0.0, x * z, 0.0)
+
+    table = spark.createDataFrame(
+        [sums("a", 0.1, 0.7), sums("c", 1e5 / 3, 2e4 / 7)], "unique_id string, features string, scaler string,"
+        " stage string, lead int, " + ", ".join(f"{n} double" for n in linear.SUMS))
+    assigned = spark.createDataFrame(
+        [(7, "m", 0, uid, "test" if uid == "c" else "train") for uid in "abc"],
+        "seed int, method string, fold int, unique_id string, role string")
+    found = linear.fit_folds(table, assigned, ["seed"], ["method", "fold"]).collect()
+    direct = linear.fit(table, assigned.filter("role = 'train'"), ["seed", "method", "fold"]).collect()
+    assert [(r.n_windows, r.b1, r.a) for r in found] == [(r.n_windows, r.b1, r.a) for r in direct] == [(1, None, None)]
+
+
 def test_ridge_is_penalized_least_squares(rows, values):
     lags, penalty = 5, 2.0
     assigned = splits.holdout(rows)
