@@ -6,6 +6,7 @@ import pytest
 
 from panelfold.operators import linear, shape, splits
 from panelfold.operators.positions import with_positions
+from panelfold.sources.results import only_complete
 from tests.compare import DATA
 from workload import registered
 from workload.panels import panel
@@ -56,3 +57,29 @@ def test_rank_never_sorts_all_series(spark):
     gathered = single_tasks(text)
     assert all("HashAggregate" in child and "_bucket" in child for child in gathered)
     assert "rangepartitioning" not in text
+
+
+def test_reports_carry_no_listing(spark):
+    """Tasks return the counters of all nodes below an aggregation: the listing is not among them."""
+    text = plan(QUERIES["select_model"](spark, SF))
+    assert "binaryFile" not in text and "json" not in text
+
+
+def test_results_do_not_travel_by_the_keys_of_their_pairs(spark):
+    many = spark.range(10 ** 9)
+    results = many.selectExpr("cast(id % 2 as int) as seed", "'d' as dataset", "concat('m', id % 7) as method",
+                              "if(id % 3 = 0, 'inner', 'outer') as stage", "id as yhat")
+    text = plan(only_complete(results))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_inputs_do_not_travel_by_feature_and_lead(spark):
+    many = spark.range(10 ** 9)
+    inputs = many.selectExpr("cast(id as string) as unique_id", "concat('season', id % 2) as features",
+                             "cast(id % 3 as int) as lead", "1D as x1", "0D as x2", "2D as base")
+    coefs = many.selectExpr("concat('season', id % 2) as features", "cast(id % 3 as int) as lead",
+                            "'none' as scaler", "1D as a", "1D as b1", "0D as b2").distinct()
+    widths = many.selectExpr("cast(id as string) as unique_id", "1D as width_final")
+    text = plan(linear.predict(inputs, coefs, widths, "final", []))
+    by_lead = [line for line in text.splitlines() if "Join" in line and "lead#" in line]
+    assert len(by_lead) == 1 and "BroadcastHashJoin" in by_lead[0]
