@@ -84,13 +84,16 @@ def _keyed(words: DataFrame) -> DataFrame:
 # ---- sets of keys, broadcast in parts of bounded size -------------------------
 
 def _parts(keys: DataFrame, size: int):
-    """Sorted arrays of at most about ``size`` of the keys, each one range of their values."""
+    """The rows of ``keys`` (key and others) in parts of about ``size``, sorted by key."""
     keys = materialize(keys, "keys")
     parts = max(1, -(-keys.count() // size))
     part = F.pmod(F.xxhash64("key"), F.lit(parts))
     for k in range(parts):
         chosen = keys.where(part == k) if parts > 1 else keys
-        yield np.sort(chosen.toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+        rows = chosen.toPandas()
+        values = [rows[c].to_numpy(np.int64).view(np.uint64) for c in keys.columns]
+        order = np.argsort(values[0])
+        yield [v[order] for v in values]
 
 
 def _within(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -104,7 +107,7 @@ class KeySet:
     """Keys of any number: broadcasts of at most ``KEYS`` entries each, asked one after another."""
 
     def __init__(self, spark, keys: DataFrame):
-        self.parts = [spark.sparkContext.broadcast(part) for part in _parts(keys, KEYS)]
+        self.parts = [spark.sparkContext.broadcast(part) for part, in _parts(keys, KEYS)]
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), bool)
@@ -113,6 +116,22 @@ class KeySet:
         return found
 
 
+class KeyPairs:
+    """As ``KeySet``, of rows (key, other): whether a key has that other value."""
+
+    def __init__(self, spark, rows: DataFrame):
+        self.parts = [spark.sparkContext.broadcast(part) for part in _parts(rows, KEYS)]
+
+    def __call__(self, keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), bool)
+        for part in self.parts:
+            own, other = part.value
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                found |= (own[at] == keys) & (other[at] == others)
+        return found
+
+
 # ---- word pairs: an upper bound of their counts ---------------------------------
 
 def _pairs(words: Words, keys: np.ndarray):
@@ -125,9 +144,11 @@ def _bucket(pairs: np.ndarray, bits: int) -> np.ndarray:
     return pairs >> np.uint64(64 - bits)
 
 
-def _likely(words: Words, keys: np.ndarray, frequent: KeySet, buckets: KeySet, bits: int):
+def _likely(words: Words, keys: np.ndarray, frequent: KeySet, buckets: KeySet, bits: int, inside=None):
     """Places and hashes of the pairs of frequent words that lie in a frequent bucket."""
     at, pairs = _pairs(words, keys)
+    if inside is not None:
+        at, pairs = at[inside[at]], pairs[inside[at]]
     likely = buckets(_bucket(pairs, bits))
     at, pairs = at[likely], pairs[likely]
     often = frequent(np.r_[keys[at], keys[at + 1]]) if len(at) else np.zeros(0, bool)
@@ -196,54 +217,119 @@ def frequent_buckets(docs: DataFrame, hashes, bits: int, least: int) -> DataFram
 
 # ---- candidates -----------------------------------------------------------------
 
+def _row_digests(words: Words, keys: np.ndarray) -> np.ndarray:
+    """For every word a digest of its row's words."""
+    if not len(keys):
+        return keys
+    first = np.flatnonzero(np.r_[True, words.row[1:] != words.row[:-1]])
+    size = np.diff(np.r_[first, len(keys)])
+    place = np.arange(len(keys)) - np.repeat(first, size)
+    return np.repeat(np.add.reduceat(mix(keys + place.astype(np.uint64)), first), size)
+
+
 def candidates(docs: DataFrame, frequent: KeySet, pairs_in: KeySet, triples_in: KeySet, bits: int,
                longest: int, least: int) -> DataFrame:
     """Distinct ``lang, phrase (UTF-8 bytes), pair`` of two and more words that may be frequent:
-    all words are, and every pair and triple within lies in a frequent bucket. ``pair`` is the
-    hash of the first two words.
+    all words are, every pair and triple within lies in a frequent bucket, and the phrase's hash
+    occurs ``least`` times. ``pair`` is the hash of the first two words.
+    """
+    return sent_phrases(docs, frequent, pairs_in, triples_in, bits, longest, least).distinct()
 
-    What occurs ``least`` times in all parts of the table occurs at least ``least`` over
-    the number of parts times in one of them: a task sends what it has that often (all it
-    has so far, where it must let go of its counts before its end).
+
+def sent_phrases(docs: DataFrame, frequent: KeySet, pairs_in: KeySet, triples_in: KeySet, bits: int,
+                 longest: int, least: int) -> DataFrame:
+    """``lang, phrase, pair`` as tasks send them.
+
+    Tasks first send the phrases' hashes with their counts, packed, and one row that each
+    is in. The texts of those that are frequent then come from the chosen row only (and
+    rows of the same words, once a task), not from every task that has them.
     """
-    rows = _named(docs)
-    # Twice the parts there are, in case that Spark cuts some of them again.
-    locally = -(-least // max(1, 2 * rows.rdd.getNumPartitions()))
+    spark, part_bits = docs.sparkSession, max(1, bits - SLICE_BITS)  # more parts of a larger corpus
+
+    def found(words, keys, inside=None):
+        at, pairs = _likely(words, keys, frequent, pairs_in, bits, inside)
+        first, triples = _triples(keys, at, pairs)
+        good = np.zeros(len(keys) + longest, bool)
+        good[first[triples_in(_bucket(triples, bits))]] = True
+        for width in range(2, longest + 1):
+            if width > 2:
+                at, pairs = at[good[at + width - 3]], pairs[good[at + width - 3]]
+            if not len(at):
+                return
+            code = keys[at]
+            for k in range(1, width):
+                code = mix(code * np.uint64(5) + keys[at + k])
+            yield width, at, pairs, mix(code + np.uint64(width))
+
+    def counts(batches):
+        held, size = [], 0
+        for words, keys, _ in _read(batches):
+            digest = _row_digests(words, keys)
+            for _, at, _, code in found(words, keys):
+                code, new, times = np.unique(code, return_index=True, return_counts=True)
+                held.append((code, times, digest[at[new]]))
+                size += len(code)
+            if size > PHRASES:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    def summed(held):
+        code, times, digest = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(code)
+        code, times, digest = code[order], times[order], digest[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        return code[first], np.add.reduceat(times, first), np.minimum.reduceat(digest, first)
+
+    def packed(held):
+        code, times, digest = summed(held)
+        part = (code >> np.uint64(64 - part_bits)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        span = list(zip(first.tolist(), np.r_[first[1:], len(part)].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[first]), *(pa.array([x[i:j].tobytes() for i, j in span], pa.binary())
+                                      for x in (code, times.astype(np.uint32), digest))],
+            names=["part", "codes", "times", "digests"])
 
-    def sent(held, least):
-        for lang, counts in held.items():
-            phrases = {phrase: pair for phrase, (pair, n) in counts.items() if n >= least}
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        code, times, digest = summed([
+            (np.frombuffer(c, np.uint64), np.frombuffer(t, np.uint32).astype(np.int64), np.frombuffer(d, np.uint64))
+            for c, t, d in zip(rows["codes"], rows["times"], rows["digests"])])
+        often = times >= least
+        return pd.DataFrame({"key": code[often].view(np.int64), "row": digest[often].view(np.int64)})
+
+    def sent(held):
+        for lang, phrases in held.items():
             if phrases:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(phrases), pa.string()), pa.array(list(phrases), pa.binary()),
                      pa.array(np.array(list(phrases.values()), np.uint64).view(np.int64))],
                     names=["lang", "phrase", "pair"])
 
+    rows = _named(docs)
+    often = materialize(rows.mapInArrow(counts, "part bigint, codes binary, times binary, digests binary")
+                        .groupBy("part").applyInPandas(add, "key bigint, row bigint"), "frequent_hashes")
+    chosen = KeyPairs(spark, often)
+    wanted = KeySet(spark, often.select(F.col("row").alias("key")).distinct())
+
     def run(batches):
         held = defaultdict(dict)
         for words, keys, langs in _read(batches):
-            at, pairs = _likely(words, keys, frequent, pairs_in, bits)
-            first, triples = _triples(keys, at, pairs)
-            good = np.zeros(len(keys) + longest, bool)
-            good[first[triples_in(_bucket(triples, bits))]] = True
-            for width in range(2, longest + 1):
-                if width > 2:
-                    at, pairs = at[good[at + width - 3]], pairs[good[at + width - 3]]
-                if not len(at):
-                    break
-                code = keys[at]
-                for k in range(1, width):
-                    code = mix(code * np.uint64(5) + keys[at + k])
-                _, new, times = np.unique(code, return_index=True, return_counts=True)
-                for i, pair, n in zip(at[new].tolist(), pairs[new].tolist(), times.tolist()):
-                    counts, phrase = held[langs[words.row[i]]], words.text(i, i + width - 1)
-                    counts[phrase] = (pair, n + counts[phrase][1] if phrase in counts else n)
+            digest = _row_digests(words, keys)
+            inside = wanted(digest)
+            for width, at, pairs, code in found(words, keys, inside):
+                mine = chosen(code, digest[at])
+                at, pairs = at[mine], pairs[mine]
+                _, new = np.unique(code[mine], return_index=True)
+                for i, pair in zip(at[new].tolist(), pairs[new].tolist()):
+                    held[langs[words.row[i]]][words.text(i, i + width - 1)] = pair
             if sum(map(len, held.values())) > PHRASES:
-                yield from sent(held, 1)
+                yield from sent(held)
                 held.clear()
-        yield from sent(held, locally)
+        yield from sent(held)
 
-    return rows.mapInArrow(run, "lang string, phrase binary, pair bigint").distinct()
+    return rows.mapInArrow(run, "lang string, phrase binary, pair bigint")
 
 
 class Trie:
@@ -453,20 +539,10 @@ def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame
             .where(F.col("as_often").isNull() | (F.col("as_often") < F.col("a"))).drop("as_often"))
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language.
-
-    Words are folded for A-Z only; phrases don't cross punctuation or lines. Null
-    text counts as empty, null lang as ``und``; repeated rows count each; ties go by
-    count, then phrase. A language without frequent phrases, or an empty table, gives
-    no rows. Other columns aren't read.
-    """
+def bounds(docs: DataFrame, often: DataFrame, total: int, least: int):
+    """Frequent words, frequent buckets of pairs and of triples, and the bits of a bucket."""
     spark = docs.sparkSession
-    words = materialize(word_counts(docs), "words")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    total = totals.agg(F.sum("n")).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(total, 1) / WORDS_PER_BUCKET)), SLICE_BITS, 48))
-    often = materialize(words.where(F.col("n") >= least), "frequent_words")
     frequent = KeySet(spark, _keyed(often))
 
     def pairs(words, keys):
@@ -479,7 +555,22 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     def triples(words, keys):
         return _triples(keys, *_likely(words, keys, frequent, pairs_in, bits))[1]
 
-    triples_in = KeySet(spark, frequent_buckets(docs, triples, bits, least))
+    return frequent, pairs_in, KeySet(spark, frequent_buckets(docs, triples, bits, least)), bits
+
+
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
+    """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language.
+
+    Words are folded for A-Z only; phrases don't cross punctuation or lines. Null
+    text counts as empty, null lang as ``und``; repeated rows count each; ties go by
+    count, then phrase. A language without frequent phrases, or an empty table, gives
+    no rows. Other columns aren't read.
+    """
+    words = materialize(word_counts(docs), "words")
+    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    often = materialize(words.where(F.col("n") >= least), "frequent_words")
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    frequent, pairs_in, triples_in, bits = bounds(docs, often, total, least)
     chosen = candidates(docs, frequent, pairs_in, triples_in, bits, longest, least)
     found = materialize(phrase_counts(docs, chosen, pairs_in, bits, least), "phrases")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

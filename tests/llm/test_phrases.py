@@ -83,3 +83,16 @@ def test_trie_counts_as_a_scan_does():
         found = trie.count(text, joins, np.arange(5000))
         assert found.tolist() == [expected[tuple(map(int, p))] for p in chosen]
     assert phrases.Trie([]).count(text, joins, np.arange(5000)).tolist() == []
+
+
+def test_a_phrase_is_sent_by_few_tasks_not_by_all(spark):
+    rng = np.random.default_rng(9)
+    wording = [" ".join(f"w{k}" for k in rng.integers(0, 400, 5)) for _ in range(300)]
+    rows = [(" ".join(rng.permutation(wording)[:40]) + f" x{k}", "en") for k in range(1600)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(16).cache()
+    words = phrases.word_counts(docs)
+    bounds = phrases.bounds(docs, words.where("n >= 100"), words.agg(F.sum("n")).first()[0], 100)
+    sent = phrases.sent_phrases(docs, *bounds, 5, 100)
+    distinct = sent.distinct().count()
+    assert distinct > 1000 and sent.count() < 1.2 * distinct
+    docs.unpersist()
