@@ -1,8 +1,10 @@
 """Documents that share most of their word n-grams: a grouped prefix join."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from panelfold.llm.components import components
@@ -17,6 +19,8 @@ TABLE = byte_table(b"\x20\x09\x0A\x0B\x0C\x0D")
 # A shingle of more documents comes last in the order; per cent of a set that is looked at
 # beyond its prefix; sets of one unit; bytes of text taken at once.
 COMMON, BEYOND, UNIT_SETS, PIECE = 256, 10, 8, 1 << 19
+# Shingles of one slice of their places, spare bits of a place, shingles and rows of one chunk.
+SLICE_CODES, SPARE_BITS, CHUNK_CODES, CHUNK_ROWS = 1 << 19, 6, 1 << 19, 1 << 14
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH):
@@ -80,39 +84,153 @@ def prints(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, row_key bigint, set bigint, n bigint")
 
 
-def _first_shingles(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``set, token``: the smallest hashes of every set."""
+def _slices(rows: DataFrame, firsts: BitFilter, width: int, percent: int, bits: int, parts: int) -> DataFrame:
+    """The smallest hashes of every set that ``firsts`` lets through, as places of ``bits`` bits.
+
+    A task cuts its rows into chunks and sends each chunk's places by ``slice``, the top
+    ``parts`` bits: sorted, as counts of their upper bits (``high``) and their 16 lower ones,
+    with the row of the chunk each is of (``owner``). A place of over ``COMMON`` rows of a chunk
+    is sent once more than that, as no more is asked of it. One row names the ``sets`` of a chunk.
+    """
+    inner, most = bits - parts, COMMON
+
+    def sent(held, names):
+        names = np.concatenate(names)
+        chunk = np.uint64(xxhash.xxh64_intdigest(names.tobytes(), TaskContext.get().partitionId())).view(np.int64)
+        places = np.concatenate(held) & np.uint64((1 << bits) - 1)
+        owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(codes) for codes in held])
+        order = np.argsort(places)
+        places, owner = places[order], owner[order]
+        kept = np.ones(len(places), bool)
+        kept[most + 1:] = places[most + 1:] != places[:-most - 1]
+        places, owner = places[kept], owner[kept]
+        part = (places >> np.uint64(inner)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        span = list(zip(first.tolist(), np.r_[first[1:], len(part)].tolist()))
+        low = (places & np.uint64(0xFFFF)).astype(np.uint16)
+        high = ((places & np.uint64((1 << inner) - 1)) >> np.uint64(16)).astype(np.int64)
+        count = len(span)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[part[first], chunk]), pa.array(np.full(count + 1, chunk)),
+             pa.array([None] * count + [names.tobytes()], pa.binary()),
+             pa.array([np.bincount(high[i:j], minlength=1 << (inner - 16)).astype(np.uint32).tobytes()
+                       for i, j in span] + [None], pa.binary()),
+             pa.array([low[i:j].tobytes() for i, j in span] + [None], pa.binary()),
+             pa.array([owner[i:j].tobytes() for i, j in span] + [None], pa.binary())],
+            names=["slice", "chunk", "sets", "high", "low", "owner"])
+
     def run(batches):
-        for batch in pieces(batches, limit=PIECE):
-            codes, ends = shingle_sets(as_bytes(batch.column(2)), width)
-            low = [codes[i:i + looked_at(j - i, percent)] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(digests(codes, ends)), lists(low)], names=["set", "low"])
+        held, names, size = [], [], 0
+        for _, codes, ends in sets_of(batches, firsts, width):
+            names.append(digests(codes, ends))
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                held.append(codes[i:i + looked_at(j - i, percent)].copy())
+                size += len(held[-1])
+                if size >= CHUNK_CODES or len(held) == CHUNK_ROWS:
+                    done = len(held) - sum(map(len, names[:-1]))
+                    yield from sent(held, [*names[:-1], names[-1][:done]])
+                    held, names, size = [], [names[-1][done:]], 0
+        if size:
+            yield from sent(held, names)
+
+    return rows.mapInArrow(run, "slice bigint, chunk bigint, sets binary, high binary, low binary, owner binary")
+
+
+def _told(sliced: DataFrame, bits: int, parts: int) -> DataFrame:
+    """``chunk, sets`` as they came, ``chunk, dense, own`` and ``hash``: which rows have places
+    that no other row has (as a count for each row of the chunk, or as a list), and the
+    places of over ``COMMON`` rows."""
+    inner, common = bits - parts, COMMON
+
+    def sent(held):
+        chunks, dense, own = list(held), [], []
+        for chunk in chunks:
+            rows = np.concatenate(held[chunk])
+            dense.append(len(rows) > int(rows.max()))
+            own.append((np.minimum(np.bincount(rows), 0xFFFF).astype(np.uint16) if dense[-1] else rows).tobytes())
+        yield batch(chunk=pa.array(chunks, pa.int64()), dense=pa.array(dense, pa.bool_()), own=pa.array(own, pa.binary()))
+
+    def batch(**given):
+        count = len(next(iter(given.values())))
+        kinds = {"chunk": pa.int64(), "sets": pa.binary(), "dense": pa.bool_(), "own": pa.binary(), "hash": pa.int64()}
+        return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(count, kind)) for k, kind in kinds.items()],
+                                          names=list(kinds))
 
-    return rows.mapInArrow(run, "set bigint, low array<bigint>").select("set", F.explode("low").alias("token"))
+    def run(batches):
+        held, size = {}, 0
+        for table in whole_keys(batches, 1):
+            named = table.filter(table.column(2).is_valid()).combine_chunks()
+            for part in named.to_batches():
+                yield batch(chunk=part.column(1), sets=part.column(2))
+            table = table.filter(table.column(2).is_null())
+            keys = table.column(0).to_numpy()
+            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else []
+            for i, j in zip(edges[:-1], edges[1:]):
+                rows = table.slice(i, j - i)
+                chunks = rows.column(1).to_pylist()
+                high, low, owner = ([np.frombuffer(x, kind) for x in rows.column(k).to_pylist()]
+                                    for k, kind in ((3, np.uint32), (4, np.uint16), (5, np.uint16)))
+                places = np.concatenate([(np.repeat(np.arange(len(h), dtype=np.uint64), h) << np.uint64(16)) | l
+                                         for h, l in zip(high, low)])
+                ordered = np.sort(places)
+                new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+                times, ordered = np.diff(new), ordered[new[:-1]]
+                lone = times[np.searchsorted(ordered, places)] == 1
+                many = ordered[times > common]
+                if len(many):
+                    yield batch(hash=pa.array(((np.uint64(keys[i]) << np.uint64(inner)) | many).view(np.int64)))
+                ends = np.cumsum([len(x) for x in low])
+                for chunk, rows_of, alone in zip(chunks, owner, np.split(lone, ends[:-1])):
+                    if alone.any():
+                        held.setdefault(chunk, []).append(rows_of[alone])
+                        size += int(alone.sum())
+                if size > CHUNK_CODES:
+                    yield from sent(held)
+                    held, size = {}, 0
+        if held:
+            yield from sent(held)
+
+    return (sliced.repartition("slice").sortWithinPartitions("slice")
+            .mapInArrow(run, "chunk bigint, sets binary, dense boolean, own binary, hash bigint"))
+
+
+def _own_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """``set, own`` of the sets of one chunk."""
+    names = [x for x in rows["sets"] if x is not None]
+    sets = np.frombuffer(names[0], np.int64) if names else np.zeros(0, np.int64)
+    own = np.zeros(len(sets), np.int64)
+    for dense, data in zip(rows["dense"], rows["own"]):
+        if data is not None and len(sets):
+            found = np.frombuffer(data, np.uint16)
+            found = found if dense else np.bincount(found)
+            own[:len(found)] += found
+    return pd.DataFrame({"set": sets[own > 0], "own": own[own > 0]})
 
 
 def open_sets(printed: DataFrame, rows: DataFrame, width: int, percent: int):
-    """Sets that may have a near set, and the shingles of over ``COMMON`` rows.
+    """Sets that may have a near set, and places (lower bits) of the shingles of over ``COMMON`` rows.
 
     A near set shares all but ``n - needed(n)`` shingles of a set, so a set with more
-    shingles of its own among those looked at has none. Counts cover all rows; a
-    shingle goes through the shuffle once per map task that has it.
+    shingles of its own among those looked at has none. One row of each set counts
+    (more, where the filter lets them through); a shingle travels as a place of some bits with the
+    number of its row. Shingles that fall on one place, or rows of one set that both count,
+    make a set look less alone than it is, never more.
     """
-    tokens = (_first_shingles(rows, width, percent).groupBy("token")
-              .agg(F.min("set").alias("a"), F.max("set").alias("b"), F.count("*").alias("c")))
-    own = F.col("a") == F.col("b")
-    told = materialize(
-        tokens.where(own | (F.col("c") > COMMON))
-        .select(own.alias("own"), F.when(own, F.col("a")).otherwise(F.col("token")).alias("value"))
-        .groupBy("own", "value").count(), "shingles")
-    sets = (printed.where("n > 0").groupBy("set")
-            .agg(F.max("n").alias("n"),
-                 F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("first")))
-    lonely = told.where("own").select(F.col("value").alias("set"), F.col("count").alias("own"))
-    may = (sets.join(lonely, "set", "left")
-           .where(F.coalesce("own", F.lit(0)) <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
-           .select("set", F.col("first.row_key").alias("row_key")))
-    return materialize(may, "open_sets"), told.where("not own").select(F.col("value").alias("hash"))
+    sets = materialize(
+        printed.where("n > 0").groupBy("set")
+        .agg(F.max("n").alias("n"),
+             F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("first"))
+        .select("set", "n", F.col("first.row_key").alias("row_key")), "distinct_sets")
+    allowed = F.col("n") - F.expr(f"({percent} * n + 99) div 100")
+    total = sets.agg(F.sum(F.least("n", allowed + 1 + F.expr(f"n * {BEYOND} div 100")))).first()[0] or 1
+    bits = min(48, max(28, (total - 1).bit_length() + SPARE_BITS))
+    parts = min(max(0, (-(-total // SLICE_CODES) - 1).bit_length()), bits - 16)
+    firsts = BitFilter(sets.select(F.col("row_key").alias("hash")))
+    told = materialize(_told(_slices(rows, firsts, width, percent, bits, parts), bits, parts), "shingles")
+    lonely = (told.where("chunk is not null").groupBy("chunk")
+              .applyInPandas(_own_counts, "set bigint, own bigint").groupBy("set").agg(F.max("own").alias("own")))
+    may = sets.join(lonely, "set", "left").where(F.coalesce("own", F.lit(0)) <= allowed).select("set", "row_key")
+    return materialize(may, "open_sets"), told.where("hash is not null").select("hash")
 
 
 def sets_of(batches, chosen: BitFilter, width: int):

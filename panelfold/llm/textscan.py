@@ -7,7 +7,7 @@ one text, where that is longer), never the batch or the partition.
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES, TABLE_STEP = 1 << 20, 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -27,6 +27,8 @@ def pieces(batches, column="text", limit=PIECE_BYTES):
             end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    batch = sizes = None
+    pa.default_memory_pool().release_unused()  # the worker lives on beside the tasks of later stages
 
 
 def as_bytes(column) -> list[bytes]:
@@ -51,7 +53,7 @@ _CACHE: dict = {}
 def _power_tables(count: int):
     """Powers of the base and of its inverse; the longest pair asked for is kept."""
     if len(_CACHE.get("p", ())) < count:
-        size = max(count, 2 * PIECE_BYTES)
+        size = -(-count // TABLE_STEP) * TABLE_STEP
         tables = _powers(_P, size), _powers(_P_INVERSE, size)
         if size > 8 * PIECE_BYTES:
             return tables

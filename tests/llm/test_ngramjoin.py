@@ -128,3 +128,29 @@ def test_open_sets_keep_every_near_pair():
         assert ngramjoin.looked_at(n, 80) > n - ngramjoin.needed(n, 80) or n == 0
     codes, ends = ngramjoin.shingle_sets([b"", b"a", b"A", b"a b c d e f", b"a b c d e f" * 2])
     assert np.diff(ends).tolist() == [0, 1, 1, 2, 7] and codes[0] == codes[1]
+
+
+def test_shingles_travel_as_a_few_bytes(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**9, 400)) for _ in range(3000)]
+    texts += texts[:1500]  # copies count once
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(4)
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).select("doc_id", "row_key", "text").cache()
+    firsts = rows.where("doc_id < 3000").select(F.col("row_key").alias("hash"))
+    sent = ngramjoin._slices(rows, copies.BitFilter(firsts), 5, 80, 28, 2)
+    size = sent.agg(F.sum(F.expr("length(high) + length(low) + length(owner)"))).first()[0]
+    shingles_sent = 3000 * ngramjoin.looked_at(396, 80)
+    assert size < 6 * shingles_sent and sent.count() <= 4 * 5
+    may, _ = ngramjoin.open_sets(ngramjoin.prints(rows, 5), rows, 5, 80)
+    assert may.count() < 150  # nothing is shared but by the filter's mistakes
+    rows.unpersist()
+
+
+def test_a_shingle_of_all_rows_is_sent_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "COMMON", 20)
+    docs = spark.createDataFrame([(k, "a b c d e") for k in range(4000)], "doc_id bigint, text string").coalesce(2)
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).select("doc_id", "row_key", "text")
+    sent = ngramjoin._slices(rows, copies.BitFilter(rows.select(F.col("row_key").alias("hash"))), 5, 80, 28, 0)
+    assert sent.agg(F.sum(F.length("low") / 2)).first()[0] <= 2 * 21
+    hot = ngramjoin._told(sent, 28, 0).where("hash is not null").count()
+    assert hot == 1
