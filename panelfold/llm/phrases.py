@@ -19,6 +19,8 @@ TABLE = byte_table(b"\x20\x09", b".,;:!?\x0A\x0B\x0C\x0D")
 # Entries a task holds before it sends them on; keys of one broadcast; candidates of one trie;
 # tries that a task holds at once; word pairs, and phrases, that it counts before it sends them.
 HELD, KEYS, CANDIDATES, AT_ONCE, PAIRS, PHRASES = 1 << 17, 1 << 20, 1 << 16, 16, 1 << 21, 1 << 18
+# Counts of a trie's phrases that a task sends in one row.
+COUNTS = 1 << 12
 # A slice of the pair buckets, and words of the corpus per bucket.
 SLICE_BITS, WORDS_PER_BUCKET = 16, 8
 
@@ -473,7 +475,14 @@ def phrase_counts(docs: DataFrame, chosen: DataFrame, buckets: KeySet, bits: int
     chosen = materialize(chosen.select("chunk", "part", "place", "lang", "phrase"), "numbered")
     built = materialize(_tries(chosen), "tries")
     names = sorted((r["chunk"], r["part"]) for r in built.select("chunk", "part").collect())
-    sums = []
+    size, sums = COUNTS, []
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(counts, np.int64) for counts in rows["counts"])
+        found = np.flatnonzero(total >= least)
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "part": rows["part"].iloc[0],
+                             "place": rows["slice"].iloc[0] * size + found, "a": total[found]})
+
     for start in range(0, len(names), AT_ONCE):
         tries = []
         for chunk, part in names[start:start + AT_ONCE]:
@@ -490,13 +499,15 @@ def phrase_counts(docs: DataFrame, chosen: DataFrame, buckets: KeySet, bits: int
                 for total, (chunk, _, trie) in zip(totals, held):
                     total += trie.count(keys, words.joins, at[chunk_of == chunk])
             for total, (chunk, part, _) in zip(totals, held):
-                found = np.flatnonzero(total)
+                slices = [k for k in range(-(-len(total) // size)) if total[k * size:(k + 1) * size].any()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), chunk, np.int32)), pa.array(np.full(len(found), part, np.int32)),
-                     pa.array(found.astype(np.int32)), pa.array(total[found])], names=["chunk", "part", "place", "a"])
+                    [pa.array(np.full(len(slices), chunk, np.int32)), pa.array(np.full(len(slices), part, np.int32)),
+                     pa.array(np.array(slices, np.int32)),
+                     pa.array([total[k * size:(k + 1) * size].tobytes() for k in slices], pa.binary())],
+                    names=["chunk", "part", "slice", "counts"])
 
-        counted = (_named(docs).mapInArrow(run, "chunk int, part int, place int, a bigint")
-                   .groupBy("chunk", "part", "place").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+        counted = (_named(docs).mapInArrow(run, "chunk int, part int, slice int, counts binary")
+                   .groupBy("chunk", "part", "slice").applyInPandas(add, "chunk int, part int, place int, a bigint"))
         sums.append(materialize(counted, "phrase_counts"))
         for _, _, data in tries:
             data.unpersist()

@@ -96,3 +96,12 @@ def test_a_phrase_is_sent_by_few_tasks_not_by_all(spark):
     distinct = sent.distinct().count()
     assert distinct > 1000 and sent.count() < 1.2 * distinct
     docs.unpersist()
+
+
+def test_counts_of_a_trie_are_sent_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "COUNTS", 7)  # so that a trie's counts are cut
+    rows = [("a b c, d e f, g h i, j k l, m n o, p q r", "en")] * 120
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    found = phrases.collocations(docs).collect()
+    assert {(r["phrase"], r["a"]) for r in found} == {(p, 120) for p in
+                                                    ("a b c", "d e f", "g h i", "j k l", "m n o", "p q r")}
