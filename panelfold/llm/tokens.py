@@ -21,6 +21,12 @@ READ = "part int, segment int, place int, doc_id bigint, inside bigint, n_tokens
 STOP, WHOLE, FIRST = "\0e", "\0w", "\0f"
 # A blank inside a run of white space, where the pre-tokenizer may not cut.
 INSIDE_RUN = re.compile(r" (?<=\s )\s")
+# Latin letters and ASCII signs after them: the pre-tokenizer cuts between the two, and nowhere else before the signs.
+LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+# How byte-level BPE writes each byte.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in _PRINTED} | {
+    b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 # Beyond these bounds the cache of word ids keeps the units used most, half as many.
 CACHE_WORDS, CACHE_CHARS = 1 << 19, 1 << 25
 
@@ -51,8 +57,11 @@ class CachedTokenizer:
 
     def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model without the pattern, for words already cut and written in signs.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = end
         self.blank = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
@@ -101,30 +110,69 @@ class CachedTokenizer:
         self.offset[first + 1:first + len(size) + 1] = self.filled + np.cumsum(size)
         self.filled = total
 
+    def _cut(self, ids, count):
+        """Where each of ``count`` words after a blank begins among their ids, and the end."""
+        starts = np.r_[np.flatnonzero(self.blank[ids]), len(ids)]
+        if len(starts) != count + 1:
+            raise ValueError("the tokenizer doesn't cut before blanks")
+        return starts
+
+    def _letters(self, heads, tails, first):
+        """Ids of words of letters, each after a blank, and of runs of signs, joined, and their sizes.
+
+        A word that is a known unit isn't encoded again.
+        """
+        number = np.array([self.known.get(head, first) for head in heads], np.int64)
+        old = number < first
+        begin, size = self.offset[number[old]], self.offset[number[old] + 1] - self.offset[number[old]]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        new = [head for head, seen in zip(heads, old.tolist()) if not seen]
+        text = " " + "\n ".join(new) if new else ""
+        signs = text.encode().decode("latin-1").translate(BYTE_SIGNS).replace(BYTE_SIGNS[10], "\n")
+        ids = np.array(self.words.encode_batch_fast([signs], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.zeros(len(heads), np.int64)
+        sizes[old], sizes[~old] = size, np.diff(self._cut(ids, len(new)))
+        joined, place = np.empty(int(sizes.sum()), np.uint32), np.repeat(old, sizes)
+        joined[place], joined[~place] = self.flat[np.repeat(begin, size) + step], ids
+        ends = [e.ids for e in self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)]
+        return (np.concatenate([joined, np.array([i for e in ends for i in e], np.uint32)]),
+                np.concatenate([sizes, np.array([len(e) for e in ends], np.int64)]))
+
     def _learn(self, units, first):
-        """Encode new units: those after a blank all in one text, cut at the tokens that
-        start with a blank; the others, and those with white space at an edge, one by one."""
+        """Encode new units. Letters and signs after them are encoded apart, each once; other units
+        after a blank all in one text, cut at the tokens that start with a blank; the rest, and
+        those with white space at an edge, one by one."""
         self.chars += sum(map(len, units))
-        single = [k for k, u in enumerate(units) if u[:1] == "\0" or u[:1].isspace() or u[-1:].isspace()]
+        heads, tails, plain, parts, single, rest = {}, {"": 0}, [], [], [], []
+        for k, u in enumerate(units):
+            found = LETTERS.fullmatch(u)
+            if found:
+                plain.append(k)
+                parts.append((heads.setdefault(found[1], len(heads)), tails.setdefault(found[2], len(tails))))
+            elif u[:1] == "\0" or u[:1].isspace() or u[-1:].isspace():
+                single.append(k)
+            else:
+                rest.append(k)
         alone = self.tokenizer.encode_batch_fast(
             [units[k][2:] if units[k][:1] == "\0" else " " + units[k] for k in single],
             add_special_tokens=False)
-        lone = np.zeros(len(units), bool)
-        lone[single] = True
-        rest = [u for u, apart in zip(units, lone.tolist()) if not apart]
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)] if rest else [""],
-                                                        add_special_tokens=False)[0].ids, np.uint32)
-        starts = np.r_[np.flatnonzero(self.blank[ids]), len(ids)]
-        if len(starts) != len(rest) + 1:
-            raise ValueError("the tokenizer doesn't cut before blanks")
+        text = " " + " ".join([units[k] for k in rest]) if rest else ""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         size = np.zeros(len(units), np.int64)
-        size[~lone] = np.diff(starts)
-        size[lone] = [len(e.ids) for e in alone]
-        total = np.cumsum(size)
-        joined = np.empty(int(total[-1]), np.uint32)
-        place = np.repeat(lone, size)
-        joined[~place] = ids
-        joined[place] = [i for e in alone for i in e.ids]
+        size[rest] = np.diff(self._cut(ids, len(rest)))
+        size[single] = [len(e.ids) for e in alone]
+        pool, sizes = self._letters(list(heads), list(tails), first)
+        parts = np.array(parts, np.int64).reshape(-1, 2) + [0, len(heads)]
+        size[plain] = sizes[parts].sum(axis=1)
+        begin, many = (np.cumsum(sizes) - sizes)[parts].ravel(), sizes[parts].ravel()
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        joined = np.empty(int(size.sum()), np.uint32)
+        kind = np.zeros(len(units), np.int8)
+        kind[rest], kind[single] = 1, 2
+        kind = np.repeat(kind, size)
+        joined[kind == 0] = pool[np.repeat(begin, many) + step]
+        joined[kind == 1] = ids
+        joined[kind == 2] = [i for e in alone for i in e.ids]
         self._add(joined, size, first)
 
     def encode(self, texts: list[str]):

@@ -114,3 +114,34 @@ def test_odd_rows(spark, tmp_path):
     assert {r["doc_id"]: len(r["ids"]) == r["n_tokens"] for r in found.collect()} == dict.fromkeys(
         [None, 1, 2, 3, 4], True)
     assert tokens.round_trip(docs.limit(0), tokens.byte_bpe()).count() == 0
+
+
+class Seen:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, inner, texts):
+        self.inner, self.texts = inner, texts
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_a_known_word_is_not_encoded_again_with_signs_after_it():
+    coder, texts = tokens.CachedTokenizer(tokens.byte_bpe()), []
+    coder.encode(["a Thndeston b"])
+    for name in {"tokenizer", "words"} & set(vars(coder)):
+        setattr(coder, name, Seen(getattr(coder, name), texts))
+    text = "a Thndeston, Thndeston.%% Thndeston b"
+    ids, counts = coder.encode([text])
+    assert ids.tolist() == Tokenizer.from_file(tokens.byte_bpe()).encode(text, add_special_tokens=False).ids + [2]
+    assert counts.tolist() == [len(ids)] and texts and not any("Thndeston" in t for t in texts)
+
+
+def test_letters_are_cut_from_signs_only():
+    words = ["ab", "ab,", "ab.c", "ab's", "ab'", "abж", "ab×", "÷ab", "ab́", "éÀɏ-", "abɐ", "ab1", "ab_%", "ab\ncd", "ª", "ab\t,"]
+    texts = [" ".join(["x", *(words[(i * k) % len(words)] for i in range(9)), "y"]) for k in range(1, 30)]
+    library, coder = Tokenizer.from_file(tokens.byte_bpe()), tokens.CachedTokenizer(tokens.byte_bpe())
+    for k in range(0, len(texts), 5):
+        ids, _ = coder.encode(texts[k:k + 5])
+        assert ids.tolist() == [i for t in texts[k:k + 5] for i in library.encode(t, add_special_tokens=False).ids + [2]]
