@@ -65,6 +65,14 @@ def test_reports_carry_no_listing(spark):
     assert "binaryFile" not in text and "json" not in text
 
 
+@pytest.mark.parametrize("name", [
+    "average_over_seeds", "estimation_by_model", "round_report", "pivot_model_method", "summarize_models",
+    "estimation_scores", "downstream_error", "rank_models", "serieswise_scores", "label_names", "collapse_composite_ids"])
+def test_no_report_carries_the_listing(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "binaryFile" not in text and "json" not in text
+
+
 def test_results_do_not_travel_by_the_keys_of_their_pairs(spark):
     many = spark.range(10 ** 9)
     results = many.selectExpr("cast(id % 2 as int) as seed", "'d' as dataset", "concat('m', id % 7) as method",
